@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.llm.knn import nearest
 from reelspark.llm.runs import collapse_runs
 from reelspark.llm.split import split_oversized
 from reelspark.llm.tokens import encode_corpus
@@ -35,11 +36,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_runs(spark, sf_dir).where("n_slots >= 3").select("video_id", "first_slot", "last_slot")
 
 
+def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The up to five most similar native frames of every native and output frame, with the cosine."""
+    native = table(spark, sf_dir, "native_frames").select(F.col("frame_id").alias("id"), "clip_emb")
+    out = table(spark, sf_dir, "output_frames").where("native_timestamp IS NOT NULL").select(F.col("out_id").alias("id"), "clip_emb")
+    return nearest(native, out, "id", "clip_emb", k=5, least=0.92)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("query_id"), F.col("item_id")
+    return p6_nearest(spark, sf_dir).select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p7_ids": p7_ids}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids}
 
 _P5 = """
 WITH d AS (SELECT video_id, slot, min(native_timestamp) AS nt, any_value(clip_emb) AS e FROM output_frames

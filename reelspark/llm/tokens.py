@@ -16,7 +16,7 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 # fixed value: the pre-token pattern that belongs to the vocabulary
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LOADED: dict = {}
 
@@ -40,21 +40,38 @@ PLAIN, FIRST, NEXT = 0, 1, 2  # kinds of parts: whole pre-tokens; first or later
 
 
 def cut(text: str, limit: int, pattern) -> list[tuple[bytes, int]]:
-    """(bytes, kind) parts of at most ``limit`` bytes, in order."""
+    """(bytes, kind) parts of at most ``limit`` bytes (white space before a cut moves to the next part), in order."""
     parts: list[tuple[bytes, int]] = []
-    held, size = [], 0
+    held: list[str] = []
+    size = 0
+
+    def flush(giant: bool):
+        # white space splits differently at the end of a text, so no plain part may end with it
+        nonlocal held, size
+        n = len(held)
+        while n and held[n - 1][-1].isspace():
+            n -= 1
+        if n:
+            parts.append(("".join(held[:n]).encode(), PLAIN))
+        held = held[n:]
+        if giant:
+            parts.extend((w.encode(), FIRST) for w in held)
+            held = []
+        size = sum(len(w.encode()) for w in held)
+
     for m in pattern.finditer(text):
-        b = m.group().encode()
-        if held and size + len(b) > limit:
-            parts.append((b"".join(held), PLAIN))
-            held, size = [], 0
-        if len(b) <= limit:
-            held.append(b)
-            size += len(b)
-        else:
+        w = m.group()
+        b = w.encode()
+        if len(b) > limit:
+            flush(True)
             parts += [(b[i : i + limit], NEXT if i else FIRST) for i in range(0, len(b), limit)]
+            continue
+        if held and size + len(b) > limit:
+            flush(False)
+        held.append(w)
+        size += len(b)
     if held:
-        parts.append((b"".join(held), PLAIN))
+        parts.append(("".join(held).encode(), PLAIN))
     return parts
 
 
