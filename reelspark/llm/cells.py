@@ -1,9 +1,10 @@
 """Vector cells: a bounded sample trains centres, every vector is then placed in all cells near it.
 
 Vectors that are similar share a cell with high probability, because a vector goes not only to its nearest
-centre but to every centre whose cosine is within ``slack`` of the best.  The number of centres grows with the
-collection, so a cell keeps its size; centres follow density, so a region that holds a third of all rows gets a
-third of the centres.
+centre but to every centre whose cosine is within ``slack`` of the best.  The slack is set on the sample so that a row is placed
+``copies`` times on average, whatever the number of centres: the shuffle grows as the rows.  The number of centres
+grows with the collection, so a cell keeps its size; centres follow density, so a region that holds a third of all
+rows gets a third of the centres.
 """
 
 from __future__ import annotations
@@ -84,3 +85,23 @@ def train_centres(x, k: int, rounds: int = 6, seed: int = 7):
 
 def cell_count(n: int, per_cell: int, sample: int) -> int:
     return int(max(1, min(MAX_CELLS, n // per_cell, max(1, sample // 8))))
+
+
+def make_cells(x, n: int, per_cell: int, copies: float, most: int) -> Cells:
+    """Cells for ``n`` rows from the sample x (unit rows), with the slack that places a row ``copies`` times on average.
+
+    An eighth of the sample is kept from training: rows that made the centres lie nearer to them than others do.
+    """
+    import numpy as np
+
+    x = x.astype(np.float32)
+    held = np.arange(len(x)) % 8 == 0
+    learn, test = (x[~held], x[held]) if len(x) >= 64 else (x, x)
+    centres = train_centres(learn, cell_count(n, per_cell, len(learn)))
+    some = test @ centres.T
+    k = min(most, some.shape[1])
+    top = -np.sort(np.partition(-some, k - 1, axis=1)[:, :k], axis=1)
+    gaps = np.sort((top[:, :1] - top[:, 1:]).ravel())
+    place = int((copies - 1) * len(some))
+    slack = float(gaps[place]) if place < len(gaps) else 2.1
+    return Cells(centres, slack, most)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.arrow_vectors import binary, ints, matrix
-from reelspark.llm.cells import Cells, bounded_sample, cell_count, train_centres
+from reelspark.llm.cells import bounded_sample, make_cells
 from reelspark.llm.quantise import pack, train_codebook, unpack
 
 MAX_HOT = 256  # shared vectors that are handled apart; bounds what is broadcast of them
@@ -100,7 +100,7 @@ def nearest(
     least: float = 0.92,
     dim: int = 64,
     per_cell: int = 800,
-    slack: float = 0.055,
+    copies: float = 3.2,
     most_cells: int = 8,
     margin: float = 0.07,
     depth: int = 32,
@@ -124,7 +124,7 @@ def nearest(
     shared, times = np.unique(whole, axis=0, return_counts=True)
     hot = shared[np.argsort(-times, kind="stable")][: min(MAX_HOT, int((times >= max(32, len(whole) // 200)).sum()))]
     norm = whole / np.sqrt((whole.astype(np.float64) ** 2).sum(1))[:, None]
-    cells = Cells(train_centres(norm, cell_count(n, per_cell, len(sample))), slack, most_cells)
+    cells = make_cells(norm, n, per_cell, copies, most_cells)
     book = train_codebook(norm[:: max(1, len(norm) // 8192)], dim // 2, max(least, 0.2))
     shared_model = spark.sparkContext.broadcast((cells, book, {h.tobytes(): i for i, h in enumerate(hot)}))
     width = 2 * dim

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.llm.clusters import density_groups, hierarchy
 from reelspark.llm.knn import nearest
 from reelspark.llm.runs import collapse_runs
 from reelspark.llm.split import split_oversized
@@ -14,6 +15,21 @@ from reelspark.session import table
 CONTEXT_LIMIT = 1200.0
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = density_groups(table(spark, sf_dir, "frame_nodes"), "node_id", "embedding", least=0.8, min_size=5)
+    return groups.select(F.col("lead").alias("lead_node_id"), F.col("id").alias("node_id"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stable groups of look-alike frames, each with its size and most typical frames."""
+    return hierarchy(table(spark, sf_dir, "frame_nodes"), "node_id", "embedding")[0]
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable frame with its group, NULL for frames that belong to none."""
+    return hierarchy(table(spark, sf_dir, "frame_nodes"), "node_id", "embedding")[1].withColumnRenamed("id", "node_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(table(spark, sf_dir, "clusters"), "cluster_id", "frames", CONTEXT_LIMIT)
     return pieces.select("cluster_id", "first_index", "last_index").distinct()
@@ -52,7 +68,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids}
 
 _P5 = """
 WITH d AS (SELECT video_id, slot, min(native_timestamp) AS nt, any_value(clip_emb) AS e FROM output_frames
