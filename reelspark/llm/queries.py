@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.clusters import density_groups, hierarchy
 from reelspark.llm.knn import nearest
+from reelspark.llm.leaks import find_leaks
 from reelspark.llm.runs import collapse_runs
 from reelspark.llm.split import split_oversized
 from reelspark.llm.tokens import encode_corpus
@@ -68,7 +69,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids}
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items by document, with the length of the stretch and how much of it stands there."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
 
 _P5 = """
 WITH d AS (SELECT video_id, slot, min(native_timestamp) AS nt, any_value(clip_emb) AS e FROM output_frames
