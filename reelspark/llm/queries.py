@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.llm.abuse import fit, labelled_sample, score_documents
 from reelspark.llm.clusters import density_groups, hierarchy
 from reelspark.llm.knn import nearest
 from reelspark.llm.leaks import find_leaks
@@ -78,7 +79,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks}
+ABUSE_LIMIT = 0.5
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source, its score and the terms of its worst window."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")
+    return score_documents(documents, fit(labelled_sample(documents, labels)), keep=("source",))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where((F.col("score") >= ABUSE_LIMIT) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, documents to be excluded and their rate by source."""
+    bad = F.count_if(F.col("score") >= ABUSE_LIMIT)
+    return p9_scores(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), bad.alias("n_abusive"), F.round(bad / F.count(F.lit(1)), 6).alias("rate")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_rates": p9_rates, "p9_scores": p9_scores}
 
 _P5 = """
 WITH d AS (SELECT video_id, slot, min(native_timestamp) AS nt, any_value(clip_emb) AS e FROM output_frames
