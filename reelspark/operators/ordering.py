@@ -34,11 +34,11 @@ def with_positions(df: DataFrame, key: str, order: list[str], bucket: Column, na
 def with_halo(df: DataFrame, pos: str, chunk: int, halo: int) -> DataFrame:
     """Send each row to its chunk of ``chunk`` positions and, as context, to the chunks within ``halo`` positions.
 
-    Adds ``chunk`` and ``core`` (true in the row's own chunk).  ``halo`` must not exceed ``chunk``.
+    ``df`` comes from :func:`with_positions`.  Adds ``chunk`` and ``core`` (true in the row's own chunk).
     """
     own = F.floor(F.col(pos) / F.lit(chunk)).cast("bigint")
     first = F.greatest(F.lit(0), F.floor((F.col(pos) - halo) / F.lit(chunk)).cast("bigint"))
-    last = F.floor((F.col(pos) + halo) / F.lit(chunk)).cast("bigint")
+    last = F.floor(F.least(F.col(pos) + halo, F.col(f"last_{pos}")) / F.lit(chunk)).cast("bigint")
     return (
         df.withColumn("_own", own)
         .withColumn("chunk", F.explode(F.sequence(first, last)))
