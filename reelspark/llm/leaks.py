@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ STOCK_ITEMS = 5  # an opening sentence before at least so many different rests i
 _SENTENCE = re.compile(r"[^.?!:\n]*[.?!:\n]+\s*")
 
 
+@lru_cache(maxsize=1 << 18)
 def close(a: str, b: str) -> bool:
     """Equal, or one edit apart (two for words of eight letters or more), numbers never."""
     if a == b:
@@ -114,7 +116,7 @@ def passages(items: DataFrame) -> DataFrame:
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 15, density: float = 0.85, window: int = 5, rarest: int = 2, min_hits: int = 3
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 15, density: float = 0.85, window: int = 10, rarest: int = 3, min_hits: int = 3
 ) -> DataFrame:
     """(doc_id, item_id, span, share): documents that hold at least ``min_words`` words of an item's passage in order.
 
