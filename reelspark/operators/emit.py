@@ -25,7 +25,7 @@ def gap_kinds(outputs: DataFrame) -> DataFrame:
     d = d.withColumn("prev_rn", F.last(real, True).over(before)).withColumn("next_rn", F.first(real, True).over(after))
     size = F.col("next_rn") - F.col("prev_rn") - 1
     fill = ~F.col("real") & F.col("prev_rn").isNotNull() & F.col("next_rn").isNotNull() & (size <= 2)
-    hold = ~F.col("real") & (F.col("rn") > F.greatest(F.lit(1), F.col("n") - 3)) & F.coalesce(F.lag("real").over(w), F.lit(False))
+    hold = ~F.col("real") & (F.col("rn") > F.greatest(F.lit(1), F.col("n") - 2)) & F.coalesce(F.lag("real").over(w), F.lit(False))
     kind = F.when(F.col("real"), "R").when(hold, "H").when(fill, "L").otherwise("Z")
     alpha = (F.col("rn") - F.col("prev_rn")) / (size + 1.0)
     return d.withColumn("kind", kind).withColumn("alpha", F.when(fill, alpha))

@@ -354,7 +354,7 @@ def pipeline_outputs(spark: SparkSession, sf: str) -> DataFrame:
 _G = f"""WITH {_O}, g1 AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY video_id) AS n, lag(real) OVER w AS was FROM o WINDOW w AS (PARTITION BY video_id ORDER BY slot)),
 g2 AS (SELECT *, last_value(CASE WHEN real THEN rn END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pr,
   first_value(CASE WHEN real THEN rn END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nr FROM g1),
-g AS (SELECT *, NOT real AND pr IS NOT NULL AND nr IS NOT NULL AND nr - pr - 1 <= 2 AS fill, NOT real AND rn > greatest(1, n - 3) AND coalesce(was, FALSE) AS hold FROM g2)"""
+g AS (SELECT *, NOT real AND pr IS NOT NULL AND nr IS NOT NULL AND nr - pr - 1 <= 2 AS fill, NOT real AND rn > greatest(1, n - 2) AND coalesce(was, FALSE) AS hold FROM g2)"""
 
 
 @query(_G + " SELECT video_id, slot, CASE WHEN real THEN 'R' WHEN hold THEN 'H' WHEN fill THEN 'L' ELSE 'Z' END AS kind FROM g")
