@@ -132,6 +132,9 @@ class Trie:
         n = len(base)
         most = 0 if n < 4 else 1 if n < 8 else 2
         hit = self.search(base, most) if most else None
+        if hit is None and n >= 4:  # two letters swapped are two edits for the automaton
+            swaps = (base[:i] + base[i + 1] + base[i] + base[i + 2 :] for i in range(n - 1))
+            hit = next((t for t in map(lambda f: self.search(f, 0), swaps) if t is not None), None)
         return hit if hit is not None and len(hit) >= 4 and hit[0] == base[0] else None
 
 

@@ -83,7 +83,8 @@ def search_cell(q, qid, d, did, approx, k: int, least: float, margin: float, dep
     order = np.lexsort((did[c], -sim, r))
     r, c, sim = r[order], c[order], sim[order]
     # an item that came twice (a repeated row) counts once
-    same = np.r_[False, (r[1:] == r[:-1]) & (did[c[1:]] == did[c[:-1]])]
+    same = np.zeros(len(r), bool)
+    same[1:] = (r[1:] == r[:-1]) & (did[c[1:]] == did[c[:-1]])
     r, c, sim = r[~same], c[~same], sim[~same]
     first = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1] if len(r) else np.zeros(0, int)
     rank = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) if len(r) else np.zeros(0, int)
