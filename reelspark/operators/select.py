@@ -154,7 +154,7 @@ class Selector:
         self.last_real, self.gap = now, 0
 
 
-def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_dim: int = 16, weights=None) -> DataFrame:
+def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_dim: int = 16, weights=None, alpha: float = 0.3, window: int = 120) -> DataFrame:
     """One row per slot: video_id, slot, target_timestamp, frame_idx, native_timestamp, is_synthetic, scores.
 
     ``scored``: candidates with q_hat, m_hat, d_val, clip_emb, dino_emb and entities; ``slots``: all closed slots.  A video's
@@ -193,7 +193,7 @@ def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_
                 if held and (r.video_id != video or r.slot != held[0].slot):
                     close()
                 if r.video_id != video:
-                    video, state = r.video_id, Selector(clip_dim, dino_dim, weights)
+                    video, state = r.video_id, Selector(clip_dim, dino_dim, weights, alpha, window)
                 held.append(r)
             if done:
                 frame = pd.DataFrame(done, columns=names)

@@ -175,3 +175,22 @@ def test_best_of_equals_is_the_earliest(spark):
     rows = [(1, 0, 5, 0.2, 0.5), (1, 0, 4, 0.1, 0.5), (1, 0, 6, 0.3, 0.4), (1, 1, 7, 0.4, float("nan")), (1, 1, 8, 0.5, 0.1)]
     got = argmax_select(spark.createDataFrame(rows, "video_id bigint, slot bigint, frame_idx bigint, ts double, total double"), "total").collect()
     assert {(x.slot, x.frame_idx) for x in got} == {(0, 4), (1, 8)}
+
+
+def test_whole_pipeline(spark, sf, tmp_path):
+    import dataclasses
+
+    from reelspark.config import Config, from_dict
+    from reelspark.plans import pipeline
+
+    assert from_dict({"clip_grouping": {"enabled": False, "effective_context_limit": 90}, "dimensions": {"clip": 64}}).grouping.limit == 90.0
+    cfg = Config(clip_dim=64, dino_dim=16)
+    frames = clean_frames(spark, sf)
+    paths = pipeline.run(spark, frames, str(tmp_path / "a"), cfg)
+    scores, clips = spark.read.json(paths["scores"]), spark.read.json(paths["clips"])
+    n = timeline.all_slots(frames).count()
+    assert scores.count() == n == clips.count()  # without vectors nothing merges
+    assert scores.where("is_synthetic <> (native IS NULL)").count() == 0
+    merged = pipeline.run(spark, frames, str(tmp_path / "b"), dataclasses.replace(cfg, grouping_embedding="clip_emb"))
+    assert spark.read.json(merged["clips"]).selectExpr("sum(cluster_frame_count)").first()[0] == n
+    assert "clips" not in pipeline.run(spark, frames.limit(0), str(tmp_path / "c"), cfg)
