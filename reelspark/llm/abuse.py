@@ -307,8 +307,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, seed: int = 11) ->
         marks = marks.where(F.rand(seed) < MAX_LABELLED / n)
     # text is cut only for the fit, by a bound that no ordinary document reaches; scores cover whole texts
     each = max(2_000, MAX_CHARS // max(1, min(n, MAX_LABELLED)))
-    texts = documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, each).alias("text")).dropDuplicates(["doc_id"])
-    got = texts.join(marks, "doc_id").select("doc_id", "text", "y").toArrow().sort_by("doc_id")
+    texts = documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, each).alias("text"))
+    # about MAX_LABELLED rows of two numbers at most, so this side may be broadcast
+    got = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("doc_id")
     return [(t, y) for t, y in zip(got.column("text").to_pylist(), got.column("y").to_pylist()) if y != 0.5]
 
 

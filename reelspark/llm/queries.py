@@ -136,4 +136,13 @@ SELECT DISTINCT t.cluster_id, CAST(p.idx AS BIGINT) AS first_index, CAST(q.idx A
 FROM t JOIN x p ON p.cluster_id = t.cluster_id AND p.i = t.a JOIN x q ON q.cluster_id = t.cluster_id AND q.i = t.z WHERE t.step > 0
 """
 
-ORACLE = {"p5_found": _P5, "p2_found": _P2}
+_P1 = """
+WITH RECURSIVE u AS (SELECT node_id, any_value(embedding) AS e FROM frame_nodes WHERE node_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 GROUP BY node_id),
+l AS (SELECT a.node_id AS x, b.node_id AS y FROM u a JOIN u b ON a.node_id <> b.node_id AND list_cosine_similarity(a.e, b.e) >= 0.8),
+r AS (SELECT node_id AS x, node_id AS y FROM u UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+g AS (SELECT x, min(y) AS lead, count(*) AS n FROM r GROUP BY x)
+SELECT lead AS lead_node_id, x AS node_id FROM g WHERE n >= 5 AND x <> lead
+"""
+
+ORACLE = {"p1_found": _P1, "p5_found": _P5, "p2_found": _P2}
