@@ -16,10 +16,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def l2_normalize(a: Column) -> Column:
     """v / (|v| + 1e-8)."""
-    n = norm(a) + TINY
-    return F.transform(a, lambda x: x / n)
+    return let(norm(a) + TINY, lambda n: F.transform(a, lambda x: x / n))
 
 
 def vector_resize(a: Column, dim: int) -> Column:
@@ -63,8 +67,11 @@ def floor_percentile(values: Column, p: float) -> Column:
 def lerp(a: Column, b: Column, alpha: Column) -> Column:
     """(1 - alpha) a + alpha b, scaled to length one unless its norm is at most 1e-8."""
     mix = F.zip_with(a, b, lambda x, y: (1 - alpha) * x + alpha * y)
-    n = norm(mix)
-    return F.when(n > TINY, F.transform(mix, lambda x: x / n)).otherwise(mix)
+
+    def scaled(m: Column) -> Column:
+        return let(norm(m), lambda n: F.when(n > TINY, F.transform(m, lambda x: x / n)).otherwise(m))
+
+    return let(mix, scaled)
 
 
 def score(scores: Column, key: str) -> Column:

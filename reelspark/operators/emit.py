@@ -18,11 +18,12 @@ def gap_kinds(outputs: DataFrame) -> DataFrame:
     one is held instead.  ``outputs`` has one row per slot (video_id, slot, real).
     """
     w = Window.partitionBy("video_id").orderBy("slot")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back in falling order; a frame to the end would be summed up anew for every row
+    before, after = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, Window.partitionBy("video_id").orderBy(F.desc("slot"))))
     rn = F.row_number().over(w)
     d = outputs.withColumn("rn", rn).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("video_id")))
     real = F.when(F.col("real"), F.col("rn"))
-    d = d.withColumn("prev_rn", F.last(real, True).over(before)).withColumn("next_rn", F.first(real, True).over(after))
+    d = d.withColumn("prev_rn", F.last(real, True).over(before)).withColumn("next_rn", F.last(real, True).over(after))
     size = F.col("next_rn") - F.col("prev_rn") - 1
     fill = ~F.col("real") & F.col("prev_rn").isNotNull() & F.col("next_rn").isNotNull() & (size <= 2)
     hold = ~F.col("real") & (F.col("rn") > F.greatest(F.lit(1), F.col("n") - 2)) & F.coalesce(F.lag("real").over(w), F.lit(False))
@@ -32,17 +33,22 @@ def gap_kinds(outputs: DataFrame) -> DataFrame:
 
 
 def filled(outputs: DataFrame, vectors: tuple[str, ...] = ("clip_emb", "dino_emb")) -> DataFrame:
-    """Slots with their vectors filled (L), held (H) or zero (Z), and the score map that marks how."""
-    w = Window.partitionBy("video_id").orderBy("slot")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    d = gap_kinds(outputs)
-    for v in vectors:
-        prev, nxt = F.last(F.when(F.col("real"), F.col(v)), True).over(before), F.first(F.when(F.col("real"), F.col(v)), True).over(after)
-        d = d.withColumn(f"_p_{v}", prev).withColumn(f"_n_{v}", nxt)
+    """Slots with their vectors filled (L), held (H) or zero (Z), and the score map that marks how.
+
+    Only filled and held slots look up their neighbours' vectors, by (video, row number).
+    """
+    kinds = gap_kinds(outputs.select("video_id", "slot", "real")).select("video_id", "slot", "rn", "kind", "alpha", "prev_rn", "next_rn")
+    d = outputs.join(kinds, ["video_id", "slot"])
+    ends = d.where("real").select("video_id", F.col("rn"), *vectors)
+    gaps = d.where("kind IN ('L', 'H')").select("video_id", "slot", "kind", "alpha", "prev_rn", "next_rn")
+    prev = ends.select("video_id", F.col("rn").alias("prev_rn"), *[F.col(v).alias(f"_p_{v}") for v in vectors])
+    nxt = ends.select("video_id", F.col("rn").alias("next_rn"), *[F.col(v).alias(f"_n_{v}") for v in vectors])
+    new = gaps.join(prev, ["video_id", "prev_rn"]).join(nxt, ["video_id", "next_rn"], "left")
+    mixed = [F.when(F.col("kind") == "L", lerp(F.col(f"_p_{v}"), F.col(f"_n_{v}"), F.col("alpha"))).otherwise(F.col(f"_p_{v}")).alias(f"_f_{v}") for v in vectors]
+    d = d.join(new.select("video_id", "slot", *mixed), ["video_id", "slot"], "left")
     for v in vectors:
-        mixed = lerp(F.col(f"_p_{v}"), F.col(f"_n_{v}"), F.col("alpha"))
-        zero = F.transform(F.coalesce(v, f"_p_{v}", f"_n_{v}"), lambda x: F.lit(0.0))
-        d = d.withColumn(v, F.when(F.col("kind") == "R", F.col(v)).when(F.col("kind") == "L", mixed).when(F.col("kind") == "H", F.col(f"_p_{v}")).otherwise(zero)).drop(f"_p_{v}", f"_n_{v}")
+        zero = F.transform(v, lambda x: F.lit(0.0))
+        d = d.withColumn(v, F.when(F.col("kind") == "R", F.col(v)).when(F.col("kind") == "Z", zero).otherwise(F.col(f"_f_{v}"))).drop(f"_f_{v}")
     marks = F.create_map(F.lit("total"), F.lit(0.0), F.lit("lerped"), F.lit(1.0))
     held = F.create_map(F.lit("total"), F.lit(0.0), F.lit("lerped"), F.lit(1.0), F.lit("trailing"), F.lit(1.0))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
@@ -115,11 +121,11 @@ def continuity(outputs: DataFrame, vector: str = "dino_emb") -> DataFrame:
 
 def blend_plan(outputs: DataFrame) -> DataFrame:
     """(video_id, slot, how, alpha, prev_slot, next_slot): pixels of slots without any: blend, copy or black."""
-    w = Window.partitionBy("video_id").orderBy("slot")
+    w, back = Window.partitionBy("video_id").orderBy("slot"), Window.partitionBy("video_id").orderBy(F.desc("slot"))
     has = F.when(F.col("frame_data").isNotNull(), F.col("rn"))
     d = outputs.select("video_id", "slot", F.col("frame_data").isNotNull().alias("frame_data")).withColumn("frame_data", F.when(F.col("frame_data"), F.lit(1)))
     d = d.withColumn("rn", F.row_number().over(w))
-    d = d.withColumn("p", F.last(has, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("q", F.first(has, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    d = d.withColumn("p", F.last(has, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("q", F.last(has, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     both = F.col("p").isNotNull() & F.col("q").isNotNull()
     how = (
         F.when(F.col("frame_data").isNotNull(), "own").when(both, "blend").when(F.col("p").isNotNull(), "copy_prev").when(F.col("q").isNotNull(), "copy_next").otherwise("black")

@@ -22,21 +22,36 @@ def chunked(df: DataFrame, order: list[str], bucket: Column, halo: int, key: str
     return with_halo(placed, "pos", chunk, halo), Window.partitionBy(key, "chunk").orderBy("pos")
 
 
-def rolling_percentiles(candidates: DataFrame, value: str, n: int = PERCENTILE_WINDOW) -> DataFrame:
-    """Adds p25 and p75 of the last ``n`` candidate values up to the end of each candidate's slot.
+def rolling_percentiles(candidates: DataFrame, values: list[str], n: int = PERCENTILE_WINDOW) -> DataFrame:
+    """Adds <value>_p25 and <value>_p75 of the last ``n`` candidate values up to the end of each candidate's slot.
 
-    Candidates count once per slot that holds them; all of a slot's candidates enter before any is scored.
+    Candidates count once per slot that holds them; all of a slot's candidates enter before any is scored.  A list is
+    sorted once per slot, at the slot's last candidate.
     """
     rows, w = chunked(candidates, ["slot", "ts", "frame_idx"], F.floor(F.col("slot") / 1024).cast("bigint"), n + 63)
-    lists = rows.withColumn("_l", F.collect_list(value).over(w.rowsBetween(-(n - 1), 0)))
-    slot = Window.partitionBy("video_id", "chunk", "slot").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ended = lists.withColumn("_l", F.last("_l").over(slot)).where("core")
-    return ended.withColumn("p25", floor_percentile(F.col("_l"), 0.25)).withColumn("p75", floor_percentile(F.col("_l"), 0.75)).drop("_l", "chunk", "core", "pos", "last_pos")
-
-
-def normalised(candidates: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds ``name``: the value clip-normalised by its rolling percentiles (sharpness and motion terms)."""
-    return rolling_percentiles(candidates, value).withColumn(name, clip_norm(F.col(value), F.col("p25"), F.col("p75"))).drop("p25", "p75")
+    slot = Window.partitionBy("video_id", "chunk", "slot").orderBy("pos")
+    ends = F.lead("pos").over(slot).isNull()
+    for v in values:
+        rows = rows.withColumn(f"_l_{v}", F.collect_list(v).over(w.rowsBetween(-(n - 1), 0)))
+    rows = rows.withColumn("_end", ends)
+    for v in values:
+        pair = F.when(F.col("_end"), F.struct(floor_percentile(F.col(f"_l_{v}"), 0.25).alias("a"), floor_percentile(F.col(f"_l_{v}"), 0.75).alias("b")))
+        rows = rows.withColumn(f"_l_{v}", pair)
+    whole = slot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for v in values:
+        rows = rows.withColumn(f"_l_{v}", F.max(f"_l_{v}").over(whole))
+    out = rows.where("core")
+    for v in values:
+        out = out.withColumn(f"{v}_p25", F.col(f"_l_{v}.a")).withColumn(f"{v}_p75", F.col(f"_l_{v}.b")).drop(f"_l_{v}")
+    return out.drop("_end", "chunk", "core", "pos", "last_pos")
+
+
+def normalised(candidates: DataFrame, names: dict[str, str], n: int = PERCENTILE_WINDOW) -> DataFrame:
+    """Adds each value (column -> new name) clip-normalised by its rolling percentiles: the sharpness and motion terms."""
+    out = rolling_percentiles(candidates, list(names), n)
+    for v, name in names.items():
+        out = out.withColumn(name, clip_norm(F.col(v), F.col(f"{v}_p25"), F.col(f"{v}_p75"))).drop(f"{v}_p25", f"{v}_p75")
+    return out
 
 
 def ewma_scalar(frames: DataFrame, value: str, alpha: float = 0.3, order: str = "frame_idx", memory: int = 128) -> DataFrame:

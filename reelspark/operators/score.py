@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.functions.vectors import cosine_distance, sigmoid_gate
+from reelspark.functions.vectors import TINY, dot, let, norm, sigmoid_gate
 
 # fixed values: default weights of the score terms
 WEIGHTS = {"semantic": 1.0, "blur": 0.5, "motion": 0.8, "entity": 0.4, "consistency": 0.3, "diversity": 0.2}
@@ -29,11 +29,19 @@ def composite(n: Column, q: Column, m: Column, e: Column, c: Column, d: Column,
 
 
 def slot_pairs(candidates: DataFrame, vector: str) -> DataFrame:
-    """(video_id, slot, frame_idx, other_idx, similarity) of each pair within a slot; a slot spans two strides, so it is small."""
-    a = candidates.select("video_id", "slot", "frame_idx", F.col(vector).alias("_a"))
-    b = candidates.select("video_id", "slot", F.col("frame_idx").alias("other_idx"), F.col(vector).alias("_b"))
-    pairs = a.join(b, ["video_id", "slot"]).where("frame_idx <> other_idx")
-    return pairs.select("video_id", "slot", "frame_idx", "other_idx", (1 - cosine_distance(F.col("_a"), F.col("_b"))).alias("similarity"))
+    """(video_id, slot, frame_idx, other_idx, similarity) of each pair within a slot; a slot spans two strides, so it is small.
+
+    Similarity is 1 - cosine_distance.  Vectors are scaled before they meet, and a pair is computed once for both directions.
+    """
+    unit = let(norm(F.col(vector)), lambda n: F.when(n >= TINY, F.transform(vector, lambda x: x / n)))
+    scaled = candidates.select("video_id", "slot", "frame_idx", unit.alias("_u"))
+    a = scaled.withColumnRenamed("_u", "_a")
+    b = scaled.select("video_id", "slot", F.col("frame_idx").alias("other_idx"), F.col("_u").alias("_b"))
+    pairs = a.join(b, ["video_id", "slot"]).where("frame_idx < other_idx")
+    sim = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.lit(1.0)).otherwise(dot(F.col("_a"), F.col("_b")))
+    both = F.array(F.struct(F.col("frame_idx").alias("i"), F.col("other_idx").alias("j")), F.struct(F.col("other_idx").alias("i"), F.col("frame_idx").alias("j")))
+    once = pairs.select("video_id", "slot", sim.alias("similarity"), "frame_idx", "other_idx")
+    return once.withColumn("p", F.explode(both)).select("video_id", "slot", F.col("p.i").alias("frame_idx"), F.col("p.j").alias("other_idx"), "similarity")
 
 
 def diversity(candidates: DataFrame, vector: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.config import Config
-from reelspark.functions.vectors import clip_norm
 from reelspark.operators import emit, grouping, rolling
 from reelspark.operators import score as S
 from reelspark.operators import timeline as T
@@ -22,10 +21,7 @@ def outputs(frames: DataFrame, cfg: Config) -> DataFrame:
     """
     slim = T.candidates(frames.select("video_id", "frame_idx", "ts", "blur", "flow"))
     n = cfg.percentile_window
-    hats = slim
-    for value, name in (("blur", "q_hat"), ("flow", "m_hat")):
-        p = rolling.rolling_percentiles(hats, value, n)
-        hats = p.withColumn(name, clip_norm(F.col(value), F.col("p25"), F.col("p75"))).drop("p25", "p75")
+    hats = rolling.normalised(slim, {"blur": "q_hat", "flow": "m_hat"}, n)
     near = S.diversity(T.candidates(frames.select("video_id", "frame_idx", "ts", "clip_emb")), "clip_emb")
     wide = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb", "entities")
     scored = hats.join(near, ["video_id", "slot", "frame_idx"]).join(wide, ["video_id", "frame_idx"])
@@ -35,6 +31,7 @@ def outputs(frames: DataFrame, cfg: Config) -> DataFrame:
     filled = emit.filled(rows).withColumn("target_timestamp", F.col("slot") * F.lit(T.STRIDE))
     zero = lambda c, d: F.coalesce(c, F.array_repeat(F.lit(0.0), d))
     filled = filled.withColumn("clip_emb", zero("clip_emb", cfg.clip_dim)).withColumn("dino_emb", zero("dino_emb", cfg.dino_dim))
+    filled = cut_lineage(filled)
     soft = emit.smoothed(filled, "clip_emb", cfg.smoothing_threshold)
     return filled.drop("clip_emb").join(soft, ["video_id", "slot"]).select(
         "video_id", "slot", "frame_idx", "target_timestamp", "native_timestamp", "is_synthetic", "kind", "scores", "clip_emb", "dino_emb"

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelspark.config import Config
 from reelspark.functions import entities as E
 from reelspark.functions import vectors as V
 from reelspark.operators import emit, grouping, recon, rolling
 from reelspark.operators import score as S
 from reelspark.operators import timeline as T
 from reelspark.operators.select import select_frames
+from reelspark.plans import pipeline
 from reelspark.session import table
 from reelspark.sources.frames import clean_frames, clean_outputs, frame_times, resolve_fps
 from reelspark.sources.sinks import telemetry
@@ -201,17 +203,18 @@ def _cands(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
 
 @query(_ROLL + " SELECT video_id, slot, frame_idx, round(b25, 6) AS p25, round(b75, 6) AS p75 FROM q")
 def rolling_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling.rolling_percentiles(_cands(spark, sf), "blur").select("video_id", "slot", "frame_idx", r6("p25").alias("p25"), r6("p75").alias("p75"))
+    p = rolling.rolling_percentiles(_cands(spark, sf), ["blur"])
+    return p.select("video_id", "slot", "frame_idx", r6("blur_p25").alias("p25"), r6("blur_p75").alias("p75"))
 
 
 @query(_ROLL + f" SELECT video_id, slot, frame_idx, round({_QHAT}, 6) AS q_hat FROM q")
 def q_hat(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling.normalised(_cands(spark, sf), "blur", "q_hat").select("video_id", "slot", "frame_idx", r6("q_hat").alias("q_hat"))
+    return rolling.normalised(_cands(spark, sf), {"blur": "q_hat"}).select("video_id", "slot", "frame_idx", r6("q_hat").alias("q_hat"))
 
 
 @query(_ROLL + f" SELECT video_id, slot, frame_idx, round({_MHAT}, 6) AS m_hat FROM q")
 def m_hat(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling.normalised(_cands(spark, sf), "flow", "m_hat").select("video_id", "slot", "frame_idx", r6("m_hat").alias("m_hat"))
+    return rolling.normalised(_cands(spark, sf), {"flow": "m_hat"}).select("video_id", "slot", "frame_idx", r6("m_hat").alias("m_hat"))
 
 
 @query(f"""WITH {_F}, {_K}, {_C}, n AS (SELECT video_id, slot, count(*) AS n FROM c GROUP BY ALL),
@@ -306,7 +309,7 @@ def composite_score(spark: SparkSession, sf: str) -> DataFrame:
 @query(_ROLL + f""", t AS (SELECT *, round(0.5 * {_QHAT} + 0.8 * {_MHAT}, 9) AS total FROM q)
 SELECT video_id, slot, arg_max(frame_idx, {{'b': total, 't': -ts, 'i': -frame_idx}}) AS frame_idx, round(max(total), 6) AS best FROM t GROUP BY video_id, slot""")
 def argmax_select(spark: SparkSession, sf: str) -> DataFrame:
-    c = rolling.normalised(rolling.normalised(_cands(spark, sf), "blur", "q_hat"), "flow", "m_hat")
+    c = rolling.normalised(_cands(spark, sf), {"blur": "q_hat", "flow": "m_hat"})
     scored = c.withColumn("total", F.round(0.5 * F.col("q_hat") + 0.8 * F.col("m_hat"), 9))
     return S.argmax_select(scored, "total").withColumn("best", r6("best"))
 
@@ -323,7 +326,7 @@ def continuity_given_history(spark: SparkSession, sf: str) -> DataFrame:
 def _selected(spark: SparkSession, sf: str) -> DataFrame:
     frames = clean_frames(spark, sf)
     slim = T.candidates(frames.select("video_id", "frame_idx", "ts", "blur", "flow"))
-    hats = rolling.normalised(rolling.normalised(slim, "blur", "q_hat"), "flow", "m_hat")
+    hats = rolling.normalised(slim, {"blur": "q_hat", "flow": "m_hat"})
     wide = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb", "entities")
     d = S.diversity(T.candidates(frames.select("video_id", "frame_idx", "ts", "clip_emb")), "clip_emb")
     scored = hats.join(d, ["video_id", "slot", "frame_idx"]).join(wide, ["video_id", "frame_idx"])
@@ -340,13 +343,9 @@ def selection_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pipeline_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Selection, gap filling, holding and smoothing end to end: telemetry of every slot."""
-    frames = clean_frames(spark, sf)
-    vectors = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb")
-    chosen = _selected(spark, sf).join(vectors, ["video_id", "frame_idx"], "left").withColumn("real", ~F.col("is_synthetic"))
-    out = emit.filled(chosen).withColumn("target_timestamp", F.col("slot") * F.lit(T.STRIDE))
-    out = out.withColumn("clip_emb", F.coalesce("clip_emb", F.array_repeat(F.lit(0.0), 64)))
-    soft = emit.smoothed(out).select("video_id", "slot", "smoothed")
-    return telemetry(out.join(soft, ["video_id", "slot"])).drop("scores").join(out.select("video_id", "slot", "kind"), ["video_id", "slot"])
+    out = pipeline.outputs(clean_frames(spark, sf), Config(clip_dim=64, dino_dim=16))
+    out = out.select("video_id", "slot", "kind", "target_timestamp", "native_timestamp", "scores")
+    return telemetry(out).drop("scores").join(out.select("video_id", "slot", "kind"), ["video_id", "slot"])
 
 
 # ---- emission ------------------------------------------------------------------------------------------------------
