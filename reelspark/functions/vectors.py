@@ -60,8 +60,7 @@ def sigmoid_gate(n_hat: Column, tau: Column, temperature: Column) -> Column:
 
 def floor_percentile(values: Column, p: float) -> Column:
     """Element at floor(p (n - 1)) of the sorted list; 0 for an empty list."""
-    s = F.array_sort(values)
-    return F.coalesce(F.try_element_at(s, (F.floor(F.lit(p) * (F.size(s) - 1)) + 1).cast("int")), F.lit(0.0))
+    return let(F.sort_array(values), lambda s: F.coalesce(F.try_element_at(s, (F.floor(F.lit(p) * (F.size(s) - 1)) + 1).cast("int")), F.lit(0.0)))
 
 
 def lerp(a: Column, b: Column, alpha: Column) -> Column:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.functions.vectors import clip_norm, ewma, floor_percentile
-from reelspark.operators.ordering import with_halo, with_positions
+from reelspark.functions.vectors import clip_norm, ewma
+from reelspark.operators.ordering import by_chunk, group_bounds, stream_groups, with_halo, with_positions
 
 PERCENTILE_WINDOW = 120
 CHUNK = 4096
@@ -22,28 +22,50 @@ def chunked(df: DataFrame, order: list[str], bucket: Column, halo: int, key: str
     return with_halo(placed, "pos", chunk, halo), Window.partitionBy(key, "chunk").orderBy("pos")
 
 
+def floor_percentiles(x, ends, n: int, shares: tuple[float, ...]):
+    """For each end the elements at floor(share (m - 1)) of the sorted last m <= n values up to it."""
+    import numpy as np
+
+    pad = np.concatenate([np.full(n - 1, np.inf), x])  # missing values sort behind the others
+    out = np.empty((len(shares), len(ends)))
+    for s in range(0, len(ends), 8192):
+        e = ends[s : s + 8192]
+        window = np.sort(np.lib.stride_tricks.sliding_window_view(pad, n)[e], axis=1)
+        m = np.minimum(e + 1, n)
+        for k, share in enumerate(shares):
+            out[k, s : s + 8192] = window[np.arange(len(e)), np.floor(share * (m - 1)).astype(int)]
+    return out
+
+
 def rolling_percentiles(candidates: DataFrame, values: list[str], n: int = PERCENTILE_WINDOW) -> DataFrame:
     """Adds <value>_p25 and <value>_p75 of the last ``n`` candidate values up to the end of each candidate's slot.
 
-    Candidates count once per slot that holds them; all of a slot's candidates enter before any is scored.  A list is
-    sorted once per slot, at the slot's last candidate.
+    Candidates count once per slot that holds them; all of a slot's candidates enter before any is scored.  A window is
+    sorted once per slot; built-in window lists would carry and sort ``n`` values with every row.  Columns must be scalars.
     """
-    rows, w = chunked(candidates, ["slot", "ts", "frame_idx"], F.floor(F.col("slot") / 1024).cast("bigint"), n + 63)
-    slot = Window.partitionBy("video_id", "chunk", "slot").orderBy("pos")
-    ends = F.lead("pos").over(slot).isNull()
-    for v in values:
-        rows = rows.withColumn(f"_l_{v}", F.collect_list(v).over(w.rowsBetween(-(n - 1), 0)))
-    rows = rows.withColumn("_end", ends)
-    for v in values:
-        pair = F.when(F.col("_end"), F.struct(floor_percentile(F.col(f"_l_{v}"), 0.25).alias("a"), floor_percentile(F.col(f"_l_{v}"), 0.75).alias("b")))
-        rows = rows.withColumn(f"_l_{v}", pair)
-    whole = slot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for v in values:
-        rows = rows.withColumn(f"_l_{v}", F.max(f"_l_{v}").over(whole))
-    out = rows.where("core")
-    for v in values:
-        out = out.withColumn(f"{v}_p25", F.col(f"_l_{v}.a")).withColumn(f"{v}_p75", F.col(f"_l_{v}.b")).drop(f"_l_{v}")
-    return out.drop("_end", "chunk", "core", "pos", "last_pos")
+    rows, _ = chunked(candidates, ["slot", "ts", "frame_idx"], F.floor(F.col("slot") / 1024).cast("bigint"), n + 63)
+    new = [f"{v}_{p}" for v in values for p in ("p25", "p75")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields) + "".join(f", `{c}` double" for c in new)
+    keep = candidates.columns
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in stream_groups(batches, ["video_id", "chunk"]):
+            bounds = group_bounds(pdf, ["video_id", "chunk"])
+            slot, core = pdf["slot"].to_numpy(), pdf["core"].to_numpy(dtype=bool)
+            cols = {v: pdf[v].to_numpy(dtype=float) for v in values}
+            got = {c: np.empty(len(pdf)) for c in new}
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                ends = np.append(np.flatnonzero(slot[lo : hi - 1] != slot[lo + 1 : hi]), hi - lo - 1)
+                at = np.searchsorted(ends, np.arange(hi - lo))
+                for v in values:
+                    p25, p75 = floor_percentiles(cols[v][lo:hi], ends, n, (0.25, 0.75))
+                    got[f"{v}_p25"][lo:hi], got[f"{v}_p75"][lo:hi] = p25[at], p75[at]
+            yield pd.concat([pdf[keep], pd.DataFrame(got)], axis=1)[core]
+
+    return by_chunk(rows, ["video_id", "chunk"], ["pos"]).select(*keep, "chunk", "core").mapInPandas(run, schema)
 
 
 def normalised(candidates: DataFrame, names: dict[str, str], n: int = PERCENTILE_WINDOW) -> DataFrame:

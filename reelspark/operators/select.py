@@ -6,6 +6,7 @@ a short gap closes.  Batch (``select_frames``) and streaming (``reelspark.stream
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,15 @@ def cosine_distance(a, b) -> float:
     return 0.0 if na < 1e-8 or nb < 1e-8 else 1.0 - (a @ b) / (na * nb)
 
 
+def distances(x, v):
+    """Cosine distance of each row of x to v; 0 where either is shorter than 1e-8."""
+    import numpy as np
+
+    rows, size = np.sqrt((x * x).sum(1)), np.sqrt(v @ v)
+    ok = (rows >= 1e-8) & (size >= 1e-8)
+    return np.where(ok, 1.0 - (x @ v) / np.where(ok, rows * size, 1.0), 0.0)
+
+
 def _iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     inter = max(0.0, w) * max(0.0, h)
@@ -114,15 +124,19 @@ class Selector:
         p25, p75 = floor_pct(self.novelties, 0.25), floor_pct(self.novelties, 0.75)
         temperature = max(p75 - p25, EPS)
         far = self.bank.novelty(clip)
+        near = np.ones(len(clip)) if self.context is None else distances(clip, self.context)
+        away = np.zeros(len(clip))
+        if self.history:
+            for k, s in ((0.6, 1), (0.3, 5), (0.1, 10)):
+                away += k * distances(dino, self.back(s))
+        novel = 0.5 * near + 0.5 * far
         best = None
         for i in range(len(clip)):
             raw = entity_delta(self.previous, entities[i])
             e = raw if self.entity is None else self.alpha * raw + (1 - self.alpha) * self.entity
-            near = 1.0 if self.context is None else cosine_distance(clip[i], self.context)
-            novelty = 0.5 * near + 0.5 * far[i]
+            novelty, c = float(novel[i]), float(away[i])
             n = clip_norm(novelty, p25, p75)
-            c = sum(k * cosine_distance(dino[i], self.back(s)) for k, s in ((0.6, 1), (0.3, 5), (0.1, 10))) if self.history else 0.0
-            gate = 1 / (1 + np.exp(-min(30.0, max(-30.0, (n - p75) / (temperature + EPS)))))
+            gate = 1 / (1 + math.exp(-min(30.0, max(-30.0, (n - p75) / (temperature + EPS)))))
             shared = self.w["motion"] * m_hat[i] + self.w["entity"] * e
             sem, blur = self.w["semantic"] * n + shared, self.w["blur"] * q_hat[i] + shared
             total = gate * sem + (1 - gate) * blur - (self.w["consistency"] * c + self.w["diversity"] * d_val[i])
