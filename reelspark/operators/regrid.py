@@ -111,7 +111,7 @@ def regular_grid(
     Columns: source, slot, target_timestamp, is_synthetic (no reading in the slot) and for each of ``values``
     (column -> lowest and highest possible value) <value>_est and <value>_sd at the target.
 
-    Readings with NULL, NaN, infinite or negative ``ts`` are in no slot.  Readings at the same time count as one
+    Readings with NULL, NaN or negative ``ts``, or one of 1e15 s or more, are in no slot.  Readings at the same time count as one
     (their mean), so repeated rows change nothing.  Impossible values are taken as missing; a source without any
     value gets NULL estimates but keeps its slots.  A NULL source is a source of its own.  Empty in, empty out.
     """
