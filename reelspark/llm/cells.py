@@ -1,10 +1,10 @@
 """Vector cells: a bounded sample trains centres, every vector is then placed in all cells near it.
 
 Vectors that are similar share a cell with high probability, because a vector goes not only to its nearest
-centre but to every centre whose cosine is within ``slack`` of the best.  The slack is set on the sample so that a row is placed
-``copies`` times on average, whatever the number of centres: the shuffle grows as the rows.  The number of centres
-grows with the collection, so a cell keeps its size; centres follow density, so a region that holds a third of all
-rows gets a third of the centres.
+centre but to every centre whose cosine is within the best one's ``slack`` of the best.  The slack is set on the sample so that
+a row is placed about ``copies`` times on average, whatever the number of centres: the shuffle grows as the rows.  The number of
+centres grows with the collection, so a cell keeps its size; centres follow density, so a region that holds a third of all
+rows gets a third of the centres.  Its gaps are tiny, so every centre has at least the slack that the rows around it need.
 """
 
 from __future__ import annotations
@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 from reelspark.functions.arrow_vectors import matrix, unit
 
 SAMPLE_ROWS = 32_768  # bound of what the driver holds: 32 768 x 64 doubles are 16 MB
+AROUND = 64  # held-out rows around a centre that its slack is read from
 MAX_CELLS = 4_096  # bound of the broadcast centres: 4 096 x 64 floats are 1 MB
 
 
 @dataclass
 class Cells:
     centres: object  # float32 [k, dim], unit rows
-    slack: float
+    slack: object  # float32 [k]
     most: int
 
     def place(self, x):
-        """(row, cell) for every cell within ``slack`` of a row's best one, at most ``most`` of them."""
+        """(row, cell) for every cell within the ``slack`` of a row's best one, at most ``most`` of them."""
         import numpy as np
 
         rows, cells = [], []
         for s in range(0, len(x), 2048):
             sim = x[s : s + 2048] @ self.centres.T
-            near = sim >= sim.max(1, keepdims=True) - self.slack
+            near = sim >= (sim.max(1) - self.slack[sim.argmax(1)])[:, None]
             many = np.flatnonzero(near.sum(1) > self.most)
             if len(many):
                 top = np.argpartition(-sim[many], self.most - 1, axis=1)[:, : self.most]
@@ -90,6 +91,9 @@ def cell_count(n: int, per_cell: int, sample: int) -> int:
 def make_cells(x, n: int, per_cell: int, copies: float, most: int) -> Cells:
     """Cells for ``n`` rows from the sample x (unit rows), with the slack that places a row ``copies`` times on average.
 
+    The slack is at least that over all rows, and at least that over the ``AROUND`` rows nearest to the centre: a dense
+    region, which uses up the average with its small gaps, takes nothing from the others.
+
     An eighth of the sample is kept from training: rows that made the centres lie nearer to them than others do.
     """
     import numpy as np
@@ -103,5 +107,9 @@ def make_cells(x, n: int, per_cell: int, copies: float, most: int) -> Cells:
     top = -np.sort(np.partition(-some, k - 1, axis=1)[:, :k], axis=1)
     gaps = np.sort((top[:, :1] - top[:, 1:]).ravel())
     place = int((copies - 1) * len(some))
-    slack = float(gaps[place]) if place < len(gaps) else 2.1
+    slack = np.full(len(centres), gaps[place] if place < len(gaps) else 2.1, np.float32)
+    if len(some) > AROUND and place < len(gaps):
+        near = np.argpartition(-some, AROUND - 1, axis=0)[:AROUND].T
+        own = np.sort((top[:, :1] - top[:, 1:])[near].reshape(len(centres), -1), axis=1)
+        slack = np.maximum(slack, own[:, int((copies - 1) * AROUND)])
     return Cells(centres, slack, most)

@@ -2,7 +2,7 @@
 
 1. Vectors are placed in overlapping cells (``cells``); exact copies travel once.
 2. Each cell reduces its mutual-reachability graph to its spanning forest (``forest.block_forest``).
-3. Distributed Borůvka merges the cells' forests and gives the components at a falling series of similarities.
+3. Distributed Borůvka merges the cells' forests (``density_groups`` adds the links that no cell holds) and gives the components at a falling series of similarities.
 4. These nested components are the hierarchy: components below ``min_size`` are shed, a cluster goes on while one
    large part remains and ends where it splits; stability picks the clusters; the most persistent members stand for it.
 """
@@ -38,8 +38,8 @@ def compact(df: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
 
 def graph(
     df: DataFrame, row_id: str, vector: str, least: float, min_samples: int, dim: int = 64, per_cell: int = 400, copies: float = 3.5, most_cells: int = 12
-) -> tuple[DataFrame, DataFrame]:
-    """Forest edges (u, v, w) of all cells, and (id, rep): each usable row and the row that stands for its vector."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forest edges (u, v, w) of all cells; (id, rep): each usable row and the row that stands for its vector; (rep, load): the vectors."""
     import numpy as np
 
     spark = df.sparkSession
@@ -122,7 +122,73 @@ def graph(
             u, v, w = block_forest(x, ids, core[0] if core else None, least)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(w)], ["u", "v", "w"])
 
-    return cell_key.mapInArrow(forests, "u bigint, v bigint, w double"), member
+    return cell_key.mapInArrow(forests, "u bigint, v bigint, w double"), member, distinct.select("rep", "load")
+
+
+def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int, per_group: int = 65_536) -> DataFrame:
+    """(u, v, w) with u < v: links of cosine >= ``least`` between components, of all pairs of vectors, cells or not.
+
+    vectors: (rep, load); label: (node, l0).  Rows fall into groups and every two groups meet in one task; blocks that lie in
+    one component are passed over, so a dense group costs nothing once it is whole.  Otherwise the cost is quadratic: at this
+    threshold no bound from centres and radii rules out more than few pairs.
+    """
+    import numpy as np
+
+    n = vectors.count()
+    groups = max(6, -(-n // per_group))
+    rows = vectors.join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("l0", "rep").alias("comp"), "load")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    meeting = F.least("mine", "other") * F.lit(groups).cast("bigint") + F.greatest("mine", "other")
+    rows = rows.select(meeting.alias("meeting"), "mine", "comp", "rep", "load")
+    rows = rows.repartition(min(4_000, 2 * groups * (groups + 1)), "meeting").sortWithinPartitions("meeting", "mine", "comp")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def link(parts):
+            side, comp, ids, x = [np.concatenate(v) for v in zip(*parts)]
+            unit = x.astype(np.float32)
+            unit /= np.sqrt((unit * unit).sum(1))[:, None]
+            cut = int(np.searchsorted(side, side[0], "right"))
+            one = cut == len(side)  # a group with itself
+            for a in range(0, cut, 1024):
+                p = slice(a, min(a + 1024, cut))
+                for b in range(a if one else cut, len(side), 4096):
+                    q = slice(b, min(b + 4096, len(side)))
+                    if comp[p.start] == comp[p.stop - 1] == comp[q.start] == comp[q.stop - 1]:
+                        continue
+                    flat = np.flatnonzero(unit[p] @ unit[q].T >= least - 1e-5)
+                    i, j = flat // (q.stop - q.start) + a, flat % (q.stop - q.start) + b
+                    far = comp[i] != comp[j]
+                    i, j = i[far], j[far]
+                    if not len(i):
+                        continue
+                    w = []
+                    for s in range(0, len(i), 65536):
+                        y, z = x[i[s : s + 65536]].astype(np.float64), x[j[s : s + 65536]].astype(np.float64)
+                        w.append((y * z).sum(1) / (np.sqrt((y * y).sum(1)) * np.sqrt((z * z).sum(1))))
+                    w = np.concatenate(w)
+                    # one link of two components is enough
+                    ends = np.sort(np.stack([comp[i], comp[j]], 1)[w >= least], axis=1)
+                    if len(ends):
+                        ends, at = np.unique(ends, axis=0, return_index=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.minimum(w[w >= least][at], 1.0))], ["u", "v", "w"])
+
+        held, now = [], None
+        for batch in batches:
+            keys = ints(batch.column(0))
+            edges = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if keys[a] != now and held:
+                    yield from link(held)
+                    held = []
+                now = keys[a]
+                part = batch.slice(a, b - a)
+                held.append([ints(part.column(1)), ints(part.column(2)), ints(part.column(3)), unplanes(_bytes(part.column(4), 2 * dim), dim)])
+        if held:
+            yield from link(held)
+
+    return rows.mapInArrow(run, "u bigint, v bigint, w double")
 
 
 def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, dim: int = 64) -> DataFrame:
@@ -131,9 +197,13 @@ def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8,
     With one neighbour the core distance is zero, so a group is a chain of neighbours of cosine >= ``least``.
     Every member but the smallest id, which is the lead.  Unusable vectors are in no group; repeated rows count once.
     """
-    edges, member = graph(df, row_id, vector, least, 1, dim)
+    edges, member, vectors = graph(df, row_id, vector, least, 1, dim)
     _, label = boruvka(edges, [least])
+    # cells may part neighbours: what they leave apart is compared once more, all with all
+    _, joined = boruvka(links_between(vectors, label, least, dim), [least])
+    joined = joined.select(F.col("node").alias("comp"), F.col("l0").alias("whole"))
     member = member.join(label, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("l0", "rep").alias("comp"))
+    member = member.join(joined, "comp", "left").select("id", F.coalesce("whole", "comp").alias("comp"))
     size = member.groupBy("comp").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
     return member.join(size, "comp").where("id <> lead").select("lead", "id")
 
@@ -147,7 +217,7 @@ def hierarchy(
     smallest member.  Exemplars: the members of the greatest density, ties by id.  An empty table gives empty results.
     """
     top = len(levels) - 1
-    edges, member = graph(df, row_id, vector, levels[-1], min_samples, dim)
+    edges, member, _ = graph(df, row_id, vector, levels[-1], min_samples, dim)
     tree, label = boruvka(edges, levels)
     names = [f"l{i}" for i in range(len(levels))]
     nodes = cut_lineage(

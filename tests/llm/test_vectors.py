@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from reelspark.llm.cells import make_cells
 from reelspark.llm.clusters import density_groups, hierarchy
 from reelspark.llm.forest import block_forest, boruvka, reduce_edges
 from reelspark.llm.knn import nearest
@@ -62,6 +63,35 @@ def test_groups_like_brute_force(spark):
     assert got == want and want
 
 
+def test_groups_that_cells_part(spark, monkeypatch):
+    # every row in its nearest cell only: neighbours are parted, and the result must be whole all the same
+    monkeypatch.setattr("reelspark.llm.clusters.make_cells", lambda x, n, *_: make_cells(x, n, 12, 1.0, 1))
+    r = np.random.default_rng(5)
+    chains = np.cumsum(np.concatenate([r.normal(size=(20, 1, DIM)), r.normal(0, 0.45, (20, 29, DIM))], axis=1), axis=1)
+    x = np.round(chains.reshape(-1, DIM), 3)
+    label = components(x, 0.8)
+    want = set()
+    for g in np.unique(label):
+        ids = np.flatnonzero(label == g) + 1
+        if len(ids) >= 5:
+            want |= {(int(ids[0]), int(i)) for i in ids[1:]}
+    got = {(a.lead, a.id) for a in density_groups(frame(spark, x), "id", "v").collect()}
+    assert got == want and want
+
+
+def test_slack_beside_a_hot_group():
+    r = np.random.default_rng(3)
+    calm = np.repeat(r.normal(size=(400, DIM)), 20, axis=0)
+    calm = calm + r.normal(0, 0.4, calm.shape)
+    hot = r.normal(size=DIM) + r.normal(0, 0.02, (len(calm) // 2, DIM))
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    alone = make_cells(unit(calm), 80_000, 400, 3.5, 12)
+    beside = make_cells(unit(np.vstack([calm, hot])[r.permutation(3 * len(hot))]), 120_000, 400, 3.5, 12)
+    x = unit(calm[::4]).astype(np.float32)
+    copies = lambda c: len(c.place(x)[0]) / len(x)
+    assert copies(beside) > 0.7 * copies(alone)
+
+
 def test_nothing_and_all_alike(spark):
     assert density_groups(frame(spark, []), "id", "v").count() == 0
     same = frame(spark, np.tile(clouds()[:1], (300, 1)))
