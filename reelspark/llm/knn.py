@@ -2,8 +2,8 @@
 
 One wide shuffle: every vector is placed in the cells near it (``cells``), with its coordinates as 16-bit
 integers and, where it belongs to the index, its four-bit codes (``quantise``).  In each cell the codes are decoded
-once through their tables and scanned against the cell's queries in blocks; what scores near the threshold
-is reranked with the exact coordinates, and the cells' short lists are merged per query.
+once through their tables and scanned against the cell's queries in blocks; what may reach the threshold
+by the bound of its code's error is reranked with the exact coordinates, and the cells' short lists are merged per query.
 
 Vectors that many rows share exactly are found in the sample and leave the bulk: the index keeps the few smallest
 ids of each (more can never be among the nearest), the vector itself is searched once, and its rows get that answer.
@@ -46,28 +46,50 @@ def unplanes(b, dim):
     return (b[:, :dim].astype(np.uint16) | (b[:, dim : 2 * dim].astype(np.uint16) << 8)).view(np.int16)
 
 
-def search_cell(q, qid, d, did, approx, k: int, least: float, margin: float, depth: int):
+def fold_copies(d, did, most: int):
+    """Positions of the ``most`` smallest ids of each distinct row of d, each id once: no query can need more of them."""
+    import numpy as np
+
+    row = np.ascontiguousarray(d).view(f"V{d.shape[1] * d.itemsize}").ravel()
+    _, kind = np.unique(row, return_inverse=True)
+    order = np.lexsort((did, kind))
+    kind, ids = kind[order], did[order]
+    again = np.r_[False, (kind[1:] == kind[:-1]) & (ids[1:] == ids[:-1])]
+    order, kind = order[~again], kind[~again]
+    first = np.r_[True, kind[1:] != kind[:-1]]
+    at = np.arange(len(kind))
+    return np.sort(order[at - np.maximum.accumulate(np.where(first, at, 0)) < most])
+
+
+def search_cell(q, qid, d, did, approx, k: int, least: float, depth: int):
     """Short lists of one cell: (query id, item id, cosine) of exact cosine >= ``least``, at most k a query.
 
-    q, d: int16 coordinates; approx: decoded codes of d.  ``depth`` items a query and block are reranked.
+    q, d: int16 coordinates, of d each vector at most k + 1 times (``fold_copies``); approx: decoded codes of d.  No item is
+    lost to the codes.  With e = d - approx, a = d.e and b = |e across d|, an item of cosine t scores at least
+    t (1 - a) - sqrt(1 - t^2) b, which grows with t; so what scores below that at ``least`` is out.  Where more than
+    ``depth`` items of a query and block remain, the exact vectors tell which of them are the k + 1 best, with all ties.
     """
     import numpy as np
 
-    qf = q.astype(np.float32)
+    qf, df = q.astype(np.float32), d.astype(np.float32)
     qf /= np.sqrt((qf * qf).sum(1))[:, None]
+    df /= np.sqrt((df * df).sum(1))[:, None]
     d64, q64 = d.astype(np.float64), q.astype(np.float64)
     dn, qn = (d64 * d64).sum(1), (q64 * q64).sum(1)
+    err = df - approx
+    along = (err * df).sum(1)
+    across = np.sqrt(np.maximum((err * err).sum(1) - along * along, 0))
+    floor = np.where(along < 1, least * (1 - along) - np.sqrt(max(1 - least * least, 0)) * across, -np.inf) - 1e-5
     rows, cols = [], []
     for a in range(0, len(q), 1024):
         for b in range(0, len(d), 8192):
             s = qf[a : a + 1024] @ approx[b : b + 8192].T
-            near = s >= least - margin
-            count = near.sum(1)
-            many = np.flatnonzero(count > depth)
+            near = s >= floor[b : b + 8192]
+            many = np.flatnonzero(near.sum(1) > max(depth, k + 1))
             if len(many):
-                part = np.argpartition(-s[many], depth - 1, axis=1)[:, :depth]
-                near[many] = False
-                near[many[:, None], part] = True
+                true = qf[a + many] @ df[b : b + 8192].T
+                best = -np.partition(-true, k, axis=1)[:, k]
+                near[many] = true >= np.maximum(best, least)[:, None] - 1e-5
             r, c = np.nonzero(near)
             rows.append(r + a)
             cols.append(c + b)
@@ -103,7 +125,6 @@ def nearest(
     per_cell: int = 800,
     copies: float = 3.2,
     most_cells: int = 8,
-    margin: float = 0.07,
     depth: int = 32,
 ) -> DataFrame:
     """(query_id, item_id, cosine): of the k most similar other index vectors of each vector those >= ``least``.
@@ -111,7 +132,7 @@ def nearest(
     Every usable vector of ``index`` is both item and query; those of ``queries`` are queries only.  Ids must not
     coincide between the two.  Equal cosines go by the smaller item id.  Unusable vectors (NULL, wrong length, all zero,
     with NULL, NaN or infinity) and NULL ids are left out; repeated rows count once.  The result is approximate:
-    recall is measured in the tests; every reported cosine is exact.
+    neighbours that share no cell are missed, those that share one are all found; every reported cosine is exact.
     """
     spark = index.sparkSession
     n = index.select(row_id).count()
@@ -202,15 +223,19 @@ def nearest(
         import pyarrow as pa
 
         _, book, _ = shared_model.value
-        cell, items, waiting = None, [], 0
+        cell, items, folded = None, [], []
 
         def answer(q, qid):
             if not items or not len(q):
                 return None
             if len(items) > 1:
                 items[:] = [tuple(np.concatenate(a) for a in zip(*items))]
-            d, did, approx = items[0]
-            a, b, s = search_cell(q, qid, d, did, approx, k + (qid < -(2**61)).any(), least, margin, depth)
+            if not folded:
+                d, did, approx = items[0]
+                keep = fold_copies(d, did, k + 2)
+                folded.append((d[keep], did[keep], approx[keep]))
+            d, did, approx = folded[0]
+            a, b, s = search_cell(q, qid, d, did, approx, k + (qid < -(2**61)).any(), least, depth)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "item_id", "cosine"])
 
         def finish():
@@ -231,7 +256,7 @@ def nearest(
                 if cell != cs[a]:
                     if (out := finish()) is not None:
                         yield out
-                    cell, items[:], roles = cs[a], [], []
+                    cell, items[:], folded[:], roles = cs[a], [], [], []
                 raw = batch.column(3).slice(a, b - a)
                 if rs[a] == QUERY:
                     if (out := answer(unplanes(_bytes(raw, width), dim), ids[a:b])) is not None:

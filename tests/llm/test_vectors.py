@@ -6,7 +6,7 @@ import pytest
 from reelspark.llm.cells import make_cells
 from reelspark.llm.clusters import density_groups, hierarchy
 from reelspark.llm.forest import block_forest, boruvka, reduce_edges
-from reelspark.llm.knn import nearest
+from reelspark.llm.knn import fold_copies, nearest, search_cell
 from reelspark.llm.quantise import eta_for, pack, train_codebook, unpack
 
 DIM = 64
@@ -201,6 +201,21 @@ def test_nearest_recall(spark, copies):
     assert len(rows) == len(got) and max(sum(1 for a, _ in got if a == i) for i in (1, 5, 11)) <= 5
 
 
+def test_cell_of_near_equal_frames():
+    r = np.random.default_rng(6)
+    x = np.vstack([r.normal(size=DIM) + r.normal(0, 0.155, (3000, DIM)), r.normal(size=(500, DIM))])
+    x = np.vstack([x, np.tile(x[7:8], (100, 1))])
+    v = np.rint(x * 1000).astype(np.int16)
+    unit = v / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    book = train_codebook(unit[::4], 32, 0.92)
+    approx = book.decode(book.encode(unit.astype(np.float32)))
+    ids = np.arange(1, len(v) + 1)
+    keep = fold_copies(v, ids, 6)
+    q = np.r_[0:3000:30, 7, 3500:3600]
+    a, b, _ = search_cell(v[q], ids[q], v[keep], ids[keep], approx[keep], 5, 0.92, 32)
+    assert set(zip(a.tolist(), b.tolist())) == brute((ids, unit), [(int(ids[i]), unit[i]) for i in q], 5, 0.92)
+
+
 def test_nearest_of_nothing(spark):
     assert nearest(frame(spark, []), frame(spark, clouds()[:3]), "id", "v").count() == 0
     assert nearest(frame(spark, clouds()[:1]), None, "id", "v").count() == 0
