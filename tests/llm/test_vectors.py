@@ -79,14 +79,15 @@ def test_groups_that_cells_part(spark, monkeypatch):
     assert got == want and want
 
 
-def test_slack_beside_a_hot_group():
+@pytest.mark.parametrize(("per_cell", "mean", "most"), [(400, 3.5, 12), (800, 3.2, 8)])
+def test_slack_beside_a_hot_group(per_cell, mean, most):
     r = np.random.default_rng(3)
     calm = np.repeat(r.normal(size=(400, DIM)), 20, axis=0)
     calm = calm + r.normal(0, 0.4, calm.shape)
     hot = r.normal(size=DIM) + r.normal(0, 0.02, (len(calm) // 2, DIM))
     unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
-    alone = make_cells(unit(calm), 80_000, 400, 3.5, 12)
-    beside = make_cells(unit(np.vstack([calm, hot])[r.permutation(3 * len(hot))]), 120_000, 400, 3.5, 12)
+    alone = make_cells(unit(calm), 200 * per_cell, per_cell, mean, most)
+    beside = make_cells(unit(np.vstack([calm, hot])[r.permutation(3 * len(hot))]), 300 * per_cell, per_cell, mean, most)
     x = unit(calm[::4]).astype(np.float32)
     copies = lambda c: len(c.place(x)[0]) / len(x)
     assert copies(beside) > 0.7 * copies(alone)
@@ -216,6 +217,20 @@ def test_cell_of_near_equal_frames():
     assert set(zip(a.tolist(), b.tolist())) == brute((ids, unit), [(int(ids[i]), unit[i]) for i in q], 5, 0.92)
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.12])
+def test_nearest_beside_a_hot_source(spark, spread):
+    r = np.random.default_rng(14)
+    calm = np.repeat(r.normal(size=(100, DIM)), 20, axis=0)
+    calm = calm + r.normal(0, 0.24, calm.shape)
+    x = np.vstack([calm, r.normal(size=DIM) + r.normal(0, spread, (1000, DIM))])
+    x = np.round(x[r.permutation(len(x))], 3)
+    ids = np.arange(1, len(x) + 1)
+    got = {(a.query_id, a.item_id) for a in nearest(frame(spark, x, ids), None, "id", "v", per_cell=48).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = brute((ids, u), [*zip(ids.tolist(), u)], 5, 0.92)
+    assert len(want & got) / len(want) >= 0.9
+
+
 def test_nearest_of_nothing(spark):
     assert nearest(frame(spark, []), frame(spark, clouds()[:3]), "id", "v").count() == 0
     assert nearest(frame(spark, clouds()[:1]), None, "id", "v").count() == 0
