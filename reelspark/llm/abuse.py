@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.text import fold, plain
+from reelspark.session import cut_lineage
 
 MAX_LABELLED = 40_000  # labelled documents that are fitted on
 MAX_CHARS = 20_000_000  # and their characters: what the driver holds stays below about 100 MB
@@ -300,16 +301,27 @@ def fit(rows: list[tuple[str, float]], min_rate: float = 3.0, min_docs: int = 4,
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, seed: int = 11) -> list[tuple[str, float]]:
-    """Bounded sample of (text, mean label); labels are averaged over the reviewers of a document."""
+    """Bounded sample of (whole text, mean label); labels are averaged over the reviewers of a document.
+
+    The label covers the whole text, so none is cut: where the bound is passed, fewer documents are drawn, by hash.
+    """
     marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("y"))
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 31))
     n = marks.count()
     if n > MAX_LABELLED:
-        marks = marks.where(F.rand(seed) < MAX_LABELLED / n)
-    # text is cut only for the fit, by a bound that no ordinary document reaches; scores cover whole texts
-    each = max(2_000, MAX_CHARS // max(1, min(n, MAX_LABELLED)))
-    texts = documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, each).alias("text"))
+        marks = marks.where(lot < int((1 << 31) * MAX_LABELLED / n))
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
     # about MAX_LABELLED rows of two numbers at most, so this side may be broadcast
-    got = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("doc_id")
+    texts = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    texts = cut_lineage(texts.withColumn("lot", lot).withColumn("size", F.length("text")).where(F.col("size") <= MAX_CHARS))
+    # whole texts in the order of their lots, as many as the bound holds
+    total, last = 0, -1
+    for number, size in sorted((r.lot, r.size) for r in texts.groupBy("lot").agg(F.sum("size").alias("size")).collect()):
+        total += size
+        if total > MAX_CHARS:
+            break
+        last = number
+    got = texts.where(F.col("lot") <= last).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
     return [(t, y) for t, y in zip(got.column("text").to_pylist(), got.column("y").to_pylist()) if y != 0.5]
 
 

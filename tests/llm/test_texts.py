@@ -151,3 +151,14 @@ def test_scores_of_odd_rows(spark):
     assert len(got) == len(rows) and {g.doc_id: g.score > 0 for g in got} == {1: False, 2: False, 3: False, 4: True, None: False, 5: True}
     empty = spark.createDataFrame([], "doc_id bigint, text string, toxic int")
     assert abuse.labelled_sample(empty, empty) == []
+
+
+def test_labelled_texts_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(abuse, "MAX_CHARS", 100_000)
+    texts = {i: "word " * (1_200 if i % 3 else 20) + f"end{i}" for i in range(60)}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in texts], "doc_id bigint, toxic boolean")
+    got = abuse.labelled_sample(documents, labels)
+    assert got and all(t in texts.values() for t, _ in got)
+    assert 50_000 < sum(len(t) for t, _ in got) <= 100_000
+    assert max(len(t) for t, _ in got) > 5_000
