@@ -1,9 +1,9 @@
-"""Evaluation passages inside training text, by a distributed positional inverted index.
+"""Evaluation passages inside training text, by an inverted index of the passages that the workers hold.
 
 1. Items lose their stock instruction and closing question; what is left is the passage.
-2. Document frequencies of the passages' words over the whole corpus decide which words of each stretch of the passage
-   are its rarest; only their postings (term, document, position) are stored.
-3. Postings meet the items' positions; offset-adjusted hits on about the same diagonal make a (document, item) candidate.
+2. The heaviest words of each stretch of a passage are its seeds: so many that a stretch that the alignment accepts has one.
+3. Each document's words are looked up with their misspellings; an item with a seed there is a candidate if some stretch of
+   it has enough of its weight in the document.  Neither test drops what the alignment accepts.
 4. Candidates are aligned word by word: matches in order, single words between them replaced, misspelt, dropped or added.
 """
 
@@ -12,15 +12,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.text import plain, words
 from reelspark.session import cut_lineage
 
-MAX_TERMS = 2_000_000  # the vocabulary is sent to the workers only below this many terms (about 30 MB); else it is joined
-MAX_WORDS = 1_000_000  # passages are sent to the workers only up to so many words in all (about 30 MB)
-PRESENT = 0.7  # of the density must be spelt alike in some window; the rest may be misspelt
+MAX_WORDS = 100_000  # passages are sent to the workers in parts of about so many words (up to 200 MB with their misspellings)
 STOCK_ITEMS = 5  # an opening sentence before at least so many different rests is a stock instruction
 
 _SENTENCE = re.compile(r"[^.?!:\n]*[.?!:\n]+\s*")
@@ -78,6 +76,61 @@ def best_stretch(item: list[str], weight: list[float], doc: list[str]) -> tuple[
     return span, matched / (sum(weight[at : at + span]) or 1.0)
 
 
+def can_hold(item: list[str], weight: list[float], there: set[str], size: int, density: float) -> bool:
+    """Whether at least ``density`` of the weight of some ``size`` or more words in a row stands in the document, in any order.
+
+    there: the item's words that a word of the document is ``close`` to; what ``best_stretch`` matches is among them.
+    """
+    total, low, before = 0.0, float("inf"), [0.0]
+    for i, w in enumerate(item):
+        total += weight[i] * ((1 - density) if w in there else -density)
+        before.append(total)
+        if i + 1 >= size:
+            low = min(low, before[i + 1 - size])
+            if total >= low - 1e-9:
+                return True
+    return False
+
+
+def seed_places(weight: list[float], min_words: int, density: float, window: int) -> set[int]:
+    """Places of the heaviest words of every ``window`` words of a passage.
+
+    With r of w words, the seeds have at least r / 2w of the weight of any stretch of w or more words (it is covered by windows of
+    which no three share a word).  r is the least with r / 2w > 1 - density: if no seed matches, the stretch falls short.
+    """
+    w = min(window, min_words)
+    r = min(w, int(2 * w * (1 - density) + 1e-9) + 1)
+    return {i for s in range(len(weight) - w + 1) for i in sorted(range(s, s + w), key=lambda i: (-weight[i], i))[:r]}
+
+
+class Spellings:
+    """The terms that a word is ``close`` to.  Words that are close agree but for one gap of up to two letters in each."""
+
+    def __init__(self, terms):
+        self.terms, self.gaps, self.seen = set(terms), {}, {}
+        for t in self.terms:
+            if len(t) >= 4 and not t.isdigit():
+                for g in self._gaps(t):
+                    self.gaps.setdefault(g, []).append(t)
+
+    @staticmethod
+    def _gaps(word: str) -> set[str]:
+        return {f"{word[:i]}*{word[i + n :]}" for n in (0, 1, 2) for i in range(len(word) - n + 1)}
+
+    def of(self, word: str) -> frozenset[str]:
+        got = self.seen.get(word)
+        if got is None:
+            near = {word} & self.terms
+            if len(word) >= 4 and not word.isdigit() and len(word) <= 64:
+                near |= {t for g in self._gaps(word) for t in self.gaps.get(g, ()) if close(t, word)}
+            elif len(word) > 64:
+                near |= {t for t in self.terms if abs(len(t) - len(word)) <= 2 and close(t, word)}
+            if len(self.seen) >= 1 << 17:
+                self.seen.clear()
+            got = self.seen[word] = frozenset(near)
+        return got
+
+
 def best_window(item: list[str], weight: list[float], there: set[str], size: int) -> float:
     """Greatest share of the weight of ``size`` words in a row that stands anywhere in the document, spelt alike.
 
@@ -137,7 +190,7 @@ def passages(items: DataFrame) -> DataFrame:
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 15, density: float = 0.85, window: int = 6, rarest: int = 1, min_hits: int = 2
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 15, density: float = 0.85, window: int = 6
 ) -> DataFrame:
     """(doc_id, item_id, span, share): documents that hold at least ``min_words`` words of an item's passage in order.
 
@@ -156,79 +209,40 @@ def find_leaks(
         "item_id", F.col("w.term").alias("words"), F.col("w.weight").alias("weight")
     )
     passage = cut_lineage(passage)
-    n_terms = terms.count()
-    vocabulary = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.select("term").collect()) if n_terms <= MAX_TERMS else None)
-
-    def frequencies(batches):
-        import pyarrow as pa
-
-        known, count = vocabulary.value, {}
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = set(words(t))
-                for w in found if known is None else found & known:
-                    count[w] = count.get(w, 0) + 1
-            if len(count) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["term", "n"])
-                count = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
-
-    df = docs.select("txt").mapInArrow(frequencies, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
-    # the rarest words of every window of the passage; a word that no document holds finds nothing
-    ranked = places.join(df, "term")
-    cell = F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - window + 1), F.col("ipos")))
-    by = Window.partitionBy("item_id", "start").orderBy("df", "term", "ipos")
-    seeds = ranked.withColumn("start", cell).withColumn("r", F.row_number().over(by)).where(F.col("r") <= rarest)
-    seeds = cut_lineage(seeds.select("item_id", "ipos", "term").distinct())
-    seed_terms = seeds.select("term").distinct()
-    # the seeds are among the passages' words, so this set has the same bound
-    wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in seed_terms.collect()) if n_terms <= MAX_TERMS else None)
-
-    def postings(batches):
-        import pyarrow as pa
-
-        known = wanted.value
-        for batch in batches:
-            d, t, p = [], [], []
-            for doc, txt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, w in enumerate(words(txt)):
-                    if known is None or w in known:
-                        d.append(doc)
-                        t.append(w)
-                        p.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.string()), pa.array(p, pa.int32())], ["doc", "term", "pos"])
-
-    index = docs.mapInArrow(postings, "doc bigint, term string, pos int")
-    hits = index.join(seeds, "term").select("doc", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("diag"))
-    # bands of 16 diagonals that overlap by half, so hits within 8 diagonals share a band
-    band = F.explode(F.array(F.floor(F.col("diag") / 16) * 2, F.floor((F.col("diag") + 8) / 16) * 2 + 1))
-    bands = hits.withColumn("band", band).groupBy("doc", "item_id", "band").agg(F.count_distinct("ipos").alias("n"))
-    pairs = bands.where(F.col("n") >= min_hits).select("doc", "item_id").distinct()
-    small = passage.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= MAX_WORDS
-    held = spark.sparkContext.broadcast({r.item_id: (r.words, r.weight) for r in passage.collect()} if small else None)
-    # an eval set of ordinary size is known to the workers; a huge one travels with the pairs
-    load = F.struct("item_id") if small else F.struct("item_id", "words", "weight")
-    wantlist = (pairs if small else pairs.join(passage, "item_id")).groupBy("doc").agg(F.collect_list(load).alias("items"))
-
-    def align(batches):
-        import pyarrow as pa
-
-        known = held.value
-        for batch in batches:
-            rows = []
-            for doc, txt, items in zip(*(c.to_pylist() for c in batch.columns)):
-                said = words(txt)
-                there = set(said)
-                for item in items:
-                    passage, weight = known[item["item_id"]] if known is not None else (item["words"], item["weight"])
-                    if best_window(passage, weight, there, min_words) < PRESENT * density:
-                        continue
-                    span, share = best_stretch(passage, weight, said)
-                    if span >= min_words and share >= density:
-                        rows.append((doc, item["item_id"], span, share))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "item_id", "span", "share"])
-
-    found = docs.join(wantlist, "doc").select("doc", "txt", "items").mapInArrow(align, "doc bigint, item_id bigint, span bigint, share double")
+    # an eval set of ordinary size is one part; a huge one is gone through part by part
+    parts = max(1, -(-passage.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // MAX_WORDS))
+
+    def align(held):
+        def run(batches):
+            import pyarrow as pa
+
+            known = held.value
+            spellings = Spellings(w for passage, _ in known.values() for w in passage)
+            seeds: dict[str, set[int]] = {}
+            for item, (passage, weight) in known.items():
+                for i in seed_places(weight, min_words, density, window):
+                    seeds.setdefault(passage[i], set()).add(item)
+            for batch in batches:
+                rows = []
+                for doc, txt in zip(*(c.to_pylist() for c in batch.columns)):
+                    said = words(txt)
+                    there = set().union(*(spellings.of(w) for w in set(said)))
+                    for item in set().union(*(seeds[t] for t in there if t in seeds)):
+                        passage, weight = known[item]
+                        if can_hold(passage, weight, there, min_words, density):
+                            span, share = best_stretch(passage, weight, said)
+                            if span >= min_words and share >= density:
+                                rows.append((doc, item, span, share))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                cols = list(zip(*rows)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "item_id", "span", "share"])
+
+        return run
+
+    found = None
+    for part in range(parts):
+        mine = passage.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        held = spark.sparkContext.broadcast({r.item_id: (r.words, r.weight) for r in mine})
+        got = docs.mapInArrow(align(held), "doc bigint, item_id bigint, span bigint, share double")
+        found = got if found is None else found.unionByName(got)
     return found.groupBy("doc", "item_id").agg(F.max("span").alias("span"), F.max("share").alias("share")).withColumnRenamed("doc", doc_id)

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 
 from reelspark.llm import abuse
-from reelspark.llm.leaks import best_stretch, best_window, close, find_leaks
+from reelspark.llm.leaks import Spellings, best_stretch, best_window, can_hold, close, find_leaks
 from reelspark.llm.text import plain, words
 
 DOCS = "doc_id bigint, text string, item_id bigint, words string"
@@ -162,3 +162,35 @@ def test_labelled_texts_stay_whole(spark, monkeypatch):
     assert got and all(t in texts.values() for t, _ in got)
     assert 50_000 < sum(len(t) for t, _ in got) <= 100_000
     assert max(len(t) for t, _ in got) > 5_000
+
+
+def test_misspelt_leaks_like_aligning_all(spark, monkeypatch):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(5, 10))) for _ in range(500)]
+    items = [(i, "s", " ".join(r.choice(vocabulary) for _ in range(24)) + ".") for i in range(40)]
+    docs = []
+    for i, (_, _, text) in enumerate(items * 3):
+        said = words(text)[4:20]
+        for at in r.sample(range(1, 16), 5 + i % 11):
+            w = said[at]
+            said[at] = w[:2] + ("z" if i % 2 else "") + w[3:]  # a letter replaced or dropped
+        docs.append((i, " ".join([r.choice(vocabulary) for _ in range(12)] + said + [r.choice(vocabulary) for _ in range(12)])))
+    monkeypatch.setattr("reelspark.llm.leaks.MAX_WORDS", 400)  # several parts
+    got = {(a.doc_id, a.item_id) for a in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, ITEMS)).collect()}
+    used = {w: sum(w in words(t) for _, _, t in items) for w in vocabulary}
+    want = set()
+    for i, text in docs:
+        for item, _, body in items:
+            span, share = best_stretch(words(body), [np.log1p(40 / used[w]) for w in words(body)], words(text))
+            if span >= 15 and share >= 0.85:
+                want.add((i, item))
+    assert got == want and len(want) >= 100
+
+
+def test_spellings_like_close():
+    r = random.Random(2)
+    terms = {"".join(r.choice("abc") for _ in range(r.randint(2, 10))) for _ in range(400)} | {"1234", "12345"}
+    known = Spellings(terms)
+    for w in [*sorted(terms)[::5], "acbbacab", "12346", "ab"]:
+        assert known.of(w) == {t for t in terms if close(t, w)}
+    assert can_hold(["a", "b", "c", "d"], [1.0] * 4, {"b", "c", "d"}, 3, 0.9) and not can_hold(["a", "b", "c", "d"], [1.0] * 4, {"b", "d"}, 3, 0.7)
