@@ -48,16 +48,23 @@ class Cells:
         return np.concatenate(rows), np.concatenate(cells)
 
 
-def bounded_sample(df: DataFrame, vector: str, n: int, dim: int, size: int = SAMPLE_ROWS, seed: int = 7):
-    """Usable vectors of about ``size`` of the ``n`` rows, drawn row by row with a fixed seed.
+def bounded_sample(df: DataFrame, row_id: str, vector: str, n: int, dim: int, size: int = SAMPLE_ROWS, seed: int = 7):
+    """Usable vectors of about ``size`` of the ``n`` rows, drawn by a hash of their id: the same ones however the files lie.
 
-    Each row is drawn on its own, so the number drawn stays within a few times sqrt(size) of ``size`` whatever the rows hold.
+    Each id is drawn on its own, so the number drawn stays within a few times sqrt(size) of ``size`` whatever the rows hold.
     """
+    import numpy as np
+    import pyarrow.compute as pc
+
     share = min(1.0, size / max(n, 1))
-    drawn = df.where(F.rand(seed) < share).where(F.col(vector).isNotNull())
-    got = drawn.select(F.col(vector).cast("array<double>").alias("v")).toArrow()
+    lot = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(1 << 31))
+    drawn = df.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull() & (lot < int(share * (1 << 31))))
+    got = drawn.select(F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).toArrow()
+    got = got.take(pc.sort_indices(got, [("id", "ascending")]))
     x, ok = matrix(got.column("v"), dim, "float64")
-    return x[ok]
+    ids = got.column("id").to_numpy()
+    first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
+    return x[ok & first]
 
 
 def train_centres(x, k: int, rounds: int = 6, seed: int = 7):

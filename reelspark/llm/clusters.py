@@ -1,9 +1,9 @@
 """Groups of mutually similar records: hierarchical density clustering.
 
 1. Vectors are placed in overlapping cells (``cells``); exact copies travel once.
-2. Each cell reduces its mutual-reachability graph to its spanning forest (``forest.block_forest``).
-3. Distributed Borůvka merges the cells' forests (``density_groups`` adds the links that no cell holds) and gives the components at a falling series of similarities.
-4. These nested components are the hierarchy: components below ``min_size`` are shed, a cluster goes on while one
+2. Each cell reduces its mutual-reachability graph to its spanning forest (``forest.block_forest``), large cells through cells of their own.
+3. Distributed Borůvka merges the cells' forests; ``links_between`` adds every link that no cell holds, so components are exact.
+4. The spanning forest is condensed over all its merges (``condense``): components below ``min_size`` are shed, a cluster goes on while one
    large part remains and ends where it splits; stability picks the clusters; the most persistent members stand for it.
 """
 
@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.functions.arrow_vectors import binary, ints, matrix
+from reelspark.functions.arrow_vectors import binary, doubles, ints, matrix
 from reelspark.llm.cells import bounded_sample, make_cells
-from reelspark.llm.forest import block_forest, boruvka
+from reelspark.llm.condense import LOCAL_NODES, condensed
+from reelspark.llm.forest import FINISH_EDGES, block_forest, boruvka, exact_cosines
 from reelspark.llm.knn import _bytes, planes, to_int16, unplanes
 from reelspark.session import cut_lineage
 
-LEVELS = [0.98, 0.96, 0.94, 0.92, 0.9, 0.87, 0.84, 0.8]
+MOST_IN_CELL = 8192  # rows of a cell above which it is searched through cells of its own
 
 
 def compact(df: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
@@ -36,31 +37,63 @@ def compact(df: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
     return slim.mapInArrow(run, "id bigint, load binary")
 
 
+def sets_of(batches, columns):
+    """Complete sets of rows of one key (the first column, sorted) of a stream: (key, [arrays])."""
+    import numpy as np
+
+    held, now = [], None
+    for batch in batches:
+        keys = ints(batch.column(0))
+        edges = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if keys[a] != now and held:
+                yield now, [np.concatenate(v) for v in zip(*held)]
+                held = []
+            now = keys[a]
+            part = batch.slice(a, b - a)
+            held.append([f(part.column(i)) for i, f in columns])
+    if held:
+        yield now, [np.concatenate(v) for v in zip(*held)]
+
+
+def subcells(x, per_cell: int, copies: float, most: int):
+    """Row sets of a large cell: overlapping cells trained on at most 8192 of its own rows; the whole cell if it is small."""
+    import numpy as np
+
+    n = len(x)
+    if n <= MOST_IN_CELL:
+        return [np.arange(n)]
+    unit = x.astype(np.float32)
+    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    cells = make_cells(unit[:: -(-n // 8192)], n, per_cell, copies, most)
+    r, c = cells.place(unit)
+    order = np.argsort(c, kind="stable")
+    return np.split(r[order], np.flatnonzero(np.diff(c[order])) + 1)
+
+
 def graph(
-    df: DataFrame, row_id: str, vector: str, least: float, min_samples: int, dim: int = 64, per_cell: int = 400, copies: float = 3.5, most_cells: int = 12
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Forest edges (u, v, w) of all cells; (id, rep): each usable row and the row that stands for its vector; (rep, load): the vectors."""
+    rows: DataFrame, distinct: DataFrame, least: float, min_samples: int, dim: int, per_cell: int, copies: float, most_cells: int
+) -> tuple[DataFrame, DataFrame]:
+    """Forest edges (u, v, w) of all cells, and (rep, load, core): the vectors whose density allows a link.
+
+    rows: (id, load); distinct: (rep, copies, load).  With one neighbour the core similarity of every vector is 1.
+    """
     import numpy as np
 
-    spark = df.sparkSession
-    n = df.select(row_id).count()
-    sample = bounded_sample(df, vector, n, dim)
+    spark = rows.sparkSession
+    n = rows.count()
+    whole = rows.mapInArrow(_vectors(dim), "id bigint, v array<double>")
+    sample = bounded_sample(whole, "id", "v", n, dim)
     norm = sample / np.maximum(np.sqrt((sample**2).sum(1)), 1e-300)[:, None] if len(sample) else np.ones((1, dim)) / np.sqrt(dim)
     cells = make_cells(norm, n, per_cell, copies, most_cells)
     model = spark.sparkContext.broadcast(cells)
-    rows = compact(df, row_id, vector, dim)
-    # copies are folded on the map side already; only one row of each vector is placed
-    distinct = rows.groupBy("load").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies") if min_samples > 1 else F.first(F.lit(1).cast("bigint")).alias("copies"))
-    keys = [F.xxhash64("load").alias("h1"), F.xxhash64("load", F.lit(1)).alias("h2")]
-    reps = distinct.select("rep", *keys)
-    member = rows.select("id", *keys).distinct().join(reps, ["h1", "h2"]).select("id", "rep")
 
     def place(batches):
         import pyarrow as pa
 
         cells = model.value
         for batch in batches:
-            ids, copies = ints(batch.column(0)), ints(batch.column(1))
+            ids, many = ints(batch.column(0)), ints(batch.column(1))
             load = _bytes(batch.column(2), 2 * dim)
             x = unplanes(load, dim).astype(np.float32)
             if not len(x):
@@ -70,40 +103,28 @@ def graph(
                 r, c = cells.place(x[s : s + 4096])
                 r = r + s
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.int32)), pa.array(ids[r]), pa.array(copies[r]), binary(load[r])], ["cell", "id", "copies", "load"]
+                    [pa.array(c.astype(np.int32)), pa.array(ids[r]), pa.array(many[r]), binary(load[r])], ["cell", "id", "copies", "load"]
                 )
 
+    load = (3, lambda c: unplanes(_bytes(c, 2 * dim), dim))
     placed = distinct.select("rep", "copies", "load").mapInArrow(place, "cell int, id bigint, copies bigint, load binary")
-
-    def per_cell_stream(batches, extra: bool):
-        held, cell = [], None
-        for batch in batches:
-            cs = ints(batch.column(0))
-            edges = np.r_[0, np.flatnonzero(np.diff(cs)) + 1, len(cs)] if len(cs) else [0]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if cs[a] != cell and held:
-                    yield [np.concatenate(v) for v in zip(*held)]
-                    held = []
-                cell = cs[a]
-                part = batch.slice(a, b - a)
-                vals = [ints(part.column(1)), ints(part.column(2)), unplanes(_bytes(part.column(3), 2 * dim), dim).astype(np.float64)]
-                held.append([*vals, part.column(4).to_numpy(zero_copy_only=False)] if extra else vals)
-        if held:
-            yield [np.concatenate(v) for v in zip(*held)]
+    vectors = distinct.select("rep", "load", F.lit(1.0).alias("core"))
 
     def cores(batches):
         import pyarrow as pa
 
-        for ids, copies, x in per_cell_stream(batches, False):
-            norm = np.sqrt((x * x).sum(1))
-            for s in range(0, len(x), 1024):
-                sim = (x[s : s + 1024] @ x.T) / (norm[s : s + 1024, None] * norm[None])
-                k = min(min_samples, sim.shape[1])
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                i, j = np.repeat(np.arange(len(sim)), k), top.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s + i]), pa.array(ids[j]), pa.array(np.minimum(sim[i, j], 1.0)), pa.array(copies[j])], ["id", "other", "sim", "copies"]
-                )
+        for _, (ids, many, x) in sets_of(batches, [(1, ints), (2, ints), load]):
+            for at in subcells(x, per_cell, copies, most_cells):
+                y = x[at].astype(np.float64)
+                size = np.sqrt((y * y).sum(1))
+                for s in range(0, len(y), 1024):
+                    sim = (y[s : s + 1024] @ y.T) / (size[s : s + 1024, None] * size[None])
+                    k = min(min_samples, sim.shape[1])
+                    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+                    i, j = np.repeat(np.arange(len(sim)), k), top.ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[at[s + i]]), pa.array(ids[at[j]]), pa.array(np.minimum(sim[i, j], 1.0)), pa.array(many[at[j]])], ["id", "other", "sim", "copies"]
+                    )
 
     cell_key = placed.repartition("cell").sortWithinPartitions("cell", "id")
     if min_samples > 1:
@@ -112,176 +133,204 @@ def graph(
         )
         by = Window.partitionBy("id").orderBy(F.desc("sim"), "other").rowsBetween(Window.unboundedPreceding, 0)
         core = near.withColumn("k", F.sum("copies").over(by)).where(F.col("k") >= min_samples).groupBy("id").agg(F.max("sim").alias("core"))
+        core = cut_lineage(core.where(F.col("core") >= least))
         cell_key = placed.join(core, "id").select("cell", "id", "copies", "load", "core").repartition("cell").sortWithinPartitions("cell", "id")
+        vectors = distinct.select("rep", "load").join(core.withColumnRenamed("id", "rep"), "rep")
 
     def forests(batches):
         import pyarrow as pa
 
-        for got in per_cell_stream(batches, min_samples > 1):
-            ids, _, x, *core = got
-            u, v, w = block_forest(x, ids, core[0] if core else None, least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(w)], ["u", "v", "w"])
+        extra = [(4, doubles)] if min_samples > 1 else []
+        for _, (ids, x, *core) in sets_of(batches, [(1, ints), load, *extra]):
+            for at in subcells(x, per_cell, copies, most_cells):
+                u, v, w = block_forest(x[at], ids[at], core[0][at] if core else None, least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(w)], ["u", "v", "w"])
 
-    return cell_key.mapInArrow(forests, "u bigint, v bigint, w double"), member, distinct.select("rep", "load")
+    return cell_key.mapInArrow(forests, "u bigint, v bigint, w double"), vectors
 
 
-def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int, per_group: int = 65_536) -> DataFrame:
-    """(u, v, w) with u < v: links of cosine >= ``least`` between components, of all pairs of vectors, cells or not.
+def _vectors(dim: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x = unplanes(_bytes(batch.column(1), 2 * dim), dim).astype(np.float64)
+            ends = pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["id", "v"])
+
+    return run
+
 
-    vectors: (rep, load); label: (node, l0).  Rows fall into groups and every two groups meet in one task; blocks that lie in
-    one component are passed over, so a dense group costs nothing once it is whole.  Otherwise the cost is quadratic: at this
-    threshold no bound from centres and radii rules out more than few pairs.
+def balls(unit, comp, most: int = 256):
+    """(order, starts, centres, cosine of the radius) of tight sets of rows: each component, large ones cut around leaders."""
+    import numpy as np
+
+    order = np.argsort(comp, kind="stable")
+    key = comp[order]
+    starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+    sizes = np.diff(starts)
+    cuts = [starts[:-1]]
+    for s in np.flatnonzero(sizes > most):
+        a, b = starts[s], starts[s + 1]
+        x = unit[order[a:b]]
+        lead = x[:: most // 2]
+        near = np.concatenate([(x[t : t + 4096] @ lead.T).argmax(1) for t in range(0, len(x), 4096)])
+        inner = np.argsort(near, kind="stable")
+        order[a:b] = order[a:b][inner]
+        cuts.append(a + np.flatnonzero(np.diff(near[inner])) + 1)
+    starts = np.sort(np.concatenate(cuts))
+    sizes = np.diff(np.r_[starts, len(order)])
+    x = unit[order]
+    centre = np.add.reduceat(x, starts, axis=0) if len(starts) else x[:0]
+    centre = centre / np.maximum(np.sqrt((centre * centre).sum(1)), 1e-12)[:, None]
+    reach = np.einsum("ij,ij->i", x, np.repeat(centre, sizes, axis=0))
+    least = np.minimum.reduceat(reach, starts) if len(starts) else reach
+    return order, np.r_[starts, len(order)], centre.astype(np.float32), np.where(sizes == 1, 1.0, least)
+
+
+def far_links(x, comp, ids, core, cut: int, least: float):
+    """(u, v, w) of the best link between every two components with one end in rows [0, cut) and one in the rest (cut = 0: all with all).
+
+    A vector can only be linked into a set of rows if its angle to the set's centre is at most the set's radius and that
+    of ``least`` together; sets that pass are compared row by row.
     """
     import numpy as np
 
+    norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+    unit = (x / norm[:, None]).astype(np.float32)
+    one = cut == 0
+    p, q = (np.arange(len(x)), np.arange(len(x))) if one else (np.arange(cut), np.arange(cut, len(x)))
+    if not one and len(np.unique(comp[p])) < len(np.unique(comp[q])):
+        p, q = q, p  # the side with fewer components is the one that is bounded
+    order, starts, centre, reach = balls(unit[q], comp[q])
+    angle = np.arccos(np.clip(reach, -1, 1)) + np.arccos(least)
+    bar = np.where(reach >= 1.0, least - 1e-5, np.cos(np.minimum(angle, np.pi)) - 1e-4).astype(np.float32)
+    bar[angle >= np.pi] = -2
+    of = comp[q][order[starts[:-1]]]
+    found = [[], [], []]
+
+    def compare(i, s):
+        by = np.argsort(s, kind="stable")
+        i, s = i[by], s[by]
+        edges = np.r_[0, np.flatnonzero(np.diff(s)) + 1, len(s)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            rows, inside = p[i[a:b]], q[order[starts[s[a]] : starts[s[a] + 1]]]
+            for t in range(0, len(rows), 8192):
+                flat = np.flatnonzero(unit[rows[t : t + 8192]] @ unit[inside].T >= least - 1e-5)
+                if len(flat):
+                    k, m = rows[t + flat // len(inside)], inside[flat % len(inside)]
+                    w = np.minimum(np.minimum(exact_cosines(x, norm, x, norm, k, m), core[k]), core[m])
+                    good = w >= least
+                    for c, v in zip(found, (k[good], m[good], w[good])):
+                        c.append(v)
+
+    held, n = [], 0
+    step = max(256, 4_000_000 // max(1, len(centre)))
+    for a in range(0, len(p), step):
+        flat = np.flatnonzero(unit[p[a : a + step]] @ centre.T >= bar)
+        i, s = flat // len(centre) + a, flat % len(centre)
+        far = comp[p[i]] != of[s]
+        held.append((i[far], s[far]))
+        n += int(far.sum())
+        if n > 2_000_000:
+            compare(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        compare(*map(np.concatenate, zip(*held)))
+    if not found[0]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    k, m, w = map(np.concatenate, found)
+    lo, hi = np.minimum(comp[k], comp[m]), np.maximum(comp[k], comp[m])
+    by = np.lexsort((np.minimum(ids[k], ids[m]), -w, hi, lo))
+    first = by[np.r_[True, (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])]] if len(by) else by
+    return np.minimum(ids[k], ids[m])[first], np.maximum(ids[k], ids[m])[first], w[first]
+
+
+def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int, per_group: int = 65_536) -> DataFrame:
+    """(u, v, w) with u < v: links >= ``least`` between components, of all pairs of vectors, cells or not.
+
+    vectors: (rep, load, core); label: (node, comp).  Components fall into groups (large ones into several) and every two groups meet in
+    one task.  There each vector is held against the balls around the other group's components, and only balls that can hold a
+    neighbour are compared row by row (``far_links``): for tight components a small part of all pairs.
+    """
     n = vectors.count()
-    groups = max(6, -(-n // per_group))
-    rows = vectors.join(label, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("l0", "rep").alias("comp"), "load")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    groups = max(4, -(-n // per_group))
+    share = max(1, per_group // 4)
+    rows = vectors.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    large = label.groupBy("comp").count().where(F.col("count") > share).select("comp", F.ceil(F.col("count") / share).alias("parts"))
+    rows = rows.join(large, "comp", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(0)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("comp", "part"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     meeting = F.least("mine", "other") * F.lit(groups).cast("bigint") + F.greatest("mine", "other")
-    rows = rows.select(meeting.alias("meeting"), "mine", "comp", "rep", "load")
-    rows = rows.repartition(min(4_000, 2 * groups * (groups + 1)), "meeting").sortWithinPartitions("meeting", "mine", "comp")
+    rows = rows.select(meeting.alias("meeting"), "mine", "comp", "rep", "load", "core")
+    rows = rows.repartition(min(4_000, groups * (groups + 1)), "meeting").sortWithinPartitions("meeting", "mine", "comp")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        def link(parts):
-            side, comp, ids, x = [np.concatenate(v) for v in zip(*parts)]
-            unit = x.astype(np.float32)
-            unit /= np.sqrt((unit * unit).sum(1))[:, None]
-            cut = int(np.searchsorted(side, side[0], "right"))
-            one = cut == len(side)  # a group with itself
-            for a in range(0, cut, 1024):
-                p = slice(a, min(a + 1024, cut))
-                for b in range(a if one else cut, len(side), 4096):
-                    q = slice(b, min(b + 4096, len(side)))
-                    if comp[p.start] == comp[p.stop - 1] == comp[q.start] == comp[q.stop - 1]:
-                        continue
-                    flat = np.flatnonzero(unit[p] @ unit[q].T >= least - 1e-5)
-                    i, j = flat // (q.stop - q.start) + a, flat % (q.stop - q.start) + b
-                    far = comp[i] != comp[j]
-                    i, j = i[far], j[far]
-                    if not len(i):
-                        continue
-                    w = []
-                    for s in range(0, len(i), 65536):
-                        y, z = x[i[s : s + 65536]].astype(np.float64), x[j[s : s + 65536]].astype(np.float64)
-                        w.append((y * z).sum(1) / (np.sqrt((y * y).sum(1)) * np.sqrt((z * z).sum(1))))
-                    w = np.concatenate(w)
-                    # one link of two components is enough
-                    ends = np.sort(np.stack([comp[i], comp[j]], 1)[w >= least], axis=1)
-                    if len(ends):
-                        ends, at = np.unique(ends, axis=0, return_index=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.minimum(w[w >= least][at], 1.0))], ["u", "v", "w"])
-
-        held, now = [], None
-        for batch in batches:
-            keys = ints(batch.column(0))
-            edges = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)] if len(keys) else [0]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if keys[a] != now and held:
-                    yield from link(held)
-                    held = []
-                now = keys[a]
-                part = batch.slice(a, b - a)
-                held.append([ints(part.column(1)), ints(part.column(2)), ints(part.column(3)), unplanes(_bytes(part.column(4), 2 * dim), dim)])
-        if held:
-            yield from link(held)
+        columns = [(1, ints), (2, ints), (3, ints), (4, lambda c: unplanes(_bytes(c, 2 * dim), dim)), (5, doubles)]
+        for key, (side, comp, ids, x, core) in sets_of(batches, columns):
+            one = key // groups == key % groups
+            cut = 0 if one else int(np.searchsorted(side, side[0], "right"))
+            if not one and cut == len(side):
+                continue  # the other group is empty
+            u, v, w = far_links(x, comp, ids, core, cut, least)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w)], ["u", "v", "w"])
 
     return rows.mapInArrow(run, "u bigint, v bigint, w double")
 
 
-def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, dim: int = 64) -> DataFrame:
-    """(lead, id): the groups that the hierarchy has at similarity ``least`` with mutual reachability over one neighbour.
-
-    With one neighbour the core distance is zero, so a group is a chain of neighbours of cosine >= ``least``.
-    Every member but the smallest id, which is the lead.  Unusable vectors are in no group; repeated rows count once.
+def hierarchy_rows(
+    df: DataFrame, row_id: str, vector: str, least: float, min_size: int, min_samples: int, dim: int, per_cell: int = 200, copies: float = 2.5, most_cells: int = 12,
+    finish_edges: int = FINISH_EDGES, local_nodes: int = LOCAL_NODES,
+) -> tuple[DataFrame, DataFrame]:
+    """(id, rep): each usable row and the row that stands for its vector; (rep, root, tier, cluster, stability, joined) of the
+    condensed hierarchy (``condense.condensed``), for the vectors in components of at least ``min_size`` rows."""
+    rows = cut_lineage(compact(df, row_id, vector, dim))
+    # copies are folded on the map side already; only one row of each vector is placed
+    distinct = cut_lineage(rows.groupBy("load").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")))
+    keys = [F.xxhash64("load").alias("h1"), F.xxhash64("load", F.lit(1)).alias("h2")]
+    member = rows.select("id", *keys).distinct().join(distinct.select("rep", *keys), ["h1", "h2"]).select("id", "rep")
+    edges, vectors = graph(rows, distinct, least, min_samples, dim, per_cell, copies, most_cells)
+    tree, label = boruvka(edges, finish_edges)
+    # cells may part neighbours: what they leave apart is compared once more
+    missed = cut_lineage(links_between(vectors, label, least, dim))
+    if not missed.isEmpty():
+        tree, label = boruvka(tree.unionByName(missed), finish_edges)
+    size = distinct.select(F.col("rep").alias("node"), F.col("copies").alias("size"))
+    nodes = size.join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "size")
+    return member, condensed(tree, nodes, least, min_size, local_nodes).withColumnRenamed("node", "rep")
+
+
+def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, dim: int = 64, **how) -> DataFrame:
+    """(lead, id): the outermost clusters of the hierarchy whose links are cosines >= ``least`` to a nearest neighbour.
+
+    With one neighbour the core similarity is 1, so an outermost cluster is a chain of neighbours of cosine >= ``least``; all
+    such chains of at least ``min_size`` rows come out whole.  Every member but the smallest id, which is the lead.
+    Unusable vectors are in no group; repeated rows count once; an empty table gives an empty result.
     """
-    edges, member, vectors = graph(df, row_id, vector, least, 1, dim)
-    _, label = boruvka(edges, [least])
-    # cells may part neighbours: what they leave apart is compared once more, all with all
-    _, joined = boruvka(links_between(vectors, label, least, dim), [least])
-    joined = joined.select(F.col("node").alias("comp"), F.col("l0").alias("whole"))
-    member = member.join(label, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("l0", "rep").alias("comp"))
-    member = member.join(joined, "comp", "left").select("id", F.coalesce("whole", "comp").alias("comp"))
-    size = member.groupBy("comp").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    return member.join(size, "comp").where("id <> lead").select("lead", "id")
+    member, clusters = hierarchy_rows(df, row_id, vector, least, min_size, 1, dim, **how)
+    found = cut_lineage(member.join(clusters.select("rep", "root"), "rep").select("id", "root"))
+    lead = found.groupBy("root").agg(F.min("id").alias("lead"))
+    return found.join(lead, "root").where("id <> lead").select("lead", "id")
 
 
 def hierarchy(
-    df: DataFrame, row_id: str, vector: str, levels: list[float] = LEVELS, min_size: int = 5, min_samples: int = 3, exemplars: int = 3, dim: int = 64
+    df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, min_samples: int = 3, exemplars: int = 3, dim: int = 64, **how
 ) -> tuple[DataFrame, DataFrame]:
     """Stable clusters (cluster_id, n_members, stability, exemplars) and membership (id, cluster_id or NULL).
 
-    ``levels``: falling similarities at which the hierarchy is cut; density is 1 / (1 - similarity).  A cluster's id is its
-    smallest member.  Exemplars: the members of the greatest density, ties by id.  An empty table gives empty results.
+    The hierarchy holds every merge of mutual reachability >= ``least``; density is 1 / (1 - similarity).  A cluster's id is its
+    smallest member.  Exemplars: the members that joined it at the greatest density, ties by id.  Empty in, empty out.
     """
-    top = len(levels) - 1
-    edges, member, _ = graph(df, row_id, vector, levels[-1], min_samples, dim)
-    tree, label = boruvka(edges, levels)
-    names = [f"l{i}" for i in range(len(levels))]
-    nodes = cut_lineage(
-        member.join(label, F.col("rep") == F.col("node"), "left").select("id", "rep", *[F.coalesce(c, "rep").alias(c) for c in names])
-    )
-    density = [1 / (1 - s) for s in levels]
-    # components of each level, coarse to fine; ``cid`` is the level and label at which the cluster was born
-    parent, rows, born = None, None, []
-    for i in range(top, -1, -1):
-        up = f"l{i + 1}" if i < top else names[i]
-        comp = nodes.groupBy(names[i]).agg(F.count(F.lit(1)).alias("n"), F.max(up).alias("up")).where(F.col("n") >= min_size)
-        comp = comp.withColumnRenamed(names[i], "comp")
-        if parent is None:
-            comp = comp.select("comp", "n", F.lit(i).alias("cl"), F.col("comp").alias("cc"), F.lit(-1).alias("pl"), F.lit(None).cast("bigint").alias("pc"))
-        else:
-            kids = comp.groupBy("up").agg(F.count(F.lit(1)).alias("kids"))
-            above = parent.select(F.col("comp").alias("up"), F.col("cl").alias("ul"), F.col("cc").alias("uc"), F.col("pl").alias("gl"), F.col("pc").alias("gc"))
-            comp = comp.join(kids, "up").join(above, "up")
-            goes_on = F.col("kids") == 1
-            comp = comp.select(
-                "comp", "n", F.when(goes_on, F.col("ul")).otherwise(F.lit(i)).alias("cl"), F.when(goes_on, F.col("uc")).otherwise(F.col("comp")).alias("cc"),
-                F.when(goes_on, F.col("gl")).otherwise(F.col("ul")).alias("pl"), F.when(goes_on, F.col("gc")).otherwise(F.col("uc")).alias("pc"),
-            )
-        parent = cut_lineage(comp)
-        gain = F.col("n") * F.lit(density[i] - (density[i + 1] if i < top else 0.0))
-        part = parent.select("cl", "cc", "pl", "pc", gain.alias("gain"))
-        rows = part if rows is None else rows.unionByName(part)
-    clusters = cut_lineage(rows.groupBy("cl", "cc", "pl", "pc").agg(F.sum("gain").alias("s")))
-    # bottom-up: a cluster stands if it is at least as stable as the best of what is in it
-    best = None
-    for i in range(len(levels)):
-        mine = clusters.where(F.col("cl") == i)
-        if best is None:
-            now = mine.withColumn("best", F.col("s")).withColumn("stands", F.lit(True))
-        else:
-            below = best.groupBy(F.col("pl").alias("cl"), F.col("pc").alias("cc")).agg(F.sum("best").alias("below"))
-            now = mine.join(below, ["cl", "cc"], "left").withColumn("below", F.coalesce("below", F.lit(0.0)))
-            now = now.withColumn("stands", F.col("s") >= F.col("below")).withColumn("best", F.greatest("s", "below")).drop("below")
-        now = cut_lineage(now)
-        best = now if best is None else best.unionByName(now)
-    # top-down: nothing inside a cluster that stands is picked
-    covered, picked = None, None
-    for i in range(top, -1, -1):
-        mine = best.where(F.col("cl") == i)
-        if covered is not None:
-            mine = mine.join(covered.select(F.col("cl").alias("pl"), F.col("cc").alias("pc"), "shut"), ["pl", "pc"], "left")
-        else:
-            mine = mine.withColumn("shut", F.lit(False))
-        mine = cut_lineage(mine.withColumn("shut", F.coalesce("shut", F.lit(False))))
-        take = mine.where(F.col("stands") & ~F.col("shut")).select("cl", "cc", "s")
-        state = mine.select("cl", "cc", (F.col("stands") | F.col("shut")).alias("shut"))
-        picked = take if picked is None else picked.unionByName(take)
-        covered = state if covered is None else covered.unionByName(state)
-    picked = cut_lineage(picked)
-    inside = None
-    for i, c in enumerate(names):
-        part = nodes.join(picked.where(F.col("cl") == i).select(F.col("cc").alias(c), "cl", "cc", "s"), c).select("id", "rep", "cl", "cc", "s")
-        inside = part if inside is None else inside.unionByName(part)
-    reach = tree.select(F.explode(F.array("u", "v")).alias("rep"), "w").groupBy("rep").agg(F.max("w").alias("reach"))
-    inside = cut_lineage(inside.join(reach, "rep", "left"))
-    by = Window.partitionBy("cl", "cc").orderBy(F.desc_nulls_last("reach"), "id")
+    member, clusters = hierarchy_rows(df, row_id, vector, least, min_size, min_samples, dim, **how)
+    key = ["root", "tier", "cluster"]
+    inside = cut_lineage(member.join(clusters.where("cluster >= 0"), "rep").select("id", *key, "stability", "joined"))
+    by = Window.partitionBy(*key).orderBy(F.desc("joined"), "id")
     typical = inside.withColumn("r", F.row_number().over(by)).where(F.col("r") <= exemplars)
-    typical = typical.groupBy("cl", "cc").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("exemplars"))
-    sizes = inside.groupBy("cl", "cc").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("n_members"), F.max("s").alias("stability"))
-    out = sizes.join(typical, ["cl", "cc"]).select("cluster_id", "n_members", F.round("stability", 6).alias("stability"), "exemplars")
-    owner = inside.join(sizes.select("cl", "cc", "cluster_id"), ["cl", "cc"]).select("id", "cluster_id")
-    return out, nodes.select("id").join(owner, "id", "left")
+    typical = typical.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("exemplars"))
+    sizes = inside.groupBy(*key).agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("n_members"), F.max("stability").alias("stability"))
+    out = sizes.join(typical, key).select("cluster_id", "n_members", F.round("stability", 6).alias("stability"), "exemplars")
+    owner = inside.join(sizes.select(*key, "cluster_id"), key).select("id", "cluster_id")
+    return out, member.select("id").join(owner, "id", "left")

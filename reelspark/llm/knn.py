@@ -136,7 +136,7 @@ def nearest(
     """
     spark = index.sparkSession
     n = index.select(row_id).count()
-    sample = bounded_sample(index, vector, n, dim)
+    sample = bounded_sample(index, row_id, vector, n, dim)
     schema = "query_id bigint, item_id bigint, cosine double"
     if not len(sample):
         return spark.createDataFrame([], schema)

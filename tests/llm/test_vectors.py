@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from reelspark.llm.cells import make_cells
-from reelspark.llm.clusters import density_groups, hierarchy
+from reelspark.llm.clusters import balls, density_groups, far_links, hierarchy, subcells
+from reelspark.llm.condense import Condensed, density
 from reelspark.llm.forest import block_forest, boruvka, reduce_edges
 from reelspark.llm.knn import fold_copies, nearest, search_cell
 from reelspark.llm.quantise import eta_for, pack, train_codebook, unpack
@@ -93,6 +94,151 @@ def test_slack_beside_a_hot_group(per_cell, mean, most):
     assert copies(beside) > 0.7 * copies(alone)
 
 
+def test_chains_at_the_threshold(spark):
+    # links of cosine 0.82 and nothing closer: six vectors a chain
+    r = np.random.default_rng(11)
+    rows = []
+    for _ in range(700):
+        v = r.normal(size=DIM)
+        v /= np.linalg.norm(v)
+        for _ in range(6):
+            rows.append(v)
+            step = r.normal(size=DIM)
+            step -= (step @ v) * v
+            v = 0.82 * v + np.sqrt(1 - 0.82**2) * step / np.linalg.norm(step)
+    x = np.round(np.array(rows)[r.permutation(len(rows))], 3)
+    label = components(x, 0.8)
+    want = set()
+    for g in np.unique(label):
+        ids = np.flatnonzero(label == g) + 1
+        if len(ids) >= 5:
+            want |= {(int(ids[0]), int(i)) for i in ids[1:]}
+    got = {(a.lead, a.id) for a in density_groups(frame(spark, x), "id", "v").collect()}
+    assert got == want and len(want) > 2000
+
+
+def test_far_links_like_all_pairs():
+    r = np.random.default_rng(2)
+    tops = np.repeat(r.normal(size=(40, DIM)), 30, axis=0)
+    x = np.rint(1000 * np.vstack([tops + r.normal(0, 0.45, tops.shape), np.cumsum(r.normal(0, 0.45, (700, DIM)), 0), r.normal(size=(60, DIM))])).astype(np.int16)
+    x = x[(x != 0).any(1)]
+    ids = r.permutation(len(x)) + 10
+    core = np.where(r.random(len(x)) < 0.1, 0.81, 1.0)
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sim = np.minimum(np.minimum(unit @ unit.T, core[:, None]), core[None])
+    comp = np.where(np.arange(len(x)) < 1200, np.arange(len(x)) // 13, np.where(np.arange(len(x)) < 1900, 500, np.arange(len(x)) + 1000))
+    for cut in (0, 910):
+        best = {}
+        rows, cols = (range(len(x)), range(len(x))) if cut == 0 else (range(cut), range(cut, len(x)))
+        for i in rows:
+            for j in cols:
+                if comp[i] != comp[j] and sim[i, j] >= 0.8:
+                    k = tuple(sorted((int(comp[i]), int(comp[j]))))
+                    best[k] = max(best.get(k, 0), round(float(sim[i, j]), 9))
+        u, v, w = far_links(x, comp, ids, core, cut, 0.8)
+        at = {int(i): int(c) for i, c in zip(ids, comp)}
+        assert {tuple(sorted((at[int(a)], at[int(b)]))): round(float(c), 9) for a, b, c in zip(u, v, w)} == best and best
+    order, starts, _, _ = balls(unit.astype(np.float32), comp, 32)
+    assert sorted(order) == list(range(len(x))) and max(np.diff(starts)) < 700
+
+
+def plain_hierarchy(sim, size, least, m):
+    """Stable clusters as sets of rows, from the components at every similarity."""
+    n = len(sim)
+
+    def comps(rows, t, strict):
+        rest, out = set(rows), []
+        while rest:
+            seen, todo = set(), [rest.pop()]
+            while todo:
+                i = todo.pop()
+                seen.add(i)
+                near = [j for j in rest if (sim[i, j] > t if strict else sim[i, j] >= t)]
+                rest.difference_update(near)
+                todo += near
+            out.append(frozenset(seen))
+        return out
+
+    def best(rows, birth):
+        """(stability, chosen sets) of the cluster ``rows`` that begins at density ``birth``."""
+        gone, live = 0.0, rows
+        while True:
+            inner = [sim[i, j] for i in live for j in live if i < j]
+            bridge = [t for t in sorted(set(inner)) if len(comps(live, t, True)) > 1]
+            big_alone = size[list(live)].sum() >= m and len(live) == 1
+            if not bridge:
+                gone += size[list(live)].sum() * density(1.0) if big_alone else 0
+                return max(gone - size[list(rows)].sum() * birth, 0 if not big_alone else -1e18), [rows]
+            t = bridge[0]
+            d = density(t)
+            parts = comps(live, t, True)
+            big = [p for p in parts if size[list(p)].sum() >= m]
+            left = size[list(live)].sum()
+            if not big:
+                gone += left * d
+                return gone - size[list(rows)].sum() * birth, [rows]
+            if len(big) == 1:
+                gone += (left - size[list(big[0])].sum()) * d
+                live = big[0]
+                continue
+            gone += left * d
+            own = gone - size[list(rows)].sum() * birth
+            inner = [best(p, d) for p in big]
+            if own >= sum(b for b, _ in inner):
+                return own, [rows]
+            return sum(b for b, _ in inner), [c for _, cs in inner for c in cs]
+
+    out = []
+    for c in comps(range(n), least, False):
+        if size[list(c)].sum() >= m:
+            out += best(c, density(least))[1]
+    return set(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_condensed_like_plain(seed):
+    r = np.random.default_rng(seed)
+    n = 60
+    x = np.repeat(r.normal(size=(4, 6)), 15, axis=0) + np.repeat(r.normal(0, 0.25, (12, 6)), 5, axis=0) + r.normal(0, 0.12, (n, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 2 if seed % 2 else 6)  # with many ties
+    size = r.integers(1, 3, n) if seed % 3 else np.ones(n, int)
+    i, j = np.nonzero(np.triu(sim >= 0.8, 1))
+    keep, label = reduce_edges(i, j, sim[i, j], n)
+    c = Condensed(size.tolist(), 4).run(i[keep], j[keep], sim[i, j][keep], 0.8)
+    mine: dict = {}
+    for k in range(n):
+        o = c.owner[c.leaf[k]] if c.leaf[k] >= 0 else -1
+        if o >= 0:
+            mine.setdefault(o, set()).add(k)
+    assert set(map(frozenset, mine.values())) == plain_hierarchy(sim, size, 0.8, 4)
+
+
+def test_hierarchy_in_pieces_and_rounds(spark):
+    # distributed rounds, cells within cells and components cut into pieces change nothing
+    x = clouds(9, groups=25, lone=40)
+    r = np.random.default_rng(1)
+    hot = np.repeat(r.normal(size=(1, DIM)), 300, axis=0) + np.repeat(r.normal(0, 0.2, (20, DIM)), 15, axis=0) + r.normal(0, 0.12, (300, DIM))
+    x = np.round(np.vstack([x, hot, hot[:6]]), 3)
+    rows = frame(spark, x, extra=odd_rows(9000))
+    for samples in (1, 3):
+        a, b = (hierarchy(rows, "id", "v", min_samples=samples, per_cell=100, **how) for how in ({}, {"finish_edges": 50, "local_nodes": 40}))
+        whole = {(c.cluster_id, c.n_members, round(c.stability, 3), tuple(c.exemplars)) for c in a[0].collect()}
+        assert whole and whole == {(c.cluster_id, c.n_members, round(c.stability, 3), tuple(c.exemplars)) for c in b[0].collect()}
+        assert {(m.id, m.cluster_id) for m in a[1].collect()} == {(m.id, m.cluster_id) for m in b[1].collect()}
+
+
+def test_large_cells_have_cells_of_their_own(monkeypatch):
+    monkeypatch.setattr("reelspark.llm.clusters.MOST_IN_CELL", 500)
+    x = np.rint(1000 * clouds(4, groups=200, lone=200)).astype(np.int16)
+    sets = subcells(x, 100, 2.5, 12)
+    assert len(sets) > 5 and set(np.concatenate(sets)) == set(range(len(x)))
+    ids = np.arange(len(x))
+    whole = {(a, b) for a, b in zip(*block_forest(x, ids, None, 0.8)[:2])}
+    parts = {(a, b) for s in sets for a, b in zip(*block_forest(x[s], ids[s], None, 0.8)[:2])}
+    assert len(whole & parts) > 0.95 * len(whole)
+
+
 def test_nothing_and_all_alike(spark):
     assert density_groups(frame(spark, []), "id", "v").count() == 0
     same = frame(spark, np.tile(clouds()[:1], (300, 1)))
@@ -129,7 +275,8 @@ def kruskal(edges):
     return out
 
 
-def test_forests_like_kruskal(spark):
+@pytest.mark.parametrize("bound", [1, 10_000])
+def test_forests_like_kruskal(spark, bound):
     r = np.random.default_rng(8)
     edges = {}
     for _ in range(900):
@@ -138,25 +285,23 @@ def test_forests_like_kruskal(spark):
     edges |= {(i, i + 1): 0.5 for i in range(300, 340)}  # a long chain of equal weights
     rows = [(u, v, w) for (u, v), w in edges.items()]
     u, v, w = map(np.array, zip(*rows))
-    ids = np.arange(400)
-    keep = reduce_edges(u, v, w, ids)
+    keep, label = reduce_edges(u, v, w, 400)
     assert {(int(u[k]), int(v[k])) for k in keep} == kruskal(rows)
-    tree, label = boruvka(spark.createDataFrame(rows, "u bigint, v bigint, w double"), [0.7, 0.0])
-    assert {(t.u, t.v) for t in tree.collect()} == kruskal(rows)
-    nodes = label.collect()
-    for level, least in (("l0", 0.7), ("l1", 0.0)):
-        part = {n.node: n[level] for n in nodes}
-        assert all(part[a] == part[b] for a, b, c in rows if c >= least)
-    fine = {(n.l0, n.l1) for n in nodes}
-    assert len({a for a, _ in fine}) == len(fine)  # levels are nested
+    tree, comp = boruvka(spark.createDataFrame(rows, "u bigint, v bigint, w double"), bound)
+    got = {(t.u, t.v) for t in tree.collect()}
+    assert got == kruskal(rows)
+    parts: dict = {}
+    for n in comp.collect():
+        parts.setdefault(n.comp, set()).add(n.node)
+    assert {frozenset(p) for p in parts.values()} == {frozenset(np.flatnonzero(label == c).tolist()) for c in set(label[[*{*u, *v}]])}
 
 
 def test_block_forest_in_small_blocks():
-    x = clouds(2)
+    x = np.rint(clouds(2) * 1000).astype(np.int16)
     ids = np.arange(len(x)) * 3
     a = block_forest(x, ids, None, 0.8)
     b = block_forest(x, ids, None, 0.8, block=37)
-    assert set(zip(a[0], a[1])) == set(zip(b[0], b[1])) and len(a[0])
+    assert np.allclose(sorted(a[2]), sorted(b[2])) and len(a[0])
 
 
 def test_codebook_keeps_the_parallel_part():
