@@ -19,6 +19,7 @@ from reelspark.llm.forest import FINISH_EDGES, block_forest, boruvka, exact_cosi
 from reelspark.llm.knn import _bytes, planes, to_int16, unplanes
 from reelspark.session import cut_lineage
 
+WIDE = 0.85  # components whose rows are on average less alike than this are bounded in pieces
 MOST_IN_CELL = 8192  # rows of a cell above which it is searched through cells of its own
 
 
@@ -171,10 +172,12 @@ def balls(unit, comp, most: int = 256):
     starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
     sizes = np.diff(starts)
     cuts = [starts[:-1]]
-    for s in np.flatnonzero(sizes > most):
+    middle = np.add.reduceat(unit[order], starts[:-1], axis=0) / sizes[:, None] if len(key) else unit[:0]
+    wide = np.einsum("ij,ij->i", middle, middle) < WIDE  # mean of all cosines within the component
+    for s in np.flatnonzero((sizes > most) | (wide & (sizes > 4))):
         a, b = starts[s], starts[s + 1]
         x = unit[order[a:b]]
-        lead = x[:: most // 2]
+        lead = x[:: 4 if wide[s] else most // 2]
         near = np.concatenate([(x[t : t + 4096] @ lead.T).argmax(1) for t in range(0, len(x), 4096)])
         inner = np.argsort(near, kind="stable")
         order[a:b] = order[a:b][inner]
