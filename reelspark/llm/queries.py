@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.abuse import fit, labelled_sample, score_documents
+from reelspark.llm.abuse import score_documents, train
 from reelspark.llm.clusters import density_groups, hierarchy
 from reelspark.llm.knn import nearest
 from reelspark.llm.leaks import find_leaks
@@ -79,13 +79,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-ABUSE_LIMIT = 0.5
+ABUSE_LIMIT = 0.35  # on held-out halves of the labels: as many good documents flagged as at 0.5, 2 % more bad ones found
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source, its score and the terms of its worst window."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")
-    return score_documents(documents, fit(labelled_sample(documents, labels)), keep=("source",))
+    return score_documents(documents, train(documents, labels), keep=("source",))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
