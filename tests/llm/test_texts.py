@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 
 from reelspark.llm import abuse
-from reelspark.llm.leaks import Spellings, best_stretch, best_window, can_hold, close, find_leaks
+from reelspark.llm.leaks import Spellings, best_stretch, can_hold, close, find_leaks, index_corpus, search_index
 from reelspark.llm.text import plain, words
 
 DOCS = "doc_id bigint, text string, item_id bigint, words string"
@@ -86,7 +86,6 @@ def test_stretch_like_brute_force():
         span, share = best_stretch(item, [1.0] * len(item), doc)
         want = slow(item, doc)
         assert span == want[0]
-    assert best_window(["a", "b", "c"], [1.0, 2.0, 1.0], {"b", "c"}, 2) == 1.0
     assert close("shells", "shellss") and close("tannery", "tanneyr") and not close("41", "42") and not close("cat", "cut")
 
 
@@ -116,7 +115,7 @@ def test_automaton_against_edit_distance():
 
 def test_disguises():
     m = abuse.fit([])
-    for form in ("you idiot", "you i d i o t", "you i.d.i.o.t", "you id*ot", "you 1d10t", "you idiooooot", "you іdіоt", "you idi​ot", "you idi0t", "you idoit"):
+    for form in ("you idiot", "you i d i o t", "you i.d.i.o.t", "you id*ot", "you 1d10t", "you idiooooot", "you іdіоt", "you idi​ot", "you idi0t", "you idoit", "you odiot", "you xidiot"):
         assert m.score(form)[0] > 0.2 and "idiot" in m.score(form)[1], form
     assert m.score("the editor checks the frame rate")[0] == 0.0
     assert m.score("You idiot, I kill you")[0] > m.score("the rules say the word idiot is removed")[0]
@@ -150,18 +149,30 @@ def test_scores_of_odd_rows(spark):
     got = abuse.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), m, ("source",)).collect()
     assert len(got) == len(rows) and {g.doc_id: g.score > 0 for g in got} == {1: False, 2: False, 3: False, 4: True, None: False, 5: True}
     empty = spark.createDataFrame([], "doc_id bigint, text string, toxic int")
-    assert abuse.labelled_sample(empty, empty) == []
+    assert abuse.labelled_sample(empty, empty).count() == 0 and abuse.train(empty, empty).score("you idiot") == m.score("you idiot")
 
 
 def test_labelled_texts_stay_whole(spark, monkeypatch):
-    monkeypatch.setattr(abuse, "MAX_CHARS", 100_000)
+    monkeypatch.setattr(abuse, "MAX_LABELLED", 30)
     texts = {i: "word " * (1_200 if i % 3 else 20) + f"end{i}" for i in range(60)}
     documents = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2 == 0) for i in texts], "doc_id bigint, toxic boolean")
-    got = abuse.labelled_sample(documents, labels)
-    assert got and all(t in texts.values() for t, _ in got)
-    assert 50_000 < sum(len(t) for t, _ in got) <= 100_000
-    assert max(len(t) for t, _ in got) > 5_000
+    got = abuse.labelled_sample(documents, labels).collect()
+    assert got and all(g.text == texts[g.doc_id] for g in got)
+    assert 15 < len(got) < 45 and max(len(g.text) for g in got) > 5_000
+
+
+def test_train_like_fit(spark, monkeypatch):
+    rows = rows_of("sf0.01")
+    documents = spark.createDataFrame([(i, t, "z") for i, (t, _) in enumerate(rows)] + [(999_999, None, "z")], "doc_id bigint, text string, y string")
+    labels = spark.createDataFrame([(i, int(v > 0.5), 3) for i, (_, v) in enumerate(rows)] + [(0, None, 1), (999_999, 1, 1)], "doc_id bigint, toxic int, quality int")
+    many = [(t, float(v > 0.5)) for t, v in rows] * 3  # enough bad ones for a fit
+    documents, labels = (d.unionByName(d.withColumn("doc_id", d.doc_id + 10**6)).unionByName(d.withColumn("doc_id", d.doc_id + 10**7)) for d in (documents, labels))
+    a, b = abuse.train(documents, labels), abuse.fit(many)
+    assert a.terms == b.terms and a.known == b.known and len(a.terms) > len(abuse.SEEDS)
+    assert abs(a.bias - b.bias) < 1e-6 and np.allclose(a.weights, b.weights, atol=1e-6)
+    monkeypatch.setattr(abuse, "MAX_WINDOWS", 50)
+    assert abuse.train(documents, labels).weights.any()
 
 
 def test_misspelt_leaks_like_aligning_all(spark, monkeypatch):
@@ -181,7 +192,7 @@ def test_misspelt_leaks_like_aligning_all(spark, monkeypatch):
     want = set()
     for i, text in docs:
         for item, _, body in items:
-            span, share = best_stretch(words(body), [np.log1p(40 / used[w]) for w in words(body)], words(text))
+            span, share = best_stretch(words(body), [np.log1p(40 / used[w]) for w in words(body)], words(text), 15, 0.85)
             if span >= 15 and share >= 0.85:
                 want.add((i, item))
     assert got == want and len(want) >= 100
@@ -193,4 +204,30 @@ def test_spellings_like_close():
     known = Spellings(terms)
     for w in [*sorted(terms)[::5], "acbbacab", "12346", "ab"]:
         assert known.of(w) == {t for t in terms if close(t, w)}
-    assert can_hold(["a", "b", "c", "d"], [1.0] * 4, {"b", "c", "d"}, 3, 0.9) and not can_hold(["a", "b", "c", "d"], [1.0] * 4, {"b", "d"}, 3, 0.7)
+    there = np.array([[False, True, True, True], [False, True, False, True]])
+    assert can_hold(there, [1.0] * 4, 3, 0.9).tolist() == [True, False] and not can_hold(there[1:], [1.0] * 4, 3, 0.7).any()
+
+
+def test_inner_stretch_of_a_looser_one():
+    # fifteen unchanged words whose neighbours match loosely: the long stretch falls short, the inner one counts
+    r = random.Random(5)
+    item = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(30)]
+    doc = ["x", *[w if k % 2 else f"other{k}" for k, w in enumerate(item[:8])], *item[8:23], *[w if k % 2 else f"other{k}" for k, w in enumerate(item[23:])]]
+    assert best_stretch(item, [1.0] * 30, doc)[0] >= 28
+    span, share = best_stretch(item, [1.0] * 30, doc, 15, 0.85)
+    assert 15 <= span < 25 and share >= 0.85
+
+
+def test_index_is_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr("reelspark.llm.leaks.SHARD_TOKENS", 50)
+    texts = [f"{passage(k)} {passage(k)}" for k in range(6)] + [None, "", " ", passage(3).upper()]
+    index = index_corpus(spark.createDataFrame([(k, t, "z", 1) for k, t in enumerate(texts)], "doc_id bigint, text string, terms string, pos int"))
+    back: dict = {}
+    for r in index.collect():
+        for k, t in enumerate(r.terms):
+            for p in range(r.starts[k], r.starts[k + 1]):
+                back.setdefault(r.docs[r.doc[p]], {})[r.pos[p]] = t
+    assert {d: [w[p] for p in sorted(w)] for d, w in back.items()} == {k: words(t) for k, t in enumerate(texts) if t and words(t)}
+    items = spark.createDataFrame(ITEM_ROWS, ITEMS)
+    got = {(r.doc, r.item_id): r.match for r in search_index(index, items).collect()}
+    assert got == {(k, k): "phrase" for k in range(6)} | {(3, 100): "phrase", (9, 3): "phrase", (9, 100): "phrase"}

@@ -7,7 +7,7 @@ from reelspark.llm.cells import make_cells
 from reelspark.llm.clusters import balls, density_groups, far_links, hierarchy, subcells
 from reelspark.llm.condense import Condensed, density
 from reelspark.llm.forest import block_forest, boruvka, reduce_edges
-from reelspark.llm.knn import fold_copies, nearest, search_cell
+from reelspark.llm.knn import Searcher, fold_copies, nearest, search_cell
 from reelspark.llm.quantise import eta_for, pack, train_codebook, unpack
 
 DIM = 64
@@ -376,6 +376,56 @@ def test_nearest_beside_a_hot_source(spark, spread):
     assert len(want & got) / len(want) >= 0.9
 
 
+def near_threshold(r, groups, size):
+    """Groups whose members have cosines of 0.92 to 0.935 to each other."""
+    rows = []
+    for _ in range(groups):
+        c = r.normal(size=DIM)
+        c /= np.linalg.norm(c)
+        for t in np.sqrt(r.uniform(0.92, 0.935, size)):
+            e = r.normal(size=DIM)
+            e -= (e @ c) * c
+            rows.append(t * c + np.sqrt(1 - t * t) * e / np.linalg.norm(e))
+    return np.round(np.array(rows), 3)
+
+
+def test_nearest_at_the_threshold(spark):
+    r = np.random.default_rng(21)
+    x = near_threshold(r, 1000, 12)
+    ids = np.arange(1, len(x) + 1)
+    got = {(a.query_id, a.item_id) for a in nearest(frame(spark, x, ids), None, "id", "v", per_cell=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = brute((ids, u), [*zip(ids.tolist(), u)], 5, 0.92)
+    assert len(want) > 5000 and len(want & got) / len(want) >= 0.95
+
+
+def test_ties_of_shared_vectors(spark):
+    # vectors on 100 rows each: every row's five nearest are the five smallest other ids of its copies
+    r = np.random.default_rng(3)
+    x = np.round(np.vstack([np.repeat(r.normal(size=(3, DIM)), 100, axis=0), r.normal(size=(4000, DIM))]), 3)
+    ids = r.permutation(len(x)) + 1
+    got: dict = {}
+    for a in nearest(frame(spark, x, ids), None, "id", "v").collect():
+        got.setdefault(a.query_id, set()).add(a.item_id)
+    for g in range(3):
+        mine = sorted(ids[100 * g : 100 * g + 100].tolist())
+        assert all(got[i] == set([m for m in mine if m != i][:5]) for i in mine)
+
+
+def test_large_cell_is_searched_by_cells(monkeypatch):
+    monkeypatch.setattr("reelspark.llm.knn.MOST_IN_CELL", 600)
+    r = np.random.default_rng(5)
+    v = np.rint(1000 * near_threshold(r, 200, 10)).astype(np.int16)
+    u = v / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    book = train_codebook(u, 32, 0.92)
+    ids = np.arange(1, len(v) + 1)
+    s = Searcher(v, ids, book.decode(book.encode(u.astype(np.float32))), 5, 100, 3.6, 12)
+    assert s.cells is not None
+    a, b, _ = s.search(v, ids, 5, 0.92, 32)
+    want = brute((ids, u), [*zip(ids.tolist(), u)], 5, 0.92)
+    assert len(want & set(zip(a.tolist(), b.tolist()))) / len(want) > 0.95
+
+
 def test_nearest_of_nothing(spark):
     assert nearest(frame(spark, []), frame(spark, clouds()[:3]), "id", "v").count() == 0
     assert nearest(frame(spark, clouds()[:1]), None, "id", "v").count() == 0
