@@ -1,10 +1,12 @@
-"""Evaluation passages inside training text, by an inverted index of the passages that the workers hold.
-
-1. Items lose their stock instruction and closing question; what is left is the passage.
-2. The heaviest words of each stretch of a passage are its seeds: so many that a stretch that the alignment accepts has one.
-3. Each document's words are looked up with their misspellings; an item with a seed there is a candidate if some stretch of
-   it has enough of its weight in the document.  Neither test drops what the alignment accepts.
-4. Candidates are aligned word by word: matches in order, single words between them replaced, misspelt, dropped or added.
+"""Evaluation passages inside training text, by a stored positional inverted index of the training tokens.
+
+1. ``index_corpus`` reads each training text once and stores its postings: per shard of documents the terms, and for each term the documents
+   and positions that hold it.  Shards are written where they are made; nothing is shuffled, and the index serves any set of items.
+2. Items lose their stock instruction and closing question; what is left is the passage.
+3. In each shard the passages' words, with their misspellings, pick their lists.  Documents whose lists together lack too much
+   of the weight of every stretch of a passage fall out, the rarest words weighing most; the test drops nothing that the alignment accepts.
+4. For the rest the offset-adjusted lists are intersected in order of position: matches in order, single words between them replaced, misspelt,
+   dropped or added.  Stretches that stand there word for word are exact phrases, the others proximity matches.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions.arrow_vectors import ints
 from reelspark.llm.text import plain, words
 from reelspark.session import cut_lineage
 
-MAX_WORDS = 100_000  # passages are sent to the workers in parts of about so many words (up to 200 MB with their misspellings)
+MAX_WORDS = 20_000  # passages are looked up in parts of about so many words (up to 100 MB with their misspellings)
+SHARD_TOKENS = 400_000  # a shard ends with the document that passes so many tokens
 STOCK_ITEMS = 5  # an opening sentence before at least so many different rests is a stock instruction
 
 _SENTENCE = re.compile(r"[^.?!:\n]*[.?!:\n]+\s*")
@@ -47,60 +51,73 @@ def close(a: str, b: str) -> bool:
     return len(x) == 2 and x == y[::-1]  # two letters swapped
 
 
-def best_stretch(item: list[str], weight: list[float], doc: list[str]) -> tuple[int, float]:
-    """(span, share) of the longest stretch of the item's words that stands in the document in order.
+def best_stretch(item: list[str], weight: list[float], doc: list[str], min_words: int = 1, density: float = 0.0) -> tuple[int, float]:
+    """(span, share) of the longest stretch of the item's words that stands in the document in order; (0, 0.0) if there is none.
 
     Between two matched words at most one word is missing or foreign on either side.  Span counts the item's words from
-    the first to the last match, share is the matched part of their weight; equal spans go by the greater match.
+    the first to the last match, share is the matched part of their weight.  Only stretches of at least ``min_words`` words and
+    a share of at least ``density`` count, inner ones of longer, looser ones too; equal spans go by the greater share.
     """
     where: dict[str, list[int]] = {}
     for i, w in enumerate(item):
         where.setdefault(w, []).append(i)
-    n = len(item)
-    best, at = (0, 0.0), 0
-    last: list[dict[int, tuple[int, float]]] = [{}, {}]  # ends at the document's last two words: item position -> (start, matched)
-    for w in doc:
-        now: dict[int, tuple[int, float]] = {i: (i, weight[i]) for i in where.get(w, ())}
-        for states in last:
-            for p, (start, matched) in states.items():
-                for i in (p + 1, p + 2):
-                    if i < n and (item[i] == w or close(item[i], w)):
-                        old = now.get(i)
-                        if old is None or (start, -matched - weight[i]) < (old[0], -old[1]):
-                            now[i] = (start, matched + weight[i])
-        for i, (start, matched) in now.items():
-            if (i - start + 1, matched) > best:
-                best, at = (i - start + 1, matched), start
-        last = [last[1], now]
-    span, matched = best
-    return span, matched / (sum(weight[at : at + span]) or 1.0)
-
-
-def can_hold(item: list[str], weight: list[float], there: set[str], size: int, density: float) -> bool:
-    """Whether at least ``density`` of the weight of some ``size`` or more words in a row stands in the document, in any order.
-
-    there: the item's words that a word of the document is ``close`` to; what ``best_stretch`` matches is among them.
-    """
-    total, low, before = 0.0, float("inf"), [0.0]
-    for i, w in enumerate(item):
-        total += weight[i] * ((1 - density) if w in there else -density)
-        before.append(total)
-        if i + 1 >= size:
-            low = min(low, before[i + 1 - size])
-            if total >= low - 1e-9:
-                return True
-    return False
+    near = {w: [i for t, at in where.items() if close(t, w) for i in at] for w in set(doc)}
+    return align(weight, [(p, set(where.get(w, ())), near[w]) for p, w in enumerate(doc) if near[w]], min_words, density)[:2]
 
 
-def seed_places(weight: list[float], min_words: int, density: float, window: int) -> set[int]:
-    """Places of the heaviest words of every ``window`` words of a passage.
+def align(weight: list[float], hits, min_words: int, density: float) -> tuple[int, float, bool]:
+    """(span, share, exact) from (position in the document, item places of the same word, item places of close words), by position.
 
-    With r of w words, the seeds have at least r / 2w of the weight of any stretch of w or more words (it is covered by windows of
-    which no three share a word).  r is the least with r / 2w > 1 - density: if no seed matches, the stretch falls short.
+    Of the stretches that end at a word those are kept that no other with an earlier start and a better balance beats; the balance is
+    the matched weight less ``density`` of all weight.  exact: some ``min_words`` words stand there one after the other, unchanged.
     """
-    w = min(window, min_words)
-    r = min(w, int(2 * w * (1 - density) + 1e-9) + 1)
-    return {i for s in range(len(weight) - w + 1) for i in sorted(range(s, s + w), key=lambda i: (-weight[i], i))[:r]}
+    before = [0.0]
+    for w in weight:
+        before.append(before[-1] + w)
+    best, exact = (0, 0.0), False
+    last: dict[int, dict[int, list[tuple[int, float]]]] = {}  # position -> item place -> (start, matched)
+    runs: dict[int, int] = {}
+    for p, same, near in hits:
+        now: dict[int, list[tuple[int, float]]] = {}
+        runs = {i: runs.get(i - 1, 0) + 1 if p - 1 in last else 1 for i in same}
+        exact = exact or any(r >= min_words for r in runs.values())
+        for i in near:
+            some = [(i, weight[i])] if i in same else []
+            for q in (p - 1, p - 2):
+                if q in last:
+                    for j in (i - 1, i - 2):
+                        some += [(start, matched + weight[i]) for start, matched in last[q].get(j, ())]
+            some.sort(key=lambda s: (s[0], -s[1]))
+            kept, most = [], -float("inf")
+            for start, matched in some:
+                balance = matched + density * before[start]
+                if balance > most:
+                    kept.append((start, matched))
+                    most = balance
+            if kept:
+                now[i] = kept
+            for start, matched in kept:
+                span, whole = i - start + 1, before[i + 1] - before[start]
+                if span >= max(min_words, best[0]) and matched >= density * whole - 1e-9:
+                    best = max(best, (span, min(1.0, matched / (whole or 1.0))))
+        last = {q: last[q] for q in (p - 1,) if q in last} | {p: now}
+    return *best, exact
+
+
+def can_hold(there, weight, size: int, density: float):
+    """For each row of there[rows, words]: whether ``density`` of the weight of some ``size`` or more words in a row is there, in any order.
+
+    there: the item's words that a word of the document is ``close`` to; what ``align`` matches is among them.
+    """
+    import numpy as np
+
+    w = np.asarray(weight)
+    total = np.zeros((len(there), len(w) + 1))
+    np.cumsum(np.where(there, w * (1 - density), -w * density), axis=1, out=total[:, 1:])
+    if len(w) < size:
+        return np.zeros(len(there), bool)
+    low = np.minimum.accumulate(total[:, : len(w) + 1 - size], axis=1)
+    return (total[:, size:] >= low - 1e-6).any(1)
 
 
 class Spellings:
@@ -131,25 +148,6 @@ class Spellings:
         return got
 
 
-def best_window(item: list[str], weight: list[float], there: set[str], size: int) -> float:
-    """Greatest share of the weight of ``size`` words in a row that stands anywhere in the document, spelt alike.
-
-    A stretch of share s whose misspelt words weigh m of it has a window of at least s - m, so this rules a pair out cheaply.
-    """
-    got = total = best = 0.0
-    for i, w in enumerate(item):
-        total += weight[i]
-        if w in there:
-            got += weight[i]
-        if i >= size:
-            total -= weight[i - size]
-            if item[i - size] in there:
-                got -= weight[i - size]
-        if i >= size - 1:
-            best = max(best, got / total)
-    return best
-
-
 def passages(items: DataFrame) -> DataFrame:
     """(item_id, words): each item's passage without stock opening sentences and closing questions."""
 
@@ -189,17 +187,132 @@ def passages(items: DataFrame) -> DataFrame:
     return body.mapInPandas(finish, "item_id bigint, words array<string>")
 
 
-def find_leaks(
-    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 15, density: float = 0.85, window: int = 6
-) -> DataFrame:
-    """(doc_id, item_id, span, share): documents that hold at least ``min_words`` words of an item's passage in order.
+INDEX = "docs array<bigint>, terms array<string>, starts array<int>, doc array<int>, pos array<int>"
+
 
-    At least ``density`` of the stretch's weight must match; a word weighs the more the fewer items use it, so writing
-    that shares only the items' style falls short.  Documents with NULL or empty text and items without a passage
-    match nothing; items that share a passage are reported each; repeated rows count once.
+def index_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Positional inverted index, one row per shard of documents (``INDEX``).
+
+    Postings starts[k] to starts[k + 1] belong to terms[k]: the documents docs[doc] at their token positions pos.  Documents
+    with a NULL id and NULL or empty texts are left out.  A document lies in one shard, whole; a shard holds about
+    ``SHARD_TOKENS`` tokens, or one longer document.
+    """
+    docs = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("txt"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["docs", "terms", "starts", "doc", "pos"]
+        code: dict[str, int] = {}
+        ids: list[int] = []
+        codes: list = []
+        n = 0
+
+        def shard():
+            sizes = np.array([len(c) for c in codes])
+            flat = np.concatenate(codes)
+            order = np.argsort(flat, kind="stable")
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            starts = np.r_[0, np.cumsum(np.bincount(flat, minlength=len(code)))].astype(np.int32)
+            one = lambda v, t: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t))
+            return pa.RecordBatch.from_arrays(
+                [one(ids, pa.int64()), one(list(code), pa.string()), one(starts, pa.int32()), one(doc[order], pa.int32()), one(pos[order], pa.int32())], names
+            )
+
+        for batch in batches:
+            for doc, txt in zip(*(c.to_pylist() for c in batch.columns)):
+                said = words(txt)
+                if not said:
+                    continue
+                ids.append(doc)
+                codes.append(np.fromiter((code.setdefault(w, len(code)) for w in said), np.int32, len(said)))
+                n += len(said)
+                if n >= SHARD_TOKENS:
+                    yield shard()
+                    code, ids, codes, n = {}, [], [], 0
+        if n:
+            yield shard()
+
+    return docs.mapInArrow(run, INDEX)
+
+
+class Passages:
+    """A bounded part of the items, ready to be looked up in shards."""
+
+    def __init__(self, known: dict[int, tuple[list[str], list[float]]], min_words: int, density: float):
+        import numpy as np
+
+        self.min_words, self.density, self.items = min_words, density, sorted(known)
+        self.vocabulary = sorted({w for passage, _ in known.values() for w in passage})
+        self.number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.ids = [np.array([self.number[w] for w in known[i][0]]) for i in self.items]
+        self.weight = [known[i][1] for i in self.items]
+        self.places: list[dict[int, list[int]]] = []
+        # of what a document holds of an item's words the weight must reach the lightest stretch's share
+        self.share = np.zeros((len(self.vocabulary), len(self.items)), np.float32)
+        self.least = np.zeros(len(self.items), np.float32)
+        for k, (ids, w) in enumerate(zip(self.ids, self.weight)):
+            np.add.at(self.share[:, k], ids, w)
+            total = np.r_[0, np.cumsum(w)]
+            self.least[k] = density * (total[min_words:] - total[:-min_words]).min() - 1e-3
+            at: dict[int, list[int]] = {}
+            for p, i in enumerate(ids.tolist()):
+                at.setdefault(i, []).append(p)
+            self.places.append(at)
+        self.spellings = Spellings(self.vocabulary)
+
+    def look_up(self, docs, terms: list[str], starts, doc, pos):
+        """(document, item, span, share, exact) of every match in a shard."""
+        import numpy as np
+
+        near = {k: sorted(self.number[t] for t in found) for k, w in enumerate(terms) if (found := self.spellings.of(w))}
+        if not near:
+            return
+        size = [int(starts[k + 1] - starts[k]) for k in near]
+        hit = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in near])
+        term = np.repeat(np.array(list(near)), size)
+        order = np.lexsort((pos[hit], doc[hit]))
+        hit, term = hit[order], term[order]
+        hit_doc, hit_pos = doc[hit], pos[hit]
+        block = max(1, 20_000_000 // len(self.vocabulary))
+        for d0 in range(0, len(docs), block):
+            lo, hi = np.searchsorted(hit_doc, [d0, d0 + block])
+            there = np.zeros((min(block, len(docs) - d0), len(self.vocabulary)), np.float32)
+            same = np.full(len(terms), -1)
+            for k, found in near.items():
+                same[k] = found[0]
+            there[hit_doc[lo:hi] - d0, same[term[lo:hi]]] = 1
+            for k in (k for k, found in near.items() if len(found) > 1):
+                rows = hit_doc[lo:hi][term[lo:hi] == k] - d0
+                for e in near[k][1:]:
+                    there[rows, e] = 1
+            may = there @ self.share >= self.least
+            for k in np.flatnonzero(may.any(0)):
+                rows = np.flatnonzero(may[:, k])
+                rows = rows[can_hold(there[rows][:, self.ids[k]] > 0, self.weight[k], self.min_words, self.density)]
+                at = self.places[k]
+                for d in rows + d0:
+                    a, b = np.searchsorted(hit_doc, [d, d + 1])
+                    hits = []
+                    for p, t in zip(hit_pos[a:b].tolist(), term[a:b].tolist()):
+                        close_by = [i for e in near[t] for i in at.get(e, ())]
+                        if close_by:
+                            hits.append((p, set(at.get(self.number.get(terms[t], -1), ())), close_by))
+                    span, share, exact = align(self.weight[k], hits, self.min_words, self.density)
+                    if span:
+                        yield int(docs[d]), self.items[k], span, share, exact
+
+
+def search_index(index: DataFrame, items: DataFrame, min_words: int = 15, density: float = 0.85) -> DataFrame:
+    """(doc, item_id, span, share, match): what of the items stands in the indexed documents.
+
+    At least ``min_words`` words of the passage in order, of whose weight at least ``density`` matches; a word weighs the more the
+    fewer items use it, so writing that shares only the items' style falls short.  match: 'phrase' if so many words stand there
+    unchanged one after the other, else 'proximity'.
     """
-    spark = documents.sparkSession
-    docs = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("txt"))
+    spark = index.sparkSession
     texts = cut_lineage(passages(items).where(F.size("words") >= min_words))
     places = texts.select("item_id", F.posexplode("words").alias("ipos", "term"))
     terms = places.groupBy("term").agg(F.count_distinct("item_id").alias("used"))
@@ -211,31 +324,22 @@ def find_leaks(
     passage = cut_lineage(passage)
     # an eval set of ordinary size is one part; a huge one is gone through part by part
     parts = max(1, -(-passage.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // MAX_WORDS))
+    schema = "doc bigint, item_id bigint, span bigint, share double, match string"
 
-    def align(held):
+    def look_up(held):
         def run(batches):
             import pyarrow as pa
 
-            known = held.value
-            spellings = Spellings(w for passage, _ in known.values() for w in passage)
-            seeds: dict[str, set[int]] = {}
-            for item, (passage, weight) in known.items():
-                for i in seed_places(weight, min_words, density, window):
-                    seeds.setdefault(passage[i], set()).add(item)
+            known = Passages(held.value, min_words, density) if held.value else None
             for batch in batches:
                 rows = []
-                for doc, txt in zip(*(c.to_pylist() for c in batch.columns)):
-                    said = words(txt)
-                    there = set().union(*(spellings.of(w) for w in set(said)))
-                    for item in set().union(*(seeds[t] for t in there if t in seeds)):
-                        passage, weight = known[item]
-                        if can_hold(passage, weight, there, min_words, density):
-                            span, share = best_stretch(passage, weight, said)
-                            if span >= min_words and share >= density:
-                                rows.append((doc, item, span, share))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "item_id", "span", "share"])
+                for r in range(batch.num_rows if known else 0):
+                    col = lambda i: batch.column(i)[r].values  # noqa: B023, E731
+                    for d, i, span, share, exact in known.look_up(ints(col(0)), col(1).to_pylist(), ints(col(2)), ints(col(3)), ints(col(4))):
+                        rows.append((d, i, span, share, "phrase" if exact else "proximity"))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "item_id", "span", "share", "match"])
 
         return run
 
@@ -243,6 +347,15 @@ def find_leaks(
     for part in range(parts):
         mine = passage.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
         held = spark.sparkContext.broadcast({r.item_id: (r.words, r.weight) for r in mine})
-        got = docs.mapInArrow(align(held), "doc bigint, item_id bigint, span bigint, share double")
+        got = index.mapInArrow(look_up(held), schema)
         found = got if found is None else found.unionByName(got)
-    return found.groupBy("doc", "item_id").agg(F.max("span").alias("span"), F.max("share").alias("share")).withColumnRenamed("doc", doc_id)
+    return found.groupBy("doc", "item_id").agg(F.max("span").alias("span"), F.max("share").alias("share"), F.min("match").alias("match"))
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 15, density: float = 0.85) -> DataFrame:
+    """(doc_id, item_id, span, share, match): documents that hold at least ``min_words`` words of an item's passage in order.
+
+    The documents' index is written to the shared folder, then looked up (``search_index``).  Documents with NULL or empty text and
+    items without a passage match nothing; items that share a passage are reported each; repeated rows count once.
+    """
+    return search_index(cut_lineage(index_corpus(documents, doc_id, text)), items, min_words, density).withColumnRenamed("doc", doc_id)

@@ -43,6 +43,20 @@ def fold(word: str) -> str:
     return w
 
 
+_KEPT: dict[str, str] = {}
+
+
+def word(token: str) -> str:
+    """A folded word without hyphens and apostrophes; tokens recur, so answers are kept."""
+    w = _KEPT.get(token)
+    if w is None:
+        w = fold(token)
+        w = w if w.isalnum() else re.sub(r"[-'’‐‑]", "", w)
+        if len(_KEPT) < 300_000 and len(token) < 64:
+            _KEPT[token] = w
+    return w
+
+
 def words(text: str) -> list[str]:
     """Folded words of a text; a hyphenated word is one word without its hyphens."""
-    return [w if w.isalnum() else re.sub(r"[-'’‐‑]", "", w) for w in (fold(m) for m in _WORD.findall(plain(text)))]
+    return [word(m) for m in _WORD.findall(plain(text))]
