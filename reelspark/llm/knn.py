@@ -4,6 +4,7 @@ One wide shuffle: every vector is placed in the cells near it (``cells``), with
 integers and, where it belongs to the index, its four-bit codes (``quantise``).  In each cell the codes are decoded
 once through their tables and scanned against the cell's queries in blocks; what may reach the threshold
 by the bound of its code's error is reranked with the exact coordinates, and the cells' short lists are merged per query.
+Cells that outgrow ``MOST_IN_CELL`` are searched through cells of their own, so the cost per vector does not grow with the collection.
 
 Vectors that many rows share exactly are found in the sample and leave the bulk: the index keeps the few smallest
 ids of each (more can never be among the nearest), the vector itself is searched once, and its rows get that answer.
@@ -19,6 +20,7 @@ from reelspark.llm.cells import bounded_sample, make_cells
 from reelspark.llm.quantise import pack, train_codebook, unpack
 
 MAX_HOT = 256  # shared vectors that are handled apart; bounds what is broadcast of them
+MOST_IN_CELL = 4096  # items of a cell above which it is searched through cells of its own
 INDEX_ONLY, BOTH, QUERY = 0, 1, 2
 
 
@@ -83,14 +85,16 @@ def search_cell(q, qid, d, did, approx, k: int, least: float, depth: int):
     rows, cols = [], []
     for a in range(0, len(q), 1024):
         for b in range(0, len(d), 8192):
-            s = qf[a : a + 1024] @ approx[b : b + 8192].T
-            near = s >= floor[b : b + 8192]
-            many = np.flatnonzero(near.sum(1) > max(depth, k + 1))
+            block = approx[b : b + 8192]
+            flat = np.flatnonzero(qf[a : a + 1024] @ block.T >= floor[b : b + 8192])
+            r, c = flat // len(block), flat % len(block)
+            many = np.flatnonzero(np.bincount(r) > max(depth, k + 1))
             if len(many):
                 true = qf[a + many] @ df[b : b + 8192].T
                 best = -np.partition(-true, k, axis=1)[:, k]
-                near[many] = true >= np.maximum(best, least)[:, None] - 1e-5
-            r, c = np.nonzero(near)
+                i, j = np.nonzero(true >= np.maximum(best, least)[:, None] - 1e-5)
+                few = ~np.isin(r, many)
+                r, c = np.r_[r[few], many[i]], np.r_[c[few], j]
             rows.append(r + a)
             cols.append(c + b)
     r, c = np.concatenate(rows), np.concatenate(cols)
@@ -114,6 +118,44 @@ def search_cell(q, qid, d, did, approx, k: int, least: float, depth: int):
     return qid[r[top]], did[c[top]], sim[top]
 
 
+class Searcher:
+    """A cell's items: copies folded, and cells of its own where there are more than ``MOST_IN_CELL`` of them."""
+
+    def __init__(self, d, did, approx, k: int, per_cell: int, copies: float, most: int):
+        import numpy as np
+
+        keep = fold_copies(d, did, k + 2)
+        self.d, self.did, self.approx, self.cells = d[keep], did[keep], approx[keep], None
+        if len(self.d) > MOST_IN_CELL:
+            unit = self._unit(self.d)
+            self.cells = make_cells(unit[:: -(-len(unit) // 8192)], len(unit), per_cell, copies, most)
+            r, c = self.cells.place(unit)
+            order = np.argsort(c, kind="stable")
+            cut = np.flatnonzero(np.diff(c[order])) + 1
+            self.inside = dict(zip(c[order][np.r_[0, cut]].tolist(), np.split(r[order], cut)))
+
+    @staticmethod
+    def _unit(v):
+        import numpy as np
+
+        x = v.astype(np.float32)
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    def search(self, q, qid, k: int, least: float, depth: int):
+        import numpy as np
+
+        if self.cells is None:
+            return search_cell(q, qid, self.d, self.did, self.approx, k, least, depth)
+        r, c = self.cells.place(self._unit(q))
+        order = np.argsort(c, kind="stable")
+        found = []
+        for rows, cell in zip(np.split(r[order], np.flatnonzero(np.diff(c[order])) + 1), np.unique(c).tolist()):
+            if cell in self.inside:
+                i = self.inside[cell]
+                found.append(search_cell(q[rows], qid[rows], self.d[i], self.did[i], self.approx[i], k, least, depth))
+        return tuple(map(np.concatenate, zip(*found))) if found else (qid[:0], qid[:0], np.zeros(0))
+
+
 def nearest(
     index: DataFrame,
     queries: DataFrame | None,
@@ -122,7 +164,7 @@ def nearest(
     k: int = 5,
     least: float = 0.92,
     dim: int = 64,
-    per_cell: int = 800,
+    per_cell: int = 400,
     copies: float = 3.2,
     most_cells: int = 8,
     depth: int = 32,
@@ -231,11 +273,8 @@ def nearest(
             if len(items) > 1:
                 items[:] = [tuple(np.concatenate(a) for a in zip(*items))]
             if not folded:
-                d, did, approx = items[0]
-                keep = fold_copies(d, did, k + 2)
-                folded.append((d[keep], did[keep], approx[keep]))
-            d, did, approx = folded[0]
-            a, b, s = search_cell(q, qid, d, did, approx, k + (qid < -(2**61)).any(), least, depth)
+                folded.append(Searcher(*items[0], k, per_cell, copies, most_cells))
+            a, b, s = folded[0].search(q, qid, k + int((qid < -(2**61)).any()), least, depth)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "item_id", "cosine"])
 
         def finish():
