@@ -141,24 +141,34 @@ class Trie:
         return hit if hit is not None and len(hit) >= 4 and (n > 4 or hit[0] == base[0]) else None
 
 
+_SHAPES: dict[str, tuple[str, ...]] = {}
+
+
+def shape(token: str) -> tuple[str, ...]:
+    """Folded words of a token (none, one, or the letter pairs of scripts without spaces); tokens recur, so answers are kept."""
+    got = _SHAPES.get(token)
+    if got is None:
+        w = fold(token).strip("-'’!")
+        if _WIDE.search(w):
+            got = tuple(w[i : i + 2] for i in range(max(1, len(w) - 1)))
+        elif w:
+            w = w.replace("'", "").replace("’", "")
+            plainer = w.replace("-", "")
+            parts = w.split("-")
+            got = (plainer if len(parts) > 2 and all(len(p) == 1 for p in parts) else "0" if plainer.isdigit() else plainer,)
+        else:
+            got = ()
+        if len(_SHAPES) < 300_000 and len(token) < 64:
+            _SHAPES[token] = got
+    return got
+
+
 def sentences(text: str) -> list[list[str]]:
     """Sentences as tokens (folded; masks and signs kept inside words; scripts without spaces as letter pairs)."""
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_·*]", "", m.group()), plain(text))
     out = []
     for s in _ENDS.split(t):
-        row: list[str] = []
-        for m in _TOKEN.findall(s):
-            w = fold(m).strip("-'’!")
-            if _WIDE.search(w):
-                row += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-            elif w:
-                w = w.replace("'", "").replace("’", "")
-                plainer = w.replace("-", "")
-                parts = w.split("-")
-                if len(parts) > 2 and all(len(p) == 1 for p in parts):
-                    row.append(plainer)
-                else:
-                    row.append("0" if plainer.isdigit() else plainer)
+        row = [w for m in _TOKEN.findall(s) for w in shape(m)]
         if row:
             out.append(row)
     return out
