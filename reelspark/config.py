@@ -6,12 +6,18 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from reelspark.operators.grouping import Grouping
+from reelspark.operators.regrid import STRIDE, WINDOW
 from reelspark.operators.score import WEIGHTS
 
 
 @dataclass(frozen=True)
 class Config:
-    target_fps: float = 24.0
+    target_fps: float = 24.0  # of the clips; the timeline goes by stride_sec
+    stride_sec: float = STRIDE
+    window_sec: float = WINDOW
+    eps: float = 1e-5
+    bank_bound: int = 10_000
+    enforce_bank_bound: bool = False  # novelty means all earlier choices unless the bound is asked for
     clip_dim: int = 512
     dino_dim: int = 384
     ewma_alpha: float = 0.3
@@ -41,7 +47,9 @@ def from_dict(tree: dict | None) -> Config:
         percentile_window=int(get("memory").get("percentile_window", c.percentile_window)),
         smoothing_threshold=float(get("scoring").get("conditional_smoothing_threshold", c.smoothing_threshold)),
         weights=dict(get("scoring").get("weights") or WEIGHTS), grouping_enabled=g.get("enabled", True) is not False,
-        grouping_embedding=g.get("embedding"), grouping=grouping,
+        grouping_embedding=g.get("embedding"), grouping=grouping, stride_sec=float(get("pipeline").get("stride_sec", c.stride_sec)),
+        window_sec=float(get("pipeline").get("target_window_sec", c.window_sec)), eps=float(get("scoring").get("eps", c.eps)),
+        bank_bound=int(get("memory").get("faiss_max_elements", c.bank_bound)), enforce_bank_bound=bool(get("memory").get("enforce_bound", False)),
     )
 
 

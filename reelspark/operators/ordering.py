@@ -11,21 +11,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_positions(df: DataFrame, key: str, order: list[str], bucket: Column, name: str = "pos") -> DataFrame:
+def with_positions(df: DataFrame, key: str, order: list[str], bucket: Column, name: str = "pos", before: tuple[str, ...] = ()) -> DataFrame:
     """Add the 0-based rank ``name`` of each row within ``key`` by ``order``, and the key's last rank ``last_<name>``.
 
+    For the columns ``before`` it adds the value of the row before as ``before_<column>``, NULL at the start of a bucket: for statistics.
+
     ``bucket`` must be a BIGINT expression that never decreases along ``order``.  A NULL key is a key of its own.
     """
     d = df.withColumn("_b", bucket)
     sizes = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # one row per bucket, so this window is thousands of times smaller than the data
     starts = sizes.select(
-        F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
         (F.sum("_n").over(Window.partitionBy(key)) - 1).alias(f"last_{name}"),
     )
     inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order))
     ranked = d.withColumn("_r", inside)
+    for c in before:
+        ranked = ranked.withColumn(f"before_{c}", F.lag(c).over(Window.partitionBy(key, "_b").orderBy(*order)))
     return ranked.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))).withColumn(
         name, (F.col("_start") + F.col("_r") - 1).cast("bigint")
     ).drop("_b", "_k", "_kb", "_start", "_r")
@@ -47,6 +51,34 @@ def with_halo(df: DataFrame, pos: str, chunk: int, halo: int) -> DataFrame:
     )
 
 
+CHUNK = 4096
+
+
+def neighbourhoods(df: DataFrame, order: list[str], halo: int, key: str = "video_id", chunk: int = CHUNK) -> tuple[DataFrame, object]:
+    """Rows in chunks of positions with ``halo`` rows of context on both sides, and the window that runs through a chunk.
+
+    Adds ``pos``, ``last_pos``, ``chunk`` and ``core``; keep ``core`` rows after use.  ``order[0]`` must be an integer column.
+    """
+    placed = with_positions(df, key, order, F.floor(F.col(order[0]) / chunk).cast("bigint"))
+    return with_halo(placed, "pos", chunk, halo), Window.partitionBy(key, "chunk").orderBy("pos")
+
+
+def carried(chunks: DataFrame, values: dict[str, Column], key: str = "video_id") -> DataFrame:
+    """(key, chunk, before_<name>, after_<name>): the greatest value of all earlier and the least one of all later chunks.
+
+    One row per chunk goes through a window of the key: thousands of times fewer than rows.
+    """
+    own = chunks.where("core").groupBy(key, "chunk").agg(
+        *[f(v).alias(f"{p}_{n}") for n, v in values.items() for p, f in (("_hi", F.max), ("_lo", F.min))]
+    )
+    w = Window.partitionBy(key).orderBy("chunk")
+    # looking ahead is looking back in falling order
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, Window.partitionBy(key).orderBy(F.desc("chunk"))))
+    return own.select(
+        key, "chunk", *[F.max(f"_hi_{n}").over(back).alias(f"before_{n}") for n in values], *[F.min(f"_lo_{n}").over(ahead).alias(f"after_{n}") for n in values]
+    )
+
+
 def by_chunk(df: DataFrame, keys: list[str], order: list[str], rows_hint: int | None = None) -> DataFrame:
     """Co-locate and sort the chunks so that a partition can be streamed chunk by chunk."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)

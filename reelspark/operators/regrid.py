@@ -80,18 +80,11 @@ def back(f, p, s, d):
     )
 
 
-def noise(t, y):
-    """Per chunk: variance of the readings' noise and of trend and level steps, from robust differences."""
+def noise(step):
+    """Variance of the readings' noise and of trend and level steps, from the source's median step between neighbouring readings."""
     import numpy as np
 
-    with np.errstate(all="ignore"):
-        d = np.abs(np.diff(y, axis=1))
-        have = ~np.isnan(d)
-        d = np.sort(np.where(have, d, np.inf), axis=1)
-        k = have.sum(1)
-        med = d[np.arange(len(d)), np.maximum((k - 1) // 2, 0)] if d.shape[1] else np.zeros(len(y))
-    med = np.where((k > 0) & np.isfinite(med), med, 1.0)
-    scale = np.maximum(med / 0.9539, 1e-6)  # median of |N(0, 2 sd^2)| is 0.9539 sd
+    scale = np.maximum(np.where(np.isfinite(step), step, 1.0) / 0.9539, 1e-6)  # median of |N(0, 2 sd^2)| is 0.9539 sd
     return scale**2, 0.5 * scale**2, 0.5 * scale**2
 
 
@@ -124,7 +117,11 @@ def regular_grid(
         for i, v in enumerate(names)
     ]
     obs = slim.groupBy("src", "t").agg(*good)
-    placed = with_positions(obs, "src", ["t"], F.floor(F.col("t") / 64.0).cast("bigint"))
+    vs = [f"v_{i}" for i in range(len(names))]
+    placed = with_positions(obs, "src", ["t"], F.floor(F.col("t") / 64.0).cast("bigint"), before=tuple(vs))
+    # the noise is the source's, whatever its chunks: partial aggregates, one row a source
+    steps = placed.groupBy(F.col("src").alias("_src")).agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"before_{v}")), 0.5, 10000).alias(f"step_{v}") for v in vs])
+    placed = placed.drop(*[f"before_{v}" for v in vs]).join(steps, F.col("src").eqNullSafe(F.col("_src"))).drop("_src")
     chunks = by_chunk(with_halo(placed, "pos", chunk, halo), ["src", "chunk"], ["pos"])
     est = "".join(f", `{v}_est` double, `{v}_sd` double" for v in names)
     out = f"{source} bigint, slot bigint, target_timestamp double, is_synthetic boolean{est}"
@@ -147,7 +144,7 @@ def regular_grid(
             for i in range(len(names)):
                 Y = np.full((n, m), np.nan)
                 Y[row, col] = pdf[f"v_{i}"].to_numpy(dtype=float, na_value=np.nan)
-                r, q, q0 = noise(T, Y)
+                r, q, q0 = noise(pdf[f"step_v_{i}"].to_numpy(dtype=float, na_value=np.nan)[b[:-1]])
                 fits.append((*smooth(T, Y, r, q, q0), q, q0, ~np.isnan(Y).all(1)))
             core, pos, last = pdf["core"].to_numpy(dtype=bool), pdf["pos"].to_numpy(), pdf["last_pos"].to_numpy()
             for g in range(n):
@@ -213,4 +210,4 @@ def regular_grid(
         return mean, np.maximum(var, 0.0)
 
     # slots at the edge of the first window can lie outside it only by rounding; the exact test above holds
-    return chunks.select("src", "chunk", "pos", "core", "t", "last_pos", *[f"v_{i}" for i in range(len(names))]).mapInPandas(run, out)
+    return chunks.select("src", "chunk", "pos", "core", "t", "last_pos", *vs, *[f"step_{v}" for v in vs]).mapInPandas(run, out)

@@ -68,11 +68,11 @@ def rolling_percentiles(candidates: DataFrame, values: list[str], n: int = PERCE
     return by_chunk(rows, ["video_id", "chunk"], ["pos"]).select(*keep, "chunk", "core").mapInPandas(run, schema)
 
 
-def normalised(candidates: DataFrame, names: dict[str, str], n: int = PERCENTILE_WINDOW) -> DataFrame:
+def normalised(candidates: DataFrame, names: dict[str, str], n: int = PERCENTILE_WINDOW, eps: float = 1e-5) -> DataFrame:
     """Adds each value (column -> new name) clip-normalised by its rolling percentiles: the sharpness and motion terms."""
     out = rolling_percentiles(candidates, list(names), n)
     for v, name in names.items():
-        out = out.withColumn(name, clip_norm(F.col(v), F.col(f"{v}_p25"), F.col(f"{v}_p75"))).drop(f"{v}_p25", f"{v}_p75")
+        out = out.withColumn(name, clip_norm(F.col(v), F.col(f"{v}_p25"), F.col(f"{v}_p75"), eps)).drop(f"{v}_p25", f"{v}_p75")
     return out
 
 
@@ -103,11 +103,12 @@ def ewma_vector(frames: DataFrame, vector: str, alpha: float = 0.3, order: str =
     return rows.groupBy("video_id", "chunk").applyInPandas(run, f"video_id bigint, {order} bigint, ewma array<double>")
 
 
-def topk_novelty(frames: DataFrame, vector: str, k: int = 5, order: str = "frame_idx", block: int = 2048) -> DataFrame:
+def topk_novelty(frames: DataFrame, vector: str, k: int = 5, order: str = "frame_idx", block: int = 16_384) -> DataFrame:
     """(video_id, order, novelty): max(0, 1 - mean of the k largest inner products with the video's earlier unit vectors).
 
-    The first frame has novelty 1.  Exact: blocks of frames meet the blocks before them as matrix products, each pair of
-    blocks yields k products a frame, and these short lists are merged.
+    The first frame has novelty 1.  Exact, so the work is quadratic in a video: blocks of frames meet the blocks before them as
+    matrix products, each pair of blocks yields k products a frame, and these short lists are merged.  A vector travels once
+    for each block of its video; blocks are large so that these are few, and are multiplied a thousand rows at a time.
     """
     placed = with_positions(frames.select("video_id", order, vector), "video_id", [order], F.floor(F.col(order) / CHUNK).cast("bigint"))
     own = F.floor(F.col("pos") / block).cast("int")
@@ -123,10 +124,13 @@ def topk_novelty(frames: DataFrame, vector: str, k: int = 5, order: str = "frame
         x = np.stack(pdf[vector].to_numpy())
         x = x / (np.sqrt((x * x).sum(1)) + 1e-8)[:, None]
         q, pos, idx = pdf["q"].to_numpy(dtype=bool), pdf["pos"].to_numpy(), pdf[order].to_numpy()
-        s = x[q] @ x[~q].T
-        s[pos[~q][None] >= pos[q][:, None]] = -np.inf
-        m = min(k, s.shape[1])
-        top = -np.sort(np.partition(-s, m - 1, axis=1)[:, :m], axis=1)
+        asked, bank, asked_pos, bank_pos = x[q], x[~q], pos[q], pos[~q]
+        m = min(k, len(bank))
+        top = np.empty((len(asked), m))
+        for a in range(0, len(asked), 1024):
+            s = asked[a : a + 1024] @ bank.T
+            s[bank_pos[None] >= asked_pos[a : a + 1024, None]] = -np.inf
+            top[a : a + 1024] = -np.sort(np.partition(-s, m - 1, axis=1)[:, :m], axis=1)
         keep = np.isfinite(top)
         r, _ = np.nonzero(keep)
         first = pos[q] == 0

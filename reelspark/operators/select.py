@@ -12,9 +12,11 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.ordering import group_bounds, stream_groups
 from reelspark.operators.score import normalise_weights
 
 EPS = 1e-5
+BLOCK = 128  # slots whose candidates meet the bank in one matrix product
 NAMES = ("semantic", "blur", "motion", "entity", "consistency", "diversity", "gate", "total")
 
 
@@ -23,17 +25,8 @@ def floor_pct(values, p: float) -> float:
     return s[int(p * (len(s) - 1))] if s else 0.0
 
 
-def clip_norm(v: float, p25: float, p75: float) -> float:
-    return min(2.0, max(0.0, (v - p25) / ((p75 - p25) + EPS)))
-
-
-def cosine_distance(a, b) -> float:
-    import numpy as np
-
-    if a is None or b is None:
-        return 0.0
-    na, nb = np.sqrt(a @ a), np.sqrt(b @ b)
-    return 0.0 if na < 1e-8 or nb < 1e-8 else 1.0 - (a @ b) / (na * nb)
+def clip_norm(v: float, p25: float, p75: float, eps: float = EPS) -> float:
+    return min(2.0, max(0.0, (v - p25) / ((p75 - p25) + eps)))
 
 
 def distances(x, v):
@@ -68,41 +61,67 @@ def entity_delta(a, b) -> float:
 
 
 class Bank:
-    """Unit vectors of the winners so far, in a buffer that doubles."""
+    """Unit vectors of the winners so far, in a buffer that doubles; with ``cap`` no more are added once so many are held."""
 
-    def __init__(self, dim: int):
+    def __init__(self, dim: int, cap: int | None = None):
         import numpy as np
 
-        self.x, self.n = np.empty((256, dim)), 0
+        self.x, self.n, self.cap = np.empty((256, dim)), 0, cap
+        self.ahead = None
 
     def add(self, v) -> None:
         import numpy as np
 
+        if self.cap is not None and self.n >= self.cap:
+            return
         if self.n == len(self.x):
             self.x = np.concatenate([self.x, np.empty_like(self.x)])
         self.x[self.n] = v / (np.sqrt(v @ v) + 1e-8)
         self.n += 1
 
-    def novelty(self, q, k: int = 5):
-        """Per row of q: max(0, 1 - mean of the k largest inner products); 1 while the bank is empty."""
+    def look_ahead(self, q, k: int = 5) -> None:
+        """Rows that will be asked about: their ``k`` largest inner products with all that is in the bank now, as matrix products.
+
+        Then :meth:`novelty` of some of them compares only with what was added since.
+        """
+        import numpy as np
+
+        unit = q / (np.sqrt((q * q).sum(1)) + 1e-8)[:, None]
+        best = np.full((len(q), k), -np.inf)
+        for s in range(0, self.n, 8192):
+            both = np.concatenate([best, unit @ self.x[s : min(s + 8192, self.n)].T], axis=1)
+            best = -np.partition(-both, k - 1, axis=1)[:, :k]
+        self.ahead = unit, best, self.n
+
+    def novelty(self, q, k: int = 5, at: slice | None = None):
+        """Per row of q: max(0, 1 - mean of the k largest inner products); 1 while the bank is empty.
+
+        ``at``: q is these rows of the last :meth:`look_ahead`.
+        """
         import numpy as np
 
         if not self.n:
             return np.ones(len(q))
-        s = (q / (np.sqrt((q * q).sum(1)) + 1e-8)[:, None]) @ self.x[: self.n].T
-        if self.n > k:
-            s = np.partition(s, self.n - k, axis=1)[:, -k:]
-        return np.maximum(0.0, 1.0 - s.mean(1))
+        if at is None:
+            s = (q / (np.sqrt((q * q).sum(1)) + 1e-8)[:, None]) @ self.x[: self.n].T
+        else:
+            unit, best, n = self.ahead
+            s = np.concatenate([best[at], unit[at] @ self.x[n : self.n].T], axis=1)
+        if s.shape[1] > k:
+            s = -np.partition(-s, k - 1, axis=1)[:, :k]
+        s = s[:, : min(k, self.n)] if at is None else np.where(np.isfinite(s), s, 0.0)
+        return np.maximum(0.0, 1.0 - s.sum(1) / min(k, self.n))
 
 
 class Selector:
     """State of one video: trackers, vector bank, the last ten structural vectors, the open gap."""
 
-    def __init__(self, clip_dim: int, dino_dim: int, weights=None, alpha: float = 0.3, window: int = 120):
+    def __init__(self, clip_dim: int, dino_dim: int, weights=None, alpha: float = 0.3, window: int = 120, cap: int | None = None, eps: float = EPS):
+        self.eps = eps
         self.clip_dim, self.dino_dim, self.alpha = clip_dim, dino_dim, alpha
         self.w = normalise_weights(weights)
         self.context = self.entity = None
-        self.bank = Bank(clip_dim)
+        self.bank = Bank(clip_dim, cap)
         self.novelties: deque = deque(maxlen=window)
         self.history: deque = deque(maxlen=10)
         self.previous: list = []
@@ -117,13 +136,13 @@ class Selector:
     def back(self, steps: int):
         return self.history[max(0, len(self.history) - steps)]
 
-    def select(self, clip, dino, q_hat, m_hat, d_val, entities):
-        """(winner, scores) among the candidates (rows in push order); commits the winner."""
+    def select(self, clip, dino, q_hat, m_hat, d_val, entities, at: slice | None = None):
+        """(winner, scores) among the candidates (rows in push order); commits the winner.  ``at``: their rows in ``bank.look_ahead``."""
         import numpy as np
 
         p25, p75 = floor_pct(self.novelties, 0.25), floor_pct(self.novelties, 0.75)
-        temperature = max(p75 - p25, EPS)
-        far = self.bank.novelty(clip)
+        temperature = max(p75 - p25, self.eps)
+        far = self.bank.novelty(clip, at=at)
         near = np.ones(len(clip)) if self.context is None else distances(clip, self.context)
         away = np.zeros(len(clip))
         if self.history:
@@ -135,7 +154,7 @@ class Selector:
             raw = entity_delta(self.previous, entities[i])
             e = raw if self.entity is None else self.alpha * raw + (1 - self.alpha) * self.entity
             novelty, c = float(novel[i]), float(away[i])
-            n = clip_norm(novelty, p25, p75)
+            n = clip_norm(novelty, p25, p75, self.eps)
             gate = 1 / (1 + math.exp(-min(30.0, max(-30.0, (n - p75) / (temperature + EPS)))))
             shared = self.w["motion"] * m_hat[i] + self.w["entity"] * e
             sem, blur = self.w["semantic"] * n + shared, self.w["blur"] * q_hat[i] + shared
@@ -168,12 +187,12 @@ class Selector:
         self.last_real, self.gap = now, 0
 
 
-def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_dim: int = 16, weights=None, alpha: float = 0.3, window: int = 120) -> DataFrame:
+def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_dim: int = 16, weights=None, alpha: float = 0.3, window: int = 120, cap: int | None = None, eps: float = EPS) -> DataFrame:
     """One row per slot: video_id, slot, target_timestamp, frame_idx, native_timestamp, is_synthetic, scores.
 
     ``scored``: candidates with q_hat, m_hat, d_val, clip_emb, dino_emb and entities; ``slots``: all closed slots.  A video's
     choices depend on all earlier ones, so a video is one group; its rows stream in slot order and only the bank, history and
-    trackers are held.  A NULL structural vector counts as zero.
+    trackers are held.  A NULL structural vector counts as zero.  ``cap`` bounds the bank; by default it grows, as novelty means all of it.
     """
     boxes = F.transform(F.coalesce("entities", F.array()), lambda e: F.struct(e["class_id"].alias("c"), e["bbox"].alias("b")))
     rows = slots.select("video_id", "slot").join(
@@ -186,37 +205,41 @@ def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_
         import numpy as np
         import pandas as pd
 
-        video, state, held, done = None, None, [], []
-
-        def close():
-            slot = held[0].slot
-            if np.isnan(held[0].ts):
-                state.empty()
-                done.append((video, slot, None, None, True, {}))
-            else:
-                clip = np.stack([r.clip_emb for r in held])
-                dino = np.stack([np.zeros(dino_dim) if r.dino_emb is None else r.dino_emb for r in held])
-                ents = [[(e["c"], e["b"]) for e in r.boxes if e["b"] is not None and len(e["b"]) == 4] for r in held]
-                i, scores = state.select(clip, dino, [r.q_hat for r in held], [r.m_hat for r in held], [r.d_val for r in held], ents)
-                done.append((video, slot, int(held[i].frame_idx), held[i].ts, False, scores))
-            held.clear()
-
         names = ["video_id", "slot", "frame_idx", "native_timestamp", "is_synthetic", "scores"]
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if held and (r.video_id != video or r.slot != held[0].slot):
-                    close()
-                if r.video_id != video:
-                    video, state = r.video_id, Selector(clip_dim, dino_dim, weights, alpha, window)
-                held.append(r)
-            if done:
-                frame = pd.DataFrame(done, columns=names)
-                frame["frame_idx"] = frame["frame_idx"].astype("Int64")
-                yield frame
-                done.clear()
-        if held:
-            close()
-        if done:
+        video, state = None, None
+        for pdf in stream_groups(batches, ["video_id", "slot"], 4096):
+            bounds = group_bounds(pdf, ["video_id", "slot"])
+            vid, slot, ts = pdf["video_id"].to_numpy(), pdf["slot"].to_numpy(), pdf["ts"].to_numpy(dtype=float)
+            idx = pdf["frame_idx"].to_numpy(dtype=float, na_value=np.nan)
+            real = ~np.isnan(ts)
+            clip, dino = np.zeros((len(pdf), clip_dim)), np.zeros((len(pdf), dino_dim))
+            if real.any():
+                clip[real] = np.stack(pdf["clip_emb"].to_numpy()[real])
+            has = pdf["dino_emb"].notna().to_numpy()
+            if has.any():
+                dino[has] = np.stack(pdf["dino_emb"].to_numpy()[has])
+            hats = [pdf[c].to_numpy(dtype=float) for c in ("q_hat", "m_hat", "d_val")]
+            boxes = pdf["boxes"].to_numpy()
+            done = []
+            # of a video's rows so many are looked up in the bank at once
+            begins = bounds[:-1]
+            starts = [0, *(np.flatnonzero(vid[begins[1:]] != vid[begins[:-1]]) + 1).tolist(), len(begins)]
+            for v0, v1 in zip(starts[:-1], starts[1:]):
+                if vid[begins[v0]] != video:
+                    video, state = vid[begins[v0]], Selector(clip_dim, dino_dim, weights, alpha, window, cap, eps)
+                for s0 in range(v0, v1, BLOCK):
+                    s1 = min(s0 + BLOCK, v1)
+                    base, end = bounds[s0], bounds[s1]
+                    state.bank.look_ahead(clip[base:end])
+                    for s in range(s0, s1):
+                        a, b = bounds[s], bounds[s + 1]
+                        if not real[a]:
+                            state.empty()
+                            done.append((video, slot[a], None, None, True, {}))
+                            continue
+                        ents = [[(e["c"], e["b"]) for e in boxes[i] if e["b"] is not None and len(e["b"]) == 4] for i in range(a, b)]
+                        i, scores = state.select(clip[a:b], dino[a:b], *(h[a:b] for h in hats), ents, slice(a - base, b - base))
+                        done.append((video, slot[a], int(idx[a + i]), ts[a + i], False, scores))
             frame = pd.DataFrame(done, columns=names)
             frame["frame_idx"] = frame["frame_idx"].astype("Int64")
             yield frame

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +21,11 @@ def outputs(frames: DataFrame, cfg: Config) -> DataFrame:
 
     ``frames`` as from ``sources.frames.clean_frames``: video_id, frame_idx, ts, blur, flow, clip_emb, dino_emb, entities.
     """
-    slim = T.candidates(frames.select("video_id", "frame_idx", "ts", "blur", "flow"))
-    n = cfg.percentile_window
-    hats = rolling.normalised(slim, {"blur": "q_hat", "flow": "m_hat"}, n)
-    near = S.diversity(T.candidates(frames.select("video_id", "frame_idx", "ts", "clip_emb")), "clip_emb")
-    wide = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb", "entities")
-    scored = hats.join(near, ["video_id", "slot", "frame_idx"]).join(wide, ["video_id", "frame_idx"])
-    chosen = select_frames(scored, T.all_slots(frames.select("video_id", "ts")), cfg.clip_dim, cfg.dino_dim, cfg.weights, cfg.ewma_alpha, n)
+    frames = cut_lineage(frames.select("video_id", "frame_idx", "ts", "blur", "flow", "clip_emb", "dino_emb", "entities"))
+    chosen = select(frames, cfg)
     vectors = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb")
     rows = cut_lineage(chosen.join(vectors, ["video_id", "frame_idx"], "left").withColumn("real", ~F.col("is_synthetic")))
-    filled = emit.filled(rows).withColumn("target_timestamp", F.col("slot") * F.lit(T.STRIDE))
+    filled = emit.filled(rows).withColumn("target_timestamp", F.col("slot") * F.lit(cfg.stride_sec))
     zero = lambda c, d: F.coalesce(c, F.array_repeat(F.lit(0.0), d))
     filled = filled.withColumn("clip_emb", zero("clip_emb", cfg.clip_dim)).withColumn("dino_emb", zero("dino_emb", cfg.dino_dim))
     filled = cut_lineage(filled)
@@ -38,7 +35,19 @@ def outputs(frames: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def clips(out: DataFrame, cfg: Config) -> DataFrame:
+def select(frames: DataFrame, cfg: Config) -> DataFrame:
+    """One row per closed slot with the chosen frame: terms that depend on no choice in parallel, then the fold."""
+    slots = {"stride": cfg.stride_sec, "window": cfg.window_sec}
+    n = cfg.percentile_window
+    hats = rolling.normalised(T.candidates(frames.select("video_id", "frame_idx", "ts", "blur", "flow"), **slots), {"blur": "q_hat", "flow": "m_hat"}, n, cfg.eps)
+    near = S.diversity(T.candidates(frames.select("video_id", "frame_idx", "ts", "clip_emb"), **slots), "clip_emb")
+    wide = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb", "entities")
+    scored = hats.join(near, ["video_id", "slot", "frame_idx"]).join(wide, ["video_id", "frame_idx"])
+    cap = cfg.bank_bound if cfg.enforce_bank_bound else None
+    return select_frames(scored, T.all_slots(frames.select("video_id", "ts"), **slots), cfg.clip_dim, cfg.dino_dim, cfg.weights, cfg.ewma_alpha, n, cap, cfg.eps)
+
+
+def clips(out: DataFrame, cfg: Config, clip_dir: str = "clips") -> DataFrame:
     """Clip manifest of the slots of each video.  Slots carry no entities or subtitles; without ``grouping_embedding``
     they carry no vector either, and every slot stays a clip of its own."""
     vector = F.col(cfg.grouping_embedding) if cfg.grouping_embedding else F.lit(None).cast("array<double>")
@@ -48,7 +57,8 @@ def clips(out: DataFrame, cfg: Config) -> DataFrame:
         F.array().cast("array<string>").alias("subtitles"), vector.alias("embedding"),
     )
     nodes = cut_lineage(nodes)
-    return grouping.manifest(nodes.join(grouping.group_frames(nodes, cfg.grouping).drop("video_id"), "node_id"), cfg.grouping)
+    members = nodes.join(grouping.group_frames(nodes, cfg.grouping).drop("video_id"), "node_id")
+    return grouping.manifest(members, replace(cfg.grouping, fps=cfg.target_fps), clip_dir)
 
 
 def run(spark: SparkSession, frames: DataFrame, output_dir: str, cfg: Config | None = None) -> dict[str, str]:
@@ -60,5 +70,5 @@ def run(spark: SparkSession, frames: DataFrame, output_dir: str, cfg: Config | N
     if out.isEmpty() or not cfg.grouping_enabled:
         return paths
     paths["clips"] = f"{output_dir}/clips"
-    write_json(clips(out, cfg), paths["clips"])
+    write_json(clips(out, cfg, f"{output_dir}/clips"), paths["clips"])
     return paths

@@ -5,7 +5,7 @@ Vectors are compared through scalars (norms, single elements, similarities) roun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.config import Config
@@ -14,7 +14,7 @@ from reelspark.functions import vectors as V
 from reelspark.operators import emit, grouping, recon, rolling
 from reelspark.operators import score as S
 from reelspark.operators import timeline as T
-from reelspark.operators.select import select_frames
+from reelspark.operators.ordering import neighbourhoods
 from reelspark.plans import pipeline
 from reelspark.session import table
 from reelspark.sources.frames import clean_frames, clean_outputs, frame_times, resolve_fps
@@ -70,7 +70,15 @@ _N = """n0 AS (SELECT node_id, max(video_id) AS video_id, max(frame_index) AS fr
 n AS (SELECT node_id, video_id, frame_index, coalesce(tc, 30.0) AS token_cost, scores, entities,
   coalesce(list_filter(subs, lambda x: x IS NOT NULL AND trim(x) <> ''), []) AS subtitles,
   CASE WHEN e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x))) = 0 THEN e END AS embedding FROM n0)"""
-_MACROS = ""
+
+
+def _vec(v: str) -> str:
+    """A vector's elements to five digits as text."""
+    return f"array_to_string(list_transform({v}, lambda z: CAST(round((z + {_OFF}) * 100000) AS BIGINT)), ',')"
+
+
+def vec(c):
+    return F.array_join(F.transform(c, lambda z: F.round((z + F.lit(_OFF)) * 100000).cast("bigint").cast("string")), ",")
 
 
 def _sc(key: str, m: str = "scores") -> str:
@@ -104,10 +112,10 @@ def fps_rule(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("video_id", resolve_fps(container, override).alias("fps"))
 
 
-@query("SELECT DISTINCT video_id, frame_idx, round(frame_idx / 25.0, 6) AS ts FROM native_frames WHERE video_id IS NOT NULL AND frame_idx IS NOT NULL AND frame_idx / CAST(25.0 AS DOUBLE) <= 8.0")
+@query("SELECT DISTINCT video_id, frame_idx, round(frame_idx / 25.0, 6) AS ts FROM native_frames WHERE video_id IS NOT NULL AND frame_idx IS NOT NULL")
 def ingest_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "native_frames").where("video_id IS NOT NULL AND frame_idx IS NOT NULL").select("video_id", "frame_idx").distinct()
-    return frame_times(f, F.lit(25.0), F.lit(8.0)).withColumn("ts", r6("ts"))
+    return frame_times(f, F.lit(25.0), F.lit(None).cast("double")).withColumn("ts", r6("ts"))
 
 
 @query(f"WITH {_F}, {_K}, {_C} SELECT video_id, slot, frame_idx FROM c")
@@ -130,22 +138,21 @@ def best_by_sharpness(spark: SparkSession, sf: str) -> DataFrame:
 # ---- vectors -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_F} SELECT frame_id, round(clip_emb[1] / ({_norm('clip_emb')} + 1e-8), 6) AS first, round({_norm('clip_emb')} / ({_norm('clip_emb')} + 1e-8), 6) AS length FROM f")
+@query(f"WITH {_F}, u AS (SELECT frame_id, clip_emb AS v, {_norm('clip_emb')} + 1e-8 AS n FROM f) SELECT frame_id, {_vec('list_transform(v, lambda e: e / n)')} AS unit FROM u")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    f = clean_frames(spark, sf).withColumn("u", V.l2_normalize(F.col("clip_emb")))
-    return f.select("frame_id", r6(F.element_at("u", 1)).alias("first"), r6(V.norm(F.col("u"))).alias("length"))
+    return clean_frames(spark, sf).select("frame_id", vec(V.l2_normalize(F.col("clip_emb"))).alias("unit"))
 
 
-@query(f"""WITH {_F}, v AS (SELECT frame_id, list_concat(clip_emb, clip_emb[1:32]) AS w, clip_emb[1:24] AS s FROM f)
-SELECT frame_id, round(w[90] / ({_norm('w')} + 1e-8), 6) AS wide90, round(s[24] / ({_norm('s')} + 1e-8), 6) AS short24 FROM v""")
+@query(f"""WITH {_F}, v AS (SELECT frame_id, list_concat(clip_emb, clip_emb[1:32]) AS w, clip_emb[1:24] AS s FROM f),
+n AS (SELECT frame_id, w, s, {_norm('w')} + 1e-8 AS nw, {_norm('s')} + 1e-8 AS ns FROM v)
+SELECT frame_id, {_vec('list_transform(w, lambda e: e / nw)')} AS wide, {_vec('list_transform(s, lambda e: e / ns)')} AS short FROM n""")
 def vector_resize(spark: SparkSession, sf: str) -> DataFrame:
-    f = clean_frames(spark, sf).select("frame_id", V.vector_resize(F.col("clip_emb"), 96).alias("w"), V.vector_resize(F.col("clip_emb"), 24).alias("s"))
-    return f.select("frame_id", r6(F.element_at("w", 90)).alias("wide90"), r6(F.element_at("s", 24)).alias("short24"))
+    return clean_frames(spark, sf).select("frame_id", vec(V.vector_resize(F.col("clip_emb"), 96)).alias("wide"), vec(V.vector_resize(F.col("clip_emb"), 24)).alias("short"))
 
 
 def _neighbours(nodes: DataFrame) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("frame_index", "node_id")
-    return nodes.select("video_id", "node_id", "embedding", F.lag("embedding").over(w).alias("before"))
+    rows, w = neighbourhoods(nodes.select("video_id", "frame_index", "node_id", "embedding"), ["frame_index", "node_id"], 1)
+    return rows.withColumn("before", F.lag("embedding").over(w)).where("core")
 
 
 def _pair_sql(expr: str) -> str:
@@ -170,21 +177,23 @@ def cosine_strict(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("node_id", r6(V.similarity_strict(F.col("embedding"), F.col("before"))).alias("value"))
 
 
-@query(f"""WITH {_F}, {_K}, {_C} SELECT a.video_id, a.slot, a.frame_idx, b.frame_idx AS other_idx, round(1 - ({_dist('a.clip_emb', 'b.clip_emb')}), 6) AS similarity
-FROM c a JOIN c b ON a.video_id = b.video_id AND a.slot = b.slot AND a.frame_idx <> b.frame_idx""")
+_V5 = f"CASE WHEN {_norm('a.clip_emb')} = 0 OR {_norm('b.clip_emb')} = 0 THEN 0.0 ELSE list_inner_product(a.clip_emb, b.clip_emb) / ({_norm('a.clip_emb')} * {_norm('b.clip_emb')}) END"
+
+
+@query(f"""WITH {_F}, {_K}, {_C} SELECT a.video_id, a.slot, a.frame_idx, b.frame_idx AS other_idx, round({_V5}, 6) + 0.0 AS similarity
+FROM c a JOIN c b ON a.video_id = b.video_id AND a.slot = b.slot""")
 def cosine_matrix(spark: SparkSession, sf: str) -> DataFrame:
     c = T.candidates(clean_frames(spark, sf).select("video_id", "frame_idx", "ts", "clip_emb"))
-    return S.slot_pairs(c, "clip_emb").withColumn("similarity", r6("similarity"))
+    return S.cosine_matrix(c, "clip_emb").withColumn("similarity", r6("similarity") + F.lit(0.0))
 
 
 _HATS = ", ".join(f"{_sc(k)} AS {k}" for k in ("semantic", "blur", "motion", "entity", "consistency", "diversity", "gate"))
 
 
-@query(f"WITH {_O}, s AS (SELECT video_id, slot, {_HATS} FROM o) SELECT video_id, slot, round(least(2.0, greatest(0.0, (semantic - 0.4) / ((blur - 0.4) + 0.00001))), 6) AS value FROM s WHERE abs(blur - 0.39999) > 0.0001")
+@query(f"WITH {_O}, s AS (SELECT video_id, slot, {_HATS} FROM o) SELECT video_id, slot, round(least(2.0, greatest(0.0, (semantic - 0.4) / (((0.4 + abs(blur)) - 0.4) + 0.00001))), 6) AS value FROM s")
 def clip_norm(spark: SparkSession, sf: str) -> DataFrame:
     o = clean_outputs(spark, sf).select("video_id", "slot", V.score(F.col("scores"), "semantic").alias("a"), V.score(F.col("scores"), "blur").alias("b"))
-    o = o.where(F.abs(F.col("b") - 0.39999) > 0.0001)
-    return o.select("video_id", "slot", r6(V.clip_norm(F.col("a"), F.lit(0.4), F.col("b"))).alias("value"))
+    return o.select("video_id", "slot", r6(V.clip_norm(F.col("a"), F.lit(0.4), F.lit(0.4) + F.abs("b"))).alias("value"))
 
 
 @query(f"WITH {_O}, s AS (SELECT video_id, slot, {_HATS} FROM o) SELECT video_id, slot, round(1 / (1 + exp(-greatest(-30.0, least(30.0, (semantic - blur) / (gate + 0.00001))))), 6) AS value FROM s")
@@ -242,12 +251,13 @@ def ewma_scalar(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.ewma_scalar(f, "blur").select("video_id", "frame_idx", r6_off("ewma").alias("ewma"))
 
 
-@query(f"""WITH RECURSIVE {_F}, p AS (SELECT video_id, frame_idx, clip_emb[1] AS x, clip_emb[64] AS y, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS i FROM f),
-e AS (SELECT video_id, frame_idx, i, x, y FROM p WHERE i = 1 UNION ALL SELECT p.video_id, p.frame_idx, p.i, 0.3 * p.x + 0.7 * e.x, 0.3 * p.y + 0.7 * e.y FROM e JOIN p ON p.video_id = e.video_id AND p.i = e.i + 1)
-SELECT video_id, frame_idx, round(x + {_OFF}, 6) AS first, round(y + {_OFF}, 6) AS last FROM e""")
+@query(f"""WITH RECURSIVE {_F}, p AS (SELECT video_id, frame_idx, clip_emb AS v, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS i FROM f),
+e AS (SELECT video_id, frame_idx, i, v FROM p WHERE i = 1 UNION ALL
+  SELECT p.video_id, p.frame_idx, p.i, list_transform(list_zip(p.v, e.v), lambda z: 0.3 * z[1] + 0.7 * z[2]) FROM e JOIN p ON p.video_id = e.video_id AND p.i = e.i + 1)
+SELECT video_id, frame_idx, {_vec('v')} AS ewma FROM e""")
 def ewma_vector(spark: SparkSession, sf: str) -> DataFrame:
     e = rolling.ewma_vector(clean_frames(spark, sf).select("video_id", "frame_idx", "clip_emb"), "clip_emb")
-    return e.select("video_id", "frame_idx", r6_off(F.element_at("ewma", 1)).alias("first"), r6_off(F.element_at("ewma", 64)).alias("last"))
+    return e.select("video_id", "frame_idx", vec(F.col("ewma")).alias("ewma"))
 
 
 @query(f"""WITH {_F}, u AS (SELECT video_id, frame_idx, list_transform(clip_emb, lambda x: x / ({_norm('clip_emb')} + 1e-8)) AS v FROM f),
@@ -266,11 +276,10 @@ _PREV = "x AS (SELECT video_id, frame_idx, frame_id, coalesce(entities, []) AS e
 
 
 def _entity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("frame_idx")
-    f = clean_frames(spark, sf).select("video_id", "frame_idx", "frame_id", "entities")
-    kind = f.schema["entities"].dataType
-    empty = F.array().cast(kind)
-    return f.select("frame_id", F.coalesce(F.lag("entities").over(w), empty).alias("p"), F.coalesce("entities", empty).alias("e"))
+    f, w = neighbourhoods(clean_frames(spark, sf).select("video_id", "frame_idx", "frame_id", "entities"), ["frame_idx"], 1)
+    empty = F.array().cast(f.schema["entities"].dataType)
+    pairs = f.withColumn("p", F.coalesce(F.lag("entities").over(w), empty)).withColumn("e", F.coalesce("entities", empty))
+    return pairs.where("core").select("frame_id", "p", "e")
 
 
 @query(f"""WITH {_F}, {_PREV}, b AS (SELECT frame_id, p[1].bbox AS a, e[1].bbox AS b FROM x WHERE len(p) > 0 AND len(e) > 0),
@@ -291,7 +300,24 @@ def entity_delta_set(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("frame_id", r6(E.delta_set(ids(F.col("p")), ids(F.col("e")))).alias("delta"))
 
 
-@query()
+def _iou(a: str, b: str) -> str:
+    side = lambda box, i, j: f"greatest(0.0, {box}[{j}] - {box}[{i}])"
+    inter = f"(greatest(0.0, least({a}[3], {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0.0, least({a}[4], {b}[4]) - greatest({a}[2], {b}[2])))"
+    union = f"({side(a, 1, 3)} * {side(a, 2, 4)} + {side(b, 1, 3)} * {side(b, 2, 4)} - {inter})"
+    return f"CASE WHEN {union} > 0 THEN {inter} / ({union} + 1e-8) ELSE 0.0 END"
+
+
+def _greedy(source: str, name: str = "delta") -> str:
+    """CTEs g0 ... over ``source`` (id, p, e): the share of detections that a greedy matching leaves, as ``delta`` of table ``name``."""
+    free = "list_contains(used, j) OR e[j].class_id IS DISTINCT FROM p[k + 1].class_id"
+    return f"""g1 AS (SELECT id, p, e, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used FROM {source} WHERE len(p) > 0 AND len(e) > 0
+  UNION ALL SELECT id, p, e, k + 1, CASE WHEN list_max(o) > 0.3 THEN list_append(used, list_position(o, list_max(o))) ELSE used END
+  FROM (SELECT *, list_transform(range(1, len(e) + 1), lambda j: CASE WHEN {free} THEN 0.0 ELSE {_iou('p[k + 1].bbox', 'e[j].bbox')} END) AS o FROM g1 WHERE k < len(p))),
+{name} AS (SELECT s.id, CASE WHEN len(s.p) = 0 AND len(s.e) = 0 THEN 0.0 WHEN len(s.p) = 0 OR len(s.e) = 0 THEN 1.0
+  ELSE 1 - len(g1.used) / (greatest(len(s.p), len(s.e)) + 0.00001) END AS delta FROM {source} s LEFT JOIN g1 ON g1.id = s.id AND g1.k = len(s.p))"""
+
+
+@query(f"WITH RECURSIVE {_F}, {_PREV}, xi AS (SELECT frame_id AS id, p, e FROM x), {_greedy('xi')} SELECT id AS frame_id, round(delta, 6) AS delta FROM delta")
 def entity_delta_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return _entity_pairs(spark, sf).select("frame_id", r6(E.delta_greedy(F.col("p"), F.col("e"))).alias("delta"))
 
@@ -332,20 +358,10 @@ def continuity_given_history(spark: SparkSession, sf: str) -> DataFrame:
     return emit.continuity(clean_outputs(spark, sf)).withColumn("c_val", r6("c_val"))
 
 
-def _selected(spark: SparkSession, sf: str) -> DataFrame:
-    frames = clean_frames(spark, sf)
-    slim = T.candidates(frames.select("video_id", "frame_idx", "ts", "blur", "flow"))
-    hats = rolling.normalised(slim, {"blur": "q_hat", "flow": "m_hat"})
-    wide = frames.select("video_id", "frame_idx", "clip_emb", "dino_emb", "entities")
-    d = S.diversity(T.candidates(frames.select("video_id", "frame_idx", "ts", "clip_emb")), "clip_emb")
-    scored = hats.join(d, ["video_id", "slot", "frame_idx"]).join(wide, ["video_id", "frame_idx"])
-    return select_frames(scored, T.all_slots(frames.select("video_id", "ts")))
-
-
 @query()
 def selection_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: one selected frame or synthetic mark per slot of every video."""
-    s = _selected(spark, sf)
+    s = pipeline.select(clean_frames(spark, sf), Config(clip_dim=64, dino_dim=16))
     return s.select("video_id", "slot", "frame_idx", "is_synthetic", *[r6(F.try_element_at("scores", F.lit(k))).alias(k) for k in ("semantic", "entity", "consistency", "total")])
 
 
@@ -353,16 +369,19 @@ def selection_fold(spark: SparkSession, sf: str) -> DataFrame:
 def pipeline_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Selection, gap filling, holding and smoothing end to end: telemetry of every slot."""
     out = pipeline.outputs(clean_frames(spark, sf), Config(clip_dim=64, dino_dim=16))
-    out = out.select("video_id", "slot", "kind", "target_timestamp", "native_timestamp", "scores")
-    return telemetry(out).drop("scores").join(out.select("video_id", "slot", "kind"), ["video_id", "slot"])
+    return telemetry(out, "kind").drop("scores")
 
 
 # ---- emission ------------------------------------------------------------------------------------------------------
 
-_G = f"""WITH {_O}, g1 AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY video_id) AS n, lag(real) OVER w AS was FROM o WINDOW w AS (PARTITION BY video_id ORDER BY slot)),
+def _gaps(source: str, name: str = "g") -> str:
+    return f"""g1 AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY video_id) AS n, lag(real) OVER w AS was FROM {source} WINDOW w AS (PARTITION BY video_id ORDER BY slot)),
 g2 AS (SELECT *, last_value(CASE WHEN real THEN rn END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pr,
   first_value(CASE WHEN real THEN rn END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nr FROM g1),
-g AS (SELECT *, NOT real AND pr IS NOT NULL AND nr IS NOT NULL AND nr - pr - 1 <= 2 AS fill, NOT real AND rn > greatest(1, n - 2) AND coalesce(was, FALSE) AS hold FROM g2)"""
+{name} AS (SELECT *, NOT real AND pr IS NOT NULL AND nr IS NOT NULL AND nr - pr - 1 <= 2 AS fill, NOT real AND rn > greatest(1, n - 2) AND coalesce(was, FALSE) AS hold FROM g2)"""
+
+
+_G = f"WITH {_O}, {_gaps('o')}"
 
 
 @query(_G + " SELECT video_id, slot, CASE WHEN real THEN 'R' WHEN hold THEN 'H' WHEN fill THEN 'L' ELSE 'Z' END AS kind FROM g")
@@ -373,31 +392,54 @@ def gap_fill_kind(spark: SparkSession, sf: str) -> DataFrame:
 @query(_G + f""", l AS (SELECT g.video_id, g.slot, (g.rn - g.pr) / (g.nr - g.pr - 1 + 1.0) AS a, p.clip_emb AS p, q.clip_emb AS q FROM g
   JOIN g p ON p.video_id = g.video_id AND p.rn = g.pr JOIN g q ON q.video_id = g.video_id AND q.rn = g.nr WHERE g.fill AND NOT g.hold),
 m AS (SELECT video_id, slot, a, list_transform(list_zip(p, q), lambda z: (1 - a) * z[1] + a * z[2]) AS v FROM l)
-SELECT video_id, slot, round(a, 6) AS alpha, round(CASE WHEN {_norm('v')} > 1e-8 THEN v[1] / {_norm('v')} ELSE v[1] END, 6) AS first FROM m""")
+SELECT video_id, slot, round(a, 6) AS alpha, {_vec(f"CASE WHEN {_norm('v')} > 1e-8 THEN list_transform(v, lambda e: e / {_norm('v')}) ELSE v END")} AS vector FROM m""")
 def gap_lerp(spark: SparkSession, sf: str) -> DataFrame:
     o = emit.filled(clean_outputs(spark, sf).select("video_id", "slot", "real", "clip_emb", "scores"), ("clip_emb",))
-    return o.where("kind = 'L'").select("video_id", "slot", r6("alpha").alias("alpha"), r6(F.element_at("clip_emb", 1)).alias("first"))
+    return o.where("kind = 'L'").select("video_id", "slot", r6("alpha").alias("alpha"), vec(F.col("clip_emb")).alias("vector"))
 
 
-@query(_G + " SELECT g.video_id, g.slot, round(p.clip_emb[1], 6) AS first FROM g JOIN g p ON p.video_id = g.video_id AND p.rn = g.rn - 1 WHERE g.hold")
+@query(f"""WITH {_O}, l AS (SELECT *, lag(real) OVER (PARTITION BY video_id ORDER BY slot) AS w FROM o), e AS (SELECT video_id, max(slot) AS z FROM l WHERE w AND NOT real GROUP BY video_id),
+c AS (SELECT o.* FROM o JOIN e ON e.video_id = o.video_id AND o.slot <= e.z), {_gaps('c')}
+SELECT g.video_id, g.slot, {_vec('p.clip_emb')} AS vector FROM g JOIN g p ON p.video_id = g.video_id AND p.rn = g.rn - 1 WHERE g.hold""")
 def hold_fill(spark: SparkSession, sf: str) -> DataFrame:
-    o = emit.filled(clean_outputs(spark, sf).select("video_id", "slot", "real", "clip_emb", "scores"), ("clip_emb",))
-    return o.where("kind = 'H'").select("video_id", "slot", r6(F.element_at("clip_emb", 1)).alias("first"))
+    """Held slots of each video as if its stream ended with its last slot that a hold can fill."""
+    o = clean_outputs(spark, sf).select("video_id", "slot", "real", "clip_emb", "scores")
+    rows, w = neighbourhoods(o.select("video_id", "slot", "real"), ["slot"], 1)
+    ends = rows.withColumn("was", F.lag("real").over(w)).where("core AND was AND NOT real").groupBy("video_id").agg(F.max("slot").alias("z"))
+    cut = o.join(ends, "video_id").where("slot <= z").drop("z")
+    return emit.filled(cut, ("clip_emb",)).where("kind = 'H'").select("video_id", "slot", vec(F.col("clip_emb")).alias("vector"))
 
 
-@query()
+def _five(f) -> str:
+    return " + ".join(f(v) for v in ("p2", "p1", "v", "l1", "l2"))
+
+
+_UNIT = _five(lambda v: f"coalesce({v}[i] / (n{v} + 1e-8), 0.0)")
+_MIX = " + ".join(f"coalesce({t:.11f} * {v}[i], 0.0)" for t, v in zip(emit.TAPS, ("p2", "p1", "v", "l1", "l2")))
+
+
+@query(f"""WITH RECURSIVE {_O}, r AS (SELECT video_id, slot, clip_emb AS v, lead(clip_emb) OVER w AS l1, lead(clip_emb, 2) OVER w AS l2, row_number() OVER w AS rn, count(*) OVER (PARTITION BY video_id) AS n
+  FROM o WHERE clip_emb IS NOT NULL WINDOW w AS (PARTITION BY video_id ORDER BY slot)),
+s AS (SELECT video_id, slot, rn, v AS y, CAST(NULL AS DOUBLE[]) AS y1, FALSE AS smoothed FROM r WHERE rn = 1 UNION ALL
+  SELECT video_id, slot, rn, CASE WHEN hit THEN list_transform(mix, lambda m: m / (sqrt(list_inner_product(mix, mix)) + 1e-8)) ELSE v END, p1, hit
+  FROM (SELECT *, coalesce(able AND list_inner_product(total, total) / 25 > 0.85, FALSE) AS hit FROM (SELECT *, list_transform(range(1, len(v) + 1), lambda i: {_UNIT}) AS total,
+    list_transform(range(1, len(v) + 1), lambda i: {_MIX}) AS mix
+    FROM (SELECT r.*, s.y AS p1, s.y1 AS p2, r.rn >= 3 AND r.rn <= r.n - 2 AS able, {", ".join(f"sqrt(list_inner_product({v}, {v})) AS n{k}" for v, k in (("s.y1", "p2"), ("s.y", "p1"), ("r.v", "v"), ("r.l1", "l1"), ("r.l2", "l2")))}
+      FROM s JOIN r ON r.video_id = s.video_id AND r.rn = s.rn + 1))))
+SELECT video_id, slot, smoothed, {_vec('y')} AS vector FROM s""")
 def smoothing(spark: SparkSession, sf: str) -> DataFrame:
     o = clean_outputs(spark, sf).where("clip_emb IS NOT NULL").select("video_id", "slot", "clip_emb")
-    return emit.smoothed(o).select("video_id", "slot", "smoothed", r6(F.element_at("clip_emb", 1)).alias("first"))
+    return emit.smoothed(o).select("video_id", "slot", "smoothed", vec(F.col("clip_emb")).alias("vector"))
 
 
 @query(f"""WITH {_O}, b AS (SELECT video_id, slot, frame_data IS NOT NULL AS h, row_number() OVER (PARTITION BY video_id ORDER BY slot) AS rn FROM o),
 d AS (SELECT *, last_value(CASE WHEN h THEN rn END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
   first_value(CASE WHEN h THEN rn END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM b)
 SELECT video_id, slot, CASE WHEN h THEN 'own' WHEN p IS NOT NULL AND q IS NOT NULL THEN 'blend' WHEN p IS NOT NULL THEN 'copy_prev' WHEN q IS NOT NULL THEN 'copy_next' ELSE 'black' END AS how,
-  CASE WHEN NOT h AND p IS NOT NULL AND q IS NOT NULL THEN round((rn - p) / CAST(q - p AS DOUBLE), 6) END AS alpha FROM d""")
+  CASE WHEN NOT h AND p IS NOT NULL AND q IS NOT NULL THEN round((rn - p) / CAST(q - p AS DOUBLE), 6) END AS alpha,
+  coalesce((SELECT slot FROM b b2 WHERE b2.video_id = d.video_id AND b2.rn = d.p), slot) AS prev_slot, coalesce((SELECT slot FROM b b2 WHERE b2.video_id = d.video_id AND b2.rn = d.q), slot) AS next_slot FROM d""")
 def pixel_blend_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return emit.blend_plan(clean_outputs(spark, sf).select("video_id", "slot", "frame_data"))
+    return emit.blend_plan(clean_outputs(spark, sf).select("video_id", "slot", "frame_data")).withColumn("alpha", r6("alpha"))
 
 
 @query(f"WITH {_O} SELECT video_id, arg_min(frame_data.height, slot) AS height, arg_min(frame_data.width, slot) AS width FROM o WHERE frame_data IS NOT NULL GROUP BY video_id")
@@ -430,7 +472,7 @@ def audio_tempo_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- grouping ------------------------------------------------------------------------------------------------------
 
-_WORDS = "CAST(coalesce(list_sum(list_transform(subtitles, lambda t: len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')))), 0) AS BIGINT)"
+_WORDS = f"CAST(coalesce(list_sum(list_transform(subtitles, lambda t: len(list_filter(regexp_split_to_array(t, '{grouping.SPACES}'), lambda w: w <> '')))), 0) AS BIGINT)"
 _M = f"""{_N}, raw AS (SELECT DISTINCT cluster_id, f.node_id AS node_id FROM (SELECT cluster_id, unnest(frames) AS f FROM clusters) WHERE cluster_id IS NOT NULL AND f.node_id IS NOT NULL),
 m AS (SELECT raw.cluster_id, n.* FROM raw JOIN n ON n.node_id = raw.node_id)"""
 
@@ -491,13 +533,15 @@ def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_M}, {_COST}, p AS (SELECT video_id, cluster_id, min(frame_index) AS a, max(frame_index) AS z, count(*) AS k FROM m GROUP BY ALL)
 SELECT p.video_id, p.cluster_id, CAST(row_number() OVER (PARTITION BY p.video_id ORDER BY p.a, p.cluster_id) - 1 AS INT) AS clip_index, p.a AS start_frame_index, p.z AS end_frame_index,
-  round(p.a / 24.0, 6) AS start_time_sec, round(p.z / 24.0, 6) AS end_time_sec, p.z - p.a + 1 AS frame_count, p.k AS cluster_frame_count, round(tc.token_cost, 5) AS token_cost
-FROM p JOIN tc ON tc.video_id = p.video_id AND tc.cluster_id = p.cluster_id""")
+  round(p.a / 24.0, 6) AS start_time_sec, round(p.z / 24.0, 6) AS end_time_sec, p.z - p.a + 1 AS frame_count, p.k AS cluster_frame_count, round(tc.token_cost, 5) AS token_cost,
+  'clips/' || printf('clip_%04d.mp4', CAST(row_number() OVER (PARTITION BY p.video_id ORDER BY p.a, p.cluster_id) - 1 AS INT)) AS path, sp.* EXCLUDE (cluster_id)
+FROM p JOIN tc ON tc.video_id = p.video_id AND tc.cluster_id = p.cluster_id JOIN (SELECT cluster_id, {_PROFILE} FROM m GROUP BY cluster_id) sp ON sp.cluster_id = p.cluster_id""")
 def clip_manifest(spark: SparkSession, sf: str) -> DataFrame:
     m = grouping.manifest(_members(spark, sf))
     return m.select(
         "video_id", "cluster_id", "clip_index", "start_frame_index", "end_frame_index", r6("start_time_sec").alias("start_time_sec"),
-        r6("end_time_sec").alias("end_time_sec"), "frame_count", "cluster_frame_count", F.round("token_cost", 5).alias("token_cost"),
+        r6("end_time_sec").alias("end_time_sec"), "frame_count", "cluster_frame_count", F.round("token_cost", 5).alias("token_cost"), "path",
+        *[r6(f"score_profile.{c}").alias(c) for c in ("semantic_avg", "motion_max", "entity_avg", "consistency_avg", "total_avg")],
     )
 
 
@@ -511,16 +555,3 @@ def group_frames_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest of the clips that the greedy merge finds."""
     nodes = grouping.build_nodes(table(spark, sf, "frame_nodes"))
     return grouping.manifest(nodes.join(grouping.group_frames(nodes).drop("video_id"), "node_id"))
-
-
-# ---- pixels --------------------------------------------------------------------------------------------------------
-
-
-@query()
-def image_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Sharpness, grey and colour forms of the frames that carry pixels."""
-    f = table(spark, sf, "native_frames").where("frame_data IS NOT NULL").select("frame_id", "frame_data.*").dropDuplicates(["frame_id"])
-    return f.select(
-        "frame_id", r6(recon.sharpness("pixels", "height", "width", "n_channels")).alias("blur_variance"), F.hex(recon.to_gray("pixels", "height", "width", "n_channels")).alias("gray"),
-        F.hex(recon.to_rgb("pixels", "n_channels")).alias("rgb"), recon.resize_rule(F.col("height"), F.col("width")).alias("resize"),
-    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelspark.plans import core_problems, reference
+from reelspark.plans import choices, clips, core_problems, pictures, reference
 
-MODULES = [core_problems, reference]
+MODULES = [core_problems, reference, choices, clips, pictures]
 
 
 def queries() -> dict:

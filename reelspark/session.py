@@ -25,16 +25,26 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one is set here only where none is."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); one is set here only where none is and all runs on this machine.
+
+    A folder of this machine would be another folder on each executor of a cluster, so there an unset one is an error.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not is_local(sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reelspark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and go on from there; losing an executor loses nothing.
 
@@ -62,6 +72,16 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers; needed where it is not installed on them."""
+    import shutil
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='reelspark-package-')}/reelspark", "zip", home.parent, home.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 

@@ -35,9 +35,15 @@ def clean_frames(spark: SparkSession, sf_dir: str, vectors: bool = True) -> Data
     return f.where(ok).groupBy("video_id", "frame_idx").agg(*aggs)
 
 
-def clean_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (video_id, slot) of output_frames; a slot is synthetic exactly if it has no native time."""
+def clean_outputs(spark: SparkSession, sf_dir: str, pixels: bool = False) -> DataFrame:
+    """One row per (video_id, slot) of output_frames; a slot is synthetic exactly if it has no native time.
+
+    ``frame_data`` is the size of a slot's picture; only with ``pixels`` its bytes travel with it.
+    """
     o = table(spark, sf_dir, "output_frames").where("video_id IS NOT NULL AND slot IS NOT NULL")
+    if not pixels:
+        size = F.struct("frame_data.height", "frame_data.width", "frame_data.n_channels")
+        o = o.withColumn("frame_data", F.when(F.col("frame_data").isNotNull(), size))
     return o.groupBy("video_id", "slot").agg(
         F.max("target_timestamp").alias("target_timestamp"), F.max("native_timestamp").alias("native_timestamp"),
         F.any_value("clip_emb", True).alias("clip_emb"), F.any_value("dino_emb", True).alias("dino_emb"),
@@ -84,3 +90,49 @@ def decode_with(files: DataFrame, decoder, schema: str) -> DataFrame:
                     yield pd.DataFrame(held)
 
     return files.select("path", "content").mapInPandas(run, schema)
+
+
+def infer_with(frames: DataFrame, load, vector: str, dim: int, pixels: tuple[str, ...] = ("pixels", "height", "width", "n_channels")) -> DataFrame:
+    """Adds ``vector``: what a model makes of each row's picture, cyclically resized to ``dim`` elements and scaled to length one.
+
+    ``load()`` runs once in each Python worker and returns ``model(list of images) -> list of vectors``; images are arrays of
+    height x width x channels.  Rows without a picture, or with one of the wrong size, get NULL.  Batches stream through.
+    """
+    names = [*frames.columns, vector]
+    schema = frames.withColumn(vector, F.lit(None).cast("array<double>")).schema
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        model = load()
+        for batch in batches:
+            data, h, w, c = (batch.column(p).to_pylist() for p in pixels)
+            at = [i for i, d in enumerate(data) if d is not None and None not in (h[i], w[i], c[i]) and len(d) == h[i] * w[i] * c[i] and len(d)]
+            got: list = [None] * batch.num_rows
+            if at:
+                for i, v in zip(at, model([np.frombuffer(data[i], np.uint8).reshape(h[i], w[i], c[i]) for i in at])):
+                    v = np.resize(np.asarray(v, np.float64), dim)
+                    got[i] = (v / (np.sqrt(v @ v) + 1e-8)).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.float64()))], names)
+
+    return frames.mapInArrow(run, schema)
+
+
+def probe_durations(files: DataFrame, probe) -> DataFrame:
+    """(path, duration): ``probe(path) -> seconds or None`` of each file; any failure gives NULL."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                try:
+                    d = probe(path)
+                    out.append(None if d is None else float(d))
+                except Exception:  # an unreadable file has no known duration
+                    out.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "duration": pd.Series(out, dtype="float64")})
+
+    return files.select("path").mapInPandas(run, "path string, duration double")

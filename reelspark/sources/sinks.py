@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def telemetry(outputs: DataFrame) -> DataFrame:
-    """target, native, is_synthetic and scores of each slot: neither vectors nor entities."""
+def telemetry(outputs: DataFrame, *more: str) -> DataFrame:
+    """target, native, is_synthetic and scores of each slot, and the columns ``more``: neither vectors nor entities."""
     return outputs.select(
         "video_id", "slot", F.col("target_timestamp").alias("target"), F.col("native_timestamp").alias("native"),
-        F.col("native_timestamp").isNull().alias("is_synthetic"), "scores",
+        F.col("native_timestamp").isNull().alias("is_synthetic"), "scores", *more,
     )
 
 

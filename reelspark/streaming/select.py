@@ -8,61 +8,73 @@ intended difference for out-of-order input.  Late frames, older than the open sl
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left, bisect_right
 from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators.regrid import STRIDE, WINDOW
-from reelspark.operators.select import Selector, clip_norm, cosine_distance, floor_pct
+from reelspark.operators.select import Selector, clip_norm, distances, floor_pct
 
 OUT = "video_id bigint, slot bigint, frame_idx bigint, native_timestamp double, is_synthetic boolean, total double, late bigint"
 STATE = "blob binary"
 
 
 class Engine:
-    """One video: push frames in order, get the slots that close."""
+    """One video: a buffer of frames in order of time, of which each slot takes the stretch that its window covers."""
 
     def __init__(self, clip_dim: int = 64, dino_dim: int = 16, window: int = 120):
         self.selector = Selector(clip_dim, dino_dim)
-        self.pending: list = []
-        self.blur: deque = deque(maxlen=window)
-        self.flow: deque = deque(maxlen=window)
+        self.times: list[tuple[float, int]] = []  # (ts, frame_idx) of the buffered frames, in order, and the frames
+        self.frames: list[tuple] = []
+        self.sharp: deque = deque(maxlen=window)
+        self.moving: deque = deque(maxlen=window)
         self.slot, self.late = 0, 0
 
-    def push(self, frame) -> list[tuple]:
-        """frame: (frame_idx, ts, clip, dino, blur, flow, entities); closed slots as (slot, frame_idx, ts, synthetic, total, late)."""
-        self.pending.append(frame)
+    def opens(self) -> float:
+        return self.slot * STRIDE - WINDOW / 2
+
+    def push(self, frame: tuple) -> list[tuple]:
+        """frame: (frame_idx, ts, clip, dino, blur, flow, entities); closed slots as (slot, frame_idx, ts, synthetic, total, late).
+
+        A frame before the open slot's window comes too late for any slot: it is counted and dropped.
+        """
+        at = (frame[1], frame[0])
+        if at[0] < self.opens():
+            self.late += 1
+            return []
+        place = bisect_right(self.times, at)
+        self.times.insert(place, at)
+        self.frames.insert(place, frame)
         out = []
-        while self.pending and self.pending[-1][1] >= self.slot * STRIDE + WINDOW / 2:
-            out.append(self._close())
+        while at[0] >= self.slot * STRIDE + WINDOW / 2:
+            out.append((self.slot, *self._choose(self.frames[: bisect_left(self.times, (self.slot * STRIDE + WINDOW / 2,))]), self.late))
             self.slot += 1
+            gone = bisect_left(self.times, (self.opens(),))
+            del self.times[:gone], self.frames[:gone]
         return out
 
-    def _close(self) -> tuple:
+    def _choose(self, inside: list[tuple]) -> tuple:
         import numpy as np
 
-        target = self.slot * STRIDE
-        held = [f for f in self.pending if target - WINDOW / 2 <= f[1] < target + WINDOW / 2]
-        kept = [f for f in self.pending if f[1] >= target - WINDOW / 2]
-        self.late += sum(1 for f in self.pending if f[1] < target - WINDOW / 2 and not f[7])
-        for f in held:
-            f[7] = True  # it was a candidate, so dropping it later is no loss
-        self.pending = kept
-        if not held:
+        if not inside:
             self.selector.empty()
-            return self.slot, None, None, True, None, self.late
-        self.blur.extend(f[4] for f in held)
-        self.flow.extend(f[5] for f in held)
-        b, m = [(floor_pct(q, 0.25), floor_pct(q, 0.75)) for q in (self.blur, self.flow)]
-        clip = np.stack([f[2] for f in held])
-        near = [0.0] * len(held)
-        if len(held) >= 3:
-            near = [max(1 - cosine_distance(clip[i], clip[j]) for j in range(len(held)) if j != i) for i in range(len(held))]
-        i, scores = self.selector.select(
-            clip, np.stack([f[3] for f in held]), [clip_norm(f[4], *b) for f in held], [clip_norm(f[5], *m) for f in held], near, [f[6] for f in held]
-        )
-        return self.slot, held[i][0], held[i][1], False, scores["total"], self.late
+            return None, None, True, None
+        idx, ts, clip, dino, blur, flow, entities = zip(*inside)
+        hats = []
+        for seen, values in ((self.sharp, blur), (self.moving, flow)):
+            seen.extend(values)
+            low, high = floor_pct(seen, 0.25), floor_pct(seen, 0.75)
+            hats.append([clip_norm(v, low, high) for v in values])
+        x = np.stack(clip)
+        alike = [0.0] * len(x)
+        if len(x) >= 3:
+            near = np.stack([1.0 - distances(x, v) for v in x])
+            np.fill_diagonal(near, -np.inf)
+            alike = near.max(1).tolist()
+        i, scores = self.selector.select(x, np.stack(dino), *hats, alike, entities)
+        return idx[i], ts[i], False, scores["total"]
 
 
 def select_stream(frames: DataFrame, clip_dim: int = 64, dino_dim: int = 16) -> DataFrame:
@@ -83,7 +95,7 @@ def select_stream(frames: DataFrame, clip_dim: int = 64, dino_dim: int = 16) ->
         for r in pdf.itertuples(index=False):
             dino = np.zeros(dino_dim) if r.dino_emb is None else np.asarray(r.dino_emb, float)
             ents = [(e["c"], e["b"]) for e in r.boxes if e["b"] is not None and len(e["b"]) == 4]
-            out += engine.push([r.frame_idx, r.ts, np.asarray(r.clip_emb, float), dino, r.blur, r.flow, ents, False])
+            out += engine.push((r.frame_idx, r.ts, np.asarray(r.clip_emb, float), dino, r.blur, r.flow, ents))
         state.update((pickle.dumps(engine),))
         frame = pd.DataFrame(out, columns=["slot", "frame_idx", "native_timestamp", "is_synthetic", "total", "late"])
         frame.insert(0, "video_id", key[0])

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import entities as E
@@ -84,15 +85,28 @@ def test_gap_kinds_for_every_pattern(spark):
     assert all(kinds[v] == buffer_model(p) for v, p in enumerate(patterns))
 
 
+def smooth_sequence(x, threshold=0.85):
+    """Plain model: position t uses the smoothed t-2 and t-1 and the raw rest."""
+    y, changed = x.copy(), np.zeros(len(x), bool)
+    for t in range(2, len(x) - 2):
+        block = y[t - 2 : t + 3]
+        unit = block / (np.linalg.norm(block, axis=1) + 1e-8)[:, None]
+        if (unit @ unit.T).mean() > threshold:
+            mix = np.array(emit.TAPS) @ block
+            y[t] = mix / (np.linalg.norm(mix) + 1e-8)
+            changed[t] = True
+    return y, changed
+
+
 def test_smoothing_like_the_sequence(spark):
     r = np.random.default_rng(3)
-    x = np.cumsum(r.normal(0, 0.15, (60, 8)), 0) + 1
-    rows = [(1, k, v.tolist()) for k, v in enumerate(x)] + [(2, k, v.tolist()) for k, v in enumerate(x[:4])]
-    got = emit.smoothed(spark.createDataFrame(rows, "video_id bigint, slot bigint, clip_emb array<double>")).collect()
-    want, changed = emit.smooth_sequence(x)
-    mine = {g.slot: g for g in got if g.video_id == 1}
-    assert changed.any() and all(np.allclose(mine[k].clip_emb, want[k]) and mine[k].smoothed == changed[k] for k in range(60))
-    assert len(got) == 64
+    x = np.cumsum(r.normal(0, 0.5, (400, 8)), 0) + 1
+    rows = [(1, 3 * k, v.tolist()) for k, v in enumerate(x)] + [(2, k, v.tolist()) for k, v in enumerate(x[:4])]
+    got = emit.smoothed(spark.createDataFrame(rows, "video_id bigint, slot bigint, clip_emb array<double>"), chunk=70, halo=30).collect()
+    want, changed = smooth_sequence(x)
+    mine = {g.slot // 3: g for g in got if g.video_id == 1}
+    assert 50 < changed.sum() < 390 and all(np.allclose(mine[k].clip_emb, want[k], atol=1e-12) and mine[k].smoothed == changed[k] for k in range(400))
+    assert len(got) == 404
 
 
 def test_slots_never_close_early(spark):
@@ -102,31 +116,108 @@ def test_slots_never_close_early(spark):
         assert got[v] == sum(1 for k in range(400) if k * 0.04166666666 + 0.08333333333 / 2 <= t)
 
 
-def sequence(n, cost=30.0, seed=0, cut=None):
+def frames_of(n, seed=0, cost=30.0, cut=None):
     r = np.random.default_rng(seed)
     base = r.normal(size=8)
     v = [base + r.normal(0, 0.1, 8) if cut is None or i < cut else -base for i in range(n)]
     s = [{"consistency": 0.9, "entity": 0.1, "gate": r.random(), "semantic": r.random(), "motion": 0.1, "total": r.random()} for _ in range(n)]
-    return lambda cfg: grouping.Sequence([cost] * n, s, [[] for _ in range(n)], [0] * n, v, cfg)
+    return [(cost, s[i], [], 0, v[i]) for i in range(n)]
+
+
+def plain_groups(frames, cfg):
+    """Plain model of the greedy merge over (cost, scores, classes, words, vector): everything is recomputed at every step."""
+    sim = lambda a, b: 0.0 if a is None or b is None else float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) if a.any() and b.any() else 1.0
+
+    def price(at):
+        classes = [c for i in at for c in frames[i][2]]
+        return sum(frames[i][0] for i in at) + cfg.entity_cost * sum(1 / (classes.count(c) + 1) for c in set(classes)) + cfg.subtitle_cost * sum(frames[i][3] for i in at)
+
+    def affinity(i, j):
+        x, y, s = frames[i][1], frames[j][1], sim(frames[i][4], frames[j][4])
+        raw = 0.65 * (0.5 * (x["consistency"] + y["consistency"])) + 0.25 * (1 - 0.5 * (x["entity"] + y["entity"])) + 0.10 * s
+        return 0.0 if s < 0.2 else min(1.0, max(0.0, raw))
+
+    def priority(at, k):
+        s, near = frames[at[k]][1], [frames[at[j]][4] for j in (k - 1, k, k + 1) if 0 <= j < len(at)]
+        bonus = 0.5 * (sim(near[0], near[1]) + sim(near[1], near[2])) if len(near) == 3 and all(v is not None for v in near) else 0.0
+        return 0.45 * s["gate"] + 0.25 * s["semantic"] + 0.15 * s["motion"] + 0.15 * s["total"] - 0.30 * bonus
+
+    def squeeze(at, least):
+        drops = max(1, int(len(at) * cfg.max_drop)) if len(at) > 2 else 0
+        at = list(at)
+        while price(at) > cfg.limit and drops and len(at) > max(2, least):
+            at.pop(min(range(1, len(at) - 1), key=lambda k: priority(at, k)))
+            drops -= 1
+        return at if price(at) <= cfg.limit else None
+
+    parts, banned, new = [(i, [i]) for i in range(len(frames))], set(), len(frames)
+    bar = cfg.merge_threshold - (0.05 if cfg.dynamic else 0.0)
+    while True:
+        open_ = []
+        for k in range(len(parts) - 1):
+            (a, x), (b, y) = parts[k], parts[k + 1]
+            if (a, b) not in banned:
+                open_.append((-(affinity(x[-1], y[0]) - (min(0.2, 0.01 * (len(x) + len(y))) if cfg.dynamic else 0.0)), a, b, k))
+        if not open_ or -min(open_)[0] < bar:
+            return parts
+        _, a, b, k = min(open_)
+        both = parts[k][1] + parts[k + 1][1]
+        if len(both) <= int(cfg.fps * cfg.max_sec) and price(both) > cfg.limit:
+            both = squeeze(both, int(cfg.fps * cfg.min_sec)) or [0] * 10**6
+        if len(both) > int(cfg.fps * cfg.max_sec):
+            banned.add((a, b))
+            continue
+        parts[k : k + 2] = [(new, both)]
+        new += 1
+
+
+def grouped(spark, videos, cfg, embedding="embedding"):
+    kind = "array<struct<bbox:array<double>,confidence:double,class_id:int,class_name:string>>"
+    rows = [
+        (1000 * v + i, v, i, c, s, [{"bbox": [], "confidence": 1.0, "class_id": k, "class_name": "c"} for k in e], ["w"] * w, None if x is None else x.tolist())
+        for v, frames in videos.items() for i, (c, s, e, w, x) in enumerate(frames)
+    ]
+    df = spark.createDataFrame(rows, f"node_id bigint, video_id bigint, frame_index int, token_cost double, scores map<string,double>, entities {kind}, subtitles array<string>, embedding array<double>")
+    out: dict = {}
+    for r in grouping.group_frames(df, cfg, embedding).collect():
+        out.setdefault(r.video_id, {}).setdefault(r.cluster_id, []).append(r.node_id - 1000 * r.video_id)
+    return {v: sorted((c, sorted(at)) for c, at in g.items()) for v, g in out.items()}
+
+
+def test_grouping_like_the_plain_model(spark):
+    r = np.random.default_rng(4)
+
+    def some(n):
+        base, out = r.normal(size=8), []
+        for _ in range(n):
+            base = base + r.normal(0, 0.5, 8) if r.random() < 0.9 else r.normal(size=8)
+            s = {k: float(r.random()) for k in ("consistency", "entity", "gate", "semantic", "motion", "total")}
+            out.append((float(r.choice([10.0, 30.0, 5.0])), s, r.integers(0, 3, r.integers(0, 3)).tolist(), int(r.integers(0, 6)), None if r.random() < 0.05 else np.zeros(8) if r.random() < 0.05 else base.copy()))
+        return out
 
+    videos = {v: some(n) for v, n in ((1, 90), (2, 1), (3, 45), (4, 70))}
+    for cfg in (grouping.DEFAULT, grouping.Grouping(limit=90.0, min_sec=0.1, merge_threshold=0.3), grouping.Grouping(limit=200.0, dynamic=False, max_sec=0.3, merge_threshold=0.4)):
+        assert grouped(spark, videos, cfg) == {v: sorted((c, sorted(at)) for c, at in plain_groups(f, cfg)) for v, f in videos.items()}
 
-def test_grouping_limits_and_cuts():
-    groups = sequence(145)(grouping.DEFAULT).group()
-    assert sorted(i for _, at in groups for i in at) == list(range(145)) and all(len(at) <= 40 for _, at in groups)
-    assert all(30 * len(at) <= 1200 for _, at in groups)
-    cut = sequence(30, cut=11)(grouping.DEFAULT).group()
-    assert all(max(at) < 11 or min(at) >= 11 for _, at in cut)
-    blind = sequence(5)(grouping.DEFAULT)
-    blind.v = [None] * 5
-    assert [at for _, at in blind.group()] == [[0], [1], [2], [3], [4]]
+
+def test_grouping_limits_and_cuts(spark):
+    groups = grouped(spark, {1: frames_of(145), 2: frames_of(30, cut=11)}, grouping.DEFAULT)
+    assert sorted(i for _, at in groups[1] for i in at) == list(range(145)) and all(30 * len(at) <= 1200 for _, at in groups[1])
+    assert all(max(at) < 11 or min(at) >= 11 for _, at in groups[2])
+    assert grouped(spark, {1: frames_of(5)}, grouping.DEFAULT, None) == {1: [(i, [i]) for i in range(5)]}
+
+
+def segment(frames, cfg):
+    keep = [0.45 * s["gate"] + 0.25 * s["semantic"] + 0.15 * s["motion"] + 0.15 * s["total"] for _, s, *_ in frames]
+    return grouping.Segment([f[0] for f in frames], [f[2] for f in frames], [f[3] for f in frames], cfg, None, keep, [f[4] for f in frames])
 
 
 def test_squeeze():
     cfg = grouping.Grouping(limit=100.0, min_sec=0.1)
-    seq = sequence(14, cost=10.0)(cfg)
+    seq = segment(frames_of(14, cost=10.0), cfg)
     kept = seq.squeeze(list(range(14)), 2)
     assert kept[0] == 0 and kept[-1] == 13 and len(kept) == 10
-    assert sequence(67)(grouping.DEFAULT).squeeze(list(range(67)), 66) is None
+    assert segment(frames_of(67), grouping.DEFAULT).squeeze(list(range(67)), 66) is None
     assert seq.squeeze([0, 1], 2) == [0, 1]
 
 
@@ -194,3 +285,108 @@ def test_whole_pipeline(spark, sf, tmp_path):
     merged = pipeline.run(spark, frames, str(tmp_path / "b"), dataclasses.replace(cfg, grouping_embedding="clip_emb"))
     assert spark.read.json(merged["clips"]).selectExpr("sum(cluster_frame_count)").first()[0] == n
     assert "clips" not in pipeline.run(spark, frames.limit(0), str(tmp_path / "c"), cfg)
+
+
+def test_checkpoint_folder_of_a_cluster(spark, monkeypatch):
+    from reelspark import session
+
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
+    unset = type("U", (), {"isDefined": staticmethod(lambda: False)})
+    fake = type("S", (), {"master": "yarn", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: unset)}))})})
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        session.ensure_checkpoint_dir(type("P", (), {"sparkContext": fake, "conf": type("F", (), {"get": staticmethod(lambda k, d: d)})}))
+
+
+def test_settings_reach_the_engine(spark):
+    from reelspark.config import from_dict
+
+    c = from_dict({"pipeline": {"stride_sec": 0.1, "target_window_sec": 0.2, "target_fps": 10}, "memory": {"faiss_max_elements": 5, "enforce_bound": True}, "scoring": {"eps": 1e-3}})
+    assert (c.stride_sec, c.window_sec, c.target_fps, c.bank_bound, c.enforce_bank_bound, c.eps) == (0.1, 0.2, 10.0, 5, True, 1e-3)
+    frames = spark.createDataFrame([(1, i, i * 0.05) for i in range(40)], "video_id bigint, frame_idx bigint, ts double")
+    slots = timeline.all_slots(frames, stride=0.1, window=0.2).count()
+    assert slots == sum(1 for k in range(100) if k * 0.1 + 0.1 <= 39 * 0.05)
+    held = timeline.candidates(frames, 0.1, 0.2).collect()
+    assert {(h.slot, h.frame_idx) for h in held} == {(k, i) for k in range(slots) for i in range(40) if k * 0.1 - 0.1 <= i * 0.05 < k * 0.1 + 0.1}
+    late = timeline.all_slots(spark.createDataFrame([(1, 0, 50.0)], "video_id bigint, frame_idx bigint, ts double"), block=4)
+    assert [r.slot for r in late.orderBy("slot").collect()] == list(range(1200))
+
+
+def test_pictures_from_files_to_vectors(spark, tmp_path):
+    from reelspark.sources.frames import decode_with, infer_with, probe_durations, video_files
+
+    r = np.random.default_rng(1)
+    for k in range(3):
+        (tmp_path / f"v{k}.raw").write_bytes(r.integers(0, 256, (5, 4, 6, 3), dtype=np.uint8).tobytes())
+
+    def decoder(path, content):
+        for i in range(0, len(content), 72):
+            yield {"path": path, "frame_idx": i // 72, "height": 4, "width": 6, "n_channels": 3, "pixels": content[i : i + 72]}
+
+    frames = decode_with(video_files(spark, str(tmp_path)), decoder, "path string, frame_idx bigint, height int, width int, n_channels int, pixels binary")
+    assert frames.count() == 15
+    frames = frames.withColumn("pixels", F.when(F.col("frame_idx") != 4, F.col("pixels")))
+    def load():
+        return lambda images: [i.reshape(-1, 3).mean(0) for i in images]
+
+    got = infer_with(frames, load, "clip_emb", 8).collect()
+    for g in got:
+        if g.pixels is None:
+            assert g.clip_emb is None
+            continue
+        want = np.resize(np.frombuffer(g.pixels, np.uint8).reshape(-1, 3).mean(0), 8)
+        assert np.allclose(g.clip_emb, want / np.linalg.norm(want))
+
+    def probe(path):
+        if path.endswith("v1.raw"):
+            raise OSError("broken")
+        return None if path.endswith("v2.raw") else 3.5
+
+    found = {p.path[-6:]: p.duration for p in probe_durations(video_files(spark, str(tmp_path)), probe).collect()}
+    assert found == {"v0.raw": 3.5, "v1.raw": None, "v2.raw": None}
+
+
+def test_resize_and_flow(spark):
+    r = np.random.default_rng(2)
+    img = r.integers(0, 256, (8, 12, 3), dtype=np.uint8)
+    assert (recon.resized(img, 4, 6) == np.rint(img.reshape(4, 2, 6, 2, 3).mean((1, 3))).astype(np.uint8)).all()
+    assert recon.resized(np.full((5, 7), 90, np.uint8), 20, 30, "lanczos4").min() == 90 == recon.resized(np.full((5, 7), 90, np.uint8), 20, 30, "lanczos4").max()
+    yy, xx = np.mgrid[:60, :80]
+    scene = lambda dx: np.rint(127 + 60 * np.sin((xx - dx) / 5) * np.cos(yy / 7)).astype(np.uint8)
+    assert recon.dense_flow(scene(0), scene(0)) == 0.0 and abs(recon.dense_flow(scene(0), scene(2)) - 2) < 0.5
+    rows = [(1, k, scene(k).tobytes(), 60, 80, 1) for k in range(5)] + [(1, 5, None, 60, 80, 1), (2, 0, scene(0).tobytes(), 60, 80, 1)]
+    df = spark.createDataFrame(rows, "video_id bigint, frame_idx bigint, pixels binary, height int, width int, n_channels int")
+    got = {(g.video_id, g.frame_idx): g.optical_flow_mag for g in recon.flow_with(df, size=(80, 60), chunk=3).collect()}
+    assert got[(1, 0)] == got[(2, 0)] == got[(1, 5)] == 0.0 and all(abs(got[(1, k)] - 1) < 0.4 for k in range(1, 5)) and len(got) == 7
+
+
+def test_blends_and_black(spark):
+    data = [(1, 0, None), (1, 2, (1, 1, 3, b"\x00\x0a\xff")), (1, 3, None), (1, 5, (1, 1, 3, b"\x01\x14\x00")), (1, 9, None), (2, 0, None), (3, 0, (1, 2, 3, b"\x01" * 6)), (3, 1, None)]
+    df = spark.createDataFrame(data, "video_id bigint, slot bigint, frame_data struct<height:int,width:int,n_channels:int,pixels:binary>")
+    got = {(g.video_id, g.slot): (g.how, None if g.pixels is None else bytes(g.pixels)) for g in recon.fill_pixels(df, emit.blend_plan(df)).collect()}
+    assert got[(1, 0)] == ("copy_next", b"\x00\x0a\xff") and got[(1, 9)] == ("copy_prev", b"\x01\x14\x00")
+    assert got[(1, 3)] == ("blend", bytes([0, 15, 128])) and got[(2, 0)] == ("black", b"") and got[(3, 1)] == ("copy_prev", b"\x01" * 6)
+
+
+def test_matrix_with_zero_rows(spark):
+    from reelspark.operators.score import cosine_matrix, diversity
+
+    rows = [(1, 0, 0, [1.0, 0.0]), (1, 0, 1, [0.0, 0.0]), (1, 0, 2, [3.0, 4.0]), (1, 0, 3, None), (1, 1, 2, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "video_id bigint, slot bigint, frame_idx bigint, v array<double>")
+    got = {(m.slot, m.frame_idx, m.other_idx): m.similarity for m in cosine_matrix(df, "v").collect()}
+    assert len(got) == 17 and got[(0, 0, 0)] == 1 and abs(got[(0, 0, 2)] - 0.6) < 1e-12 and got[(0, 1, 1)] == got[(0, 1, 2)] == got[(0, 3, 0)] == 0
+    near = {(m.slot, m.frame_idx): m.d_val for m in diversity(df, "v").collect()}
+    assert near[(0, 0)] == near[(0, 1)] == 1.0 and near[(1, 2)] == 0.0
+
+
+def test_bank_in_blocks():
+    from reelspark.operators.select import Bank
+
+    r = np.random.default_rng(0)
+    bank, plain, q = Bank(6), Bank(6, 30), r.normal(size=(40, 6))
+    for step in range(3):
+        bank.look_ahead(q)
+        for k in range(0, 40, 2):
+            assert np.allclose(bank.novelty(q[k : k + 2], at=slice(k, k + 2)), bank.novelty(q[k : k + 2]))
+            bank.add(q[k])
+            plain.add(q[k])
+    assert plain.n == 30 and bank.n == 60

@@ -86,7 +86,7 @@ def test_grid_chunks_agree(spark):
     a = {x.slot: x for x in regular_grid(df, "v", "t", {"x": (0.0, 100.0)}, chunk=4096).collect()}
     b = {x.slot: x for x in regular_grid(df, "v", "t", {"x": (0.0, 100.0)}, chunk=256).collect()}
     assert a.keys() == b.keys() and all(a[k].is_synthetic == b[k].is_synthetic for k in a)
-    assert max(abs(a[k].x_est - b[k].x_est) for k in a) < 0.1  # the noise is estimated per chunk
+    assert max(abs(a[k].x_est - b[k].x_est) for k in a) < 0.001
 
 
 def test_empty_grid(spark):
