@@ -48,6 +48,14 @@ class Cells:
         return np.concatenate(rows), np.concatenate(cells)
 
 
+def vector_length(df: DataFrame, vector: str) -> int:
+    """The number of elements of all vectors that are not NULL or empty; vectors of different lengths raise an error; 1 if there are none."""
+    low, high = df.where(F.size(vector) > 0).agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if low != high:
+        raise ValueError(f"{vector} holds vectors of {low} to {high} elements")
+    return low or 1
+
+
 def bounded_sample(df: DataFrame, row_id: str, vector: str, n: int, dim: int, size: int = SAMPLE_ROWS, seed: int = 7):
     """Usable vectors of about ``size`` of the ``n`` rows, drawn by a hash of their id: the same ones however the files lie.
 

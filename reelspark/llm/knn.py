@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.arrow_vectors import binary, ints, matrix
-from reelspark.llm.cells import bounded_sample, make_cells
+from reelspark.llm.cells import bounded_sample, make_cells, vector_length
 from reelspark.llm.quantise import pack, train_codebook, unpack
 
 MAX_HOT = 256  # shared vectors that are handled apart; bounds what is broadcast of them
@@ -163,7 +163,7 @@ def nearest(
     vector: str,
     k: int = 5,
     least: float = 0.92,
-    dim: int = 64,
+    dim: int | None = 64,
     per_cell: int = 400,
     copies: float = 3.2,
     most_cells: int = 8,
@@ -174,24 +174,33 @@ def nearest(
     Every usable vector of ``index`` is both item and query; those of ``queries`` are queries only.  Ids must not
     coincide between the two.  Equal cosines go by the smaller item id.  Unusable vectors (NULL, wrong length, all zero,
     with NULL, NaN or infinity) and NULL ids are left out; repeated rows count once.  The result is approximate:
-    neighbours that share no cell are missed, those that share one are all found; every reported cosine is exact.
+    neighbours that share no cell are missed, those that share one are all found.  Cosines are those of the vectors as 16-bit integers: exact
+    for values of at most three decimals below 32.7, else within 1e-4.  ``dim=None`` reads the length and raises an error where it differs.
     """
+    import numpy as np
+
     spark = index.sparkSession
+    if dim is None:
+        dim = vector_length(index if queries is None else index.select(vector).unionByName(queries.select(vector)), vector)
     n = index.select(row_id).count()
-    sample = bounded_sample(index, row_id, vector, n, dim)
+    full = -(-dim // 4) * 4  # codes come in bytes of two, so vectors are filled up with zeros
+
+    def wide(column):
+        x, ok = matrix(column, dim, "float64")
+        return np.pad(x, ((0, 0), (0, full - dim))), ok
+
+    sample = np.pad(bounded_sample(index, row_id, vector, n, dim), ((0, 0), (0, full - dim)))
     schema = "query_id bigint, item_id bigint, cosine double"
     if not len(sample):
         return spark.createDataFrame([], schema)
-    import numpy as np
-
     whole = to_int16(sample)
     shared, times = np.unique(whole, axis=0, return_counts=True)
     hot = shared[np.argsort(-times, kind="stable")][: min(MAX_HOT, int((times >= max(32, len(whole) // 200)).sum()))]
     norm = whole / np.sqrt((whole.astype(np.float64) ** 2).sum(1))[:, None]
     cells = make_cells(norm, n, per_cell, copies, most_cells)
-    book = train_codebook(norm[:: max(1, len(norm) // 8192)], dim // 2, max(least, 0.2))
+    book = train_codebook(norm[:: max(1, len(norm) // 8192)], full // 2, max(least, 0.2))
     shared_model = spark.sparkContext.broadcast((cells, book, {h.tobytes(): i for i, h in enumerate(hot)}))
-    width = 2 * dim
+    width = 2 * full
 
     def place(role: int):
         def run(batches):
@@ -216,7 +225,7 @@ def nearest(
                 if not batch.num_rows:
                     continue
                 ids = ints(batch.column(0))
-                x, ok = matrix(batch.column(1), dim, "float64")
+                x, ok = wide(batch.column(1))
                 v, ids = to_int16(x[ok]), ids[ok]
                 if hot and len(v):
                     mine = np.array([hot.get(b.tobytes(), -1) for b in v])
@@ -251,7 +260,7 @@ def nearest(
             cells, _, _ = shared_model.value
             for batch in batches:
                 if batch.num_rows:
-                    ids, v = ints(batch.column(0)), matrix(batch.column(1), dim, "float64")[0].astype(np.int16)
+                    ids, v = ints(batch.column(0)), matrix(batch.column(1), full, "float64")[0].astype(np.int16)
                     r, c = cells.place((v / np.sqrt((v.astype(float) ** 2).sum(1))[:, None]).astype(np.float32))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c.astype(np.int32)), pa.array(np.full(len(r), QUERY, np.int32)), pa.array(ids[r]), binary(planes(v)[r])],
@@ -298,11 +307,11 @@ def nearest(
                     cell, items[:], folded[:], roles = cs[a], [], [], []
                 raw = batch.column(3).slice(a, b - a)
                 if rs[a] == QUERY:
-                    if (out := answer(unplanes(_bytes(raw, width), dim), ids[a:b])) is not None:
+                    if (out := answer(unplanes(_bytes(raw, width), full), ids[a:b])) is not None:
                         yield out
                 else:
-                    u = _bytes(raw, width + dim // 4)
-                    items.append((unplanes(u, dim), ids[a:b], book.decode(unpack(u[:, width:]))))
+                    u = _bytes(raw, width + full // 4)
+                    items.append((unplanes(u, full), ids[a:b], book.decode(unpack(u[:, width:]))))
                     roles.append((np.full(b - a, rs[a] == BOTH),))
         if (out := finish()) is not None:
             yield out
@@ -327,7 +336,7 @@ def nearest(
         _, _, hot = shared_model.value
         for batch in batches:
             ids = ints(batch.column(0))
-            x, ok = matrix(batch.column(1), dim, "float64")
+            x, ok = wide(batch.column(1))
             v, ids = to_int16(x[ok]), ids[ok]
             h = np.array([hot.get(b.tobytes(), -1) for b in v], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[h >= 0]), pa.array(h[h >= 0])], ["id", "h"])

@@ -70,6 +70,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_unsplit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of every document as one unsplit run: pieces of 128 bytes are encoded apart and joined as a tree."""
+    letters = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "[^\\p{L}]+", ""))
+    return encode_corpus(letters, "doc_id", "text", long_text=256)
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked items by document, with the length of the stretch and how much of it stands there."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -100,7 +106,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_rates": p9_rates, "p9_scores": p9_scores}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_members": p1_members, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_runs": p5_runs, "p6_found": p6_found, "p6_nearest": p6_nearest, "p7_ids": p7_ids, "p7_unsplit_ids": p7_unsplit_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_rates": p9_rates, "p9_scores": p9_scores}
 
 _P5 = """
 WITH d AS (SELECT video_id, slot, min(native_timestamp) AS nt, any_value(clip_emb) AS e FROM output_frames

@@ -137,7 +137,7 @@ def split_oversized(
                 if c.sum() <= limit:
                     continue
                 sim = gap_similarity(x, ok, block)
-                depth = valley_depth(sim)
+                depth = valley_depth(sim) if threshold is None or choose == "deepest" else sim
                 with np.errstate(invalid="ignore"):
                     boundary = sim < threshold if threshold is not None else depth >= min_depth
                 for p, (a, b, kind) in enumerate(cut_points(c, boundary, depth, limit, overlap, choose)):

@@ -1,6 +1,6 @@
 """Token ids of a whole corpus by a public byte-level BPE vocabulary.
 
-Ordinary texts are encoded whole, batch by batch.  Long texts are cut into parts of bounded size that many tasks
+Short texts are encoded whole, batch by batch.  Texts above ``long_text`` bytes are cut into parts of at most half that size that many tasks
 encode: between pre-tokens where there is a boundary, so nothing changes there, and anywhere inside a
 pre-token that is itself too long.  Such fragments are joined again as a tree: the tokens around each join are
 encoded anew in a growing window until the window's first and last token agree with both sides.  A token
@@ -114,7 +114,7 @@ def assemble(parts: list[tuple[int, list[int]]], enc, back) -> list[int]:
     return out + (join_tree(run, enc, back) if run else [])
 
 
-def encode_corpus(df: DataFrame, doc_id: str, text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}", long_text: int = 65536) -> DataFrame:
+def encode_corpus(df: DataFrame, doc_id: str, text: str, path: str = f"{TOKENIZERS}/{VOCABULARY}", long_text: int = 8192) -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens.
 
     NULL and empty texts have an empty list.  Strings that name special tokens are ordinary text.  A row that

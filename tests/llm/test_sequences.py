@@ -64,6 +64,31 @@ def test_runs_like_the_model(spark, block):
         assert all(x.n_slots == x.last_slot - x.first_slot + 1 and abs(x.duration - 0.04 * (x.n_slots - 1)) < 1e-9 for x in mine)
 
 
+@pytest.mark.parametrize(("block", "slots", "time", "anchor"), [(8, 3, None, "previous"), (8, 3, 0.09, "previous"), (16, 1, 0.05, "previous"), (8, 3, 0.09, "first"), (8, 1, None, "first")])
+def test_tolerances_and_anchor(spark, block, slots, time, anchor):
+    r = random.Random(block + slots)
+    rows, want = [], set()
+    for e in (1, 2):
+        slot, v, mine = 0, np.array(unit(1)), []
+        for _ in range(200):
+            slot += r.choice([1, 1, 1, 2, 3, 5])
+            v = v + np.random.default_rng(slot).normal(0, 0.012, DIM) if r.random() < 0.95 else np.array(unit(slot))
+            mine.append((slot, float(slot), v / np.linalg.norm(v), slot * 0.03))
+        rows += [(e, s, t, x.tolist(), tt, "x") for s, t, x, tt in mine]
+        runs, held = [], None
+        for k, (s, t, x, tt) in enumerate(mine):
+            same = k and s - mine[k - 1][0] <= slots and (time is None or tt - mine[k - 1][3] <= time + 1e-9) and x @ (mine[k - 1][2] if anchor == "previous" else held) >= 0.985
+            if same:
+                runs[-1] = [runs[-1][0], s, runs[-1][2] + 1]
+            else:
+                runs.append([s, s, 1])
+                held = x
+        want |= {(e, *q) for q in runs}
+    r.shuffle(rows)
+    got = collapse_runs(spark.createDataFrame(rows, SCHEMA), "video_id", "slot", "stamp", "vec", "tt", block=block, most_slots=slots, most_time=time, anchor=anchor)
+    assert {(g.video_id, g.first_slot, g.last_slot, g.n_slots) for g in got.collect()} == want
+
+
 def test_one_run_over_many_blocks_and_empty(spark):
     rows = [(1, k, 5.0, None, k * 1.0, "x") for k in range(100)]
     got = collapse_runs(spark.createDataFrame(rows, SCHEMA), "video_id", "slot", "stamp", "vec", "tt", block=8).collect()

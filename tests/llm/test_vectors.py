@@ -429,3 +429,12 @@ def test_large_cell_is_searched_by_cells(monkeypatch):
 def test_nearest_of_nothing(spark):
     assert nearest(frame(spark, []), frame(spark, clouds()[:3]), "id", "v").count() == 0
     assert nearest(frame(spark, clouds()[:1]), None, "id", "v").count() == 0
+
+
+def test_length_read_from_the_data(spark):
+    x = np.round(np.random.default_rng(1).normal(size=(40, 6)), 3)
+    x = np.vstack([x, np.repeat(x[:3], 6, axis=0) + 0.001])
+    rows = frame(spark, x, extra=[(900, None), (901, [])])
+    assert nearest(rows, None, "id", "v", dim=None).count() > 0 and density_groups(rows, "id", "v", least=0.999, dim=None).count() >= 15
+    with pytest.raises(ValueError, match="6 to 7"):
+        nearest(frame(spark, x, extra=[(900, [1.0] * 7)]), None, "id", "v", dim=None)
