@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.arrow_vectors import binary, doubles, ints, matrix
-from reelspark.llm.cells import bounded_sample, make_cells
+from reelspark.llm.cells import bounded_sample, make_cells, vector_length
 from reelspark.llm.condense import LOCAL_NODES, condensed
 from reelspark.llm.forest import FINISH_EDGES, block_forest, boruvka, exact_cosines
 from reelspark.llm.knn import _bytes, planes, to_int16, unplanes
 from reelspark.session import cut_lineage
 
+RADII = (0.0, 0.07, 0.14, 0.21, 0.28, 0.4)  # classes of balls by angle, so that most pairs are tested against one number
 WIDE = 0.85  # components whose rows are on average less alike than this are bounded in pieces
 MOST_IN_CELL = 8192  # rows of a cell above which it is searched through cells of its own
 
@@ -195,30 +196,35 @@ def balls(unit, comp, most: int = 256):
 def far_links(x, comp, ids, core, cut: int, least: float):
     """(u, v, w) of the best link between every two components with one end in rows [0, cut) and one in the rest (cut = 0: all with all).
 
-    A vector can only be linked into a set of rows if its angle to the set's centre is at most the set's radius and that
-    of ``least`` together; sets that pass are compared row by row.
+    Rows are bounded by balls.  Two balls can only hold a link if the angle of their centres is at most both radii and the angle of
+    ``least`` together; their rows are compared one by one only then.
     """
     import numpy as np
 
     norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
     unit = (x / norm[:, None]).astype(np.float32)
     one = cut == 0
-    p, q = (np.arange(len(x)), np.arange(len(x))) if one else (np.arange(cut), np.arange(cut, len(x)))
-    if not one and len(np.unique(comp[p])) < len(np.unique(comp[q])):
-        p, q = q, p  # the side with fewer components is the one that is bounded
-    order, starts, centre, reach = balls(unit[q], comp[q])
-    angle = np.arccos(np.clip(reach, -1, 1)) + np.arccos(least)
-    bar = np.where(reach >= 1.0, least - 1e-5, np.cos(np.minimum(angle, np.pi)) - 1e-4).astype(np.float32)
-    bar[angle >= np.pi] = -2
-    of = comp[q][order[starts[:-1]]]
+
+    def bounded(rows):
+        order, starts, centre, reach = balls(unit[rows], comp[rows])
+        angle = np.where(reach >= 1.0, 0.0, np.arccos(np.clip(reach - 1e-6, -1, 1)))
+        return rows[order], starts, centre, angle, np.searchsorted(RADII, angle), comp[rows][order[starts[:-1]]]
+
+    first = bounded(np.arange(len(x)) if one else np.arange(cut))
+    second = first if one else bounded(np.arange(cut, len(x)))
+    row1, start1, centre1, angle1, class1, of1 = first
+    row2, start2, centre2, angle2, class2, of2 = second
+    theta = np.arccos(least)
+    bar = lambda a: np.where(a >= np.pi, -2.0, np.cos(np.minimum(a, np.pi)) - 1e-4)
     found = [[], [], []]
 
-    def compare(i, s):
-        by = np.argsort(s, kind="stable")
-        i, s = i[by], s[by]
-        edges = np.r_[0, np.flatnonzero(np.diff(s)) + 1, len(s)]
+    def compare(i, j):
+        by = np.argsort(j, kind="stable")
+        i, j = i[by], j[by]
+        edges = np.r_[0, np.flatnonzero(np.diff(j)) + 1, len(j)]
         for a, b in zip(edges[:-1], edges[1:]):
-            rows, inside = p[i[a:b]], q[order[starts[s[a]] : starts[s[a] + 1]]]
+            rows = np.concatenate([row1[start1[k] : start1[k + 1]] for k in i[a:b].tolist()])
+            inside = row2[start2[j[a]] : start2[j[a] + 1]]
             for t in range(0, len(rows), 8192):
                 flat = np.flatnonzero(unit[rows[t : t + 8192]] @ unit[inside].T >= least - 1e-5)
                 if len(flat):
@@ -228,34 +234,39 @@ def far_links(x, comp, ids, core, cut: int, least: float):
                     for c, v in zip(found, (k[good], m[good], w[good])):
                         c.append(v)
 
-    held, n = [], 0
-    step = max(256, 4_000_000 // max(1, len(centre)))
-    for a in range(0, len(p), step):
-        flat = np.flatnonzero(unit[p[a : a + step]] @ centre.T >= bar)
-        i, s = flat // len(centre) + a, flat % len(centre)
-        far = comp[p[i]] != of[s]
-        held.append((i[far], s[far]))
-        n += int(far.sum())
-        if n > 2_000_000:
-            compare(*map(np.concatenate, zip(*held)))
-            held, n = [], 0
-    if n:
-        compare(*map(np.concatenate, zip(*held)))
+    for c1 in np.unique(class1):
+        mine = np.flatnonzero(class1 == c1)
+        for c2 in np.unique(class2):
+            other = np.flatnonzero(class2 == c2)
+            wide = float(angle1[mine].max() + angle2[other].max() + theta)
+            facing = centre2[other].T
+            step = max(256, 4_000_000 // len(other))
+            for a in range(0, len(mine), step):
+                near = centre1[mine[a : a + step]] @ facing
+                flat = np.flatnonzero(near >= np.float32(bar(np.float64(wide))))
+                if not len(flat):
+                    continue
+                i, j = mine[a + flat // len(other)], other[flat % len(other)]
+                can = (near.ravel()[flat] >= bar(angle1[i] + angle2[j] + theta)) & (of1[i] != of2[j])
+                if one:
+                    can &= i < j
+                if can.any():
+                    compare(i[can], j[can])
     if not found[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     k, m, w = map(np.concatenate, found)
     lo, hi = np.minimum(comp[k], comp[m]), np.maximum(comp[k], comp[m])
     by = np.lexsort((np.minimum(ids[k], ids[m]), -w, hi, lo))
-    first = by[np.r_[True, (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])]] if len(by) else by
-    return np.minimum(ids[k], ids[m])[first], np.maximum(ids[k], ids[m])[first], w[first]
+    best = by[np.r_[True, (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])]] if len(by) else by
+    return np.minimum(ids[k], ids[m])[best], np.maximum(ids[k], ids[m])[best], w[best]
 
 
 def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int, per_group: int = 65_536) -> DataFrame:
     """(u, v, w) with u < v: links >= ``least`` between components, of all pairs of vectors, cells or not.
 
     vectors: (rep, load, core); label: (node, comp).  Components fall into groups (large ones into several) and every two groups meet in
-    one task.  There each vector is held against the balls around the other group's components, and only balls that can hold a
-    neighbour are compared row by row (``far_links``): for tight components a small part of all pairs.
+    one task.  There the balls around the components are held against each other, and only pairs of balls that can hold a link are
+    compared row by row (``far_links``): for tight components a small part of all pairs.
     """
     n = vectors.count()
     groups = max(4, -(-n // per_group))
@@ -285,11 +296,12 @@ def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int,
 
 
 def hierarchy_rows(
-    df: DataFrame, row_id: str, vector: str, least: float, min_size: int, min_samples: int, dim: int, per_cell: int = 200, copies: float = 2.5, most_cells: int = 12,
+    df: DataFrame, row_id: str, vector: str, least: float, min_size: int, min_samples: int, dim: int | None, per_cell: int = 200, copies: float = 2.5, most_cells: int = 12,
     finish_edges: int = FINISH_EDGES, local_nodes: int = LOCAL_NODES,
 ) -> tuple[DataFrame, DataFrame]:
     """(id, rep): each usable row and the row that stands for its vector; (rep, root, tier, cluster, stability, joined) of the
     condensed hierarchy (``condense.condensed``), for the vectors in components of at least ``min_size`` rows."""
+    dim = vector_length(df, vector) if dim is None else dim
     rows = cut_lineage(compact(df, row_id, vector, dim))
     # copies are folded on the map side already; only one row of each vector is placed
     distinct = cut_lineage(rows.groupBy("load").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")))
@@ -306,12 +318,13 @@ def hierarchy_rows(
     return member, condensed(tree, nodes, least, min_size, local_nodes).withColumnRenamed("node", "rep")
 
 
-def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, dim: int = 64, **how) -> DataFrame:
+def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, dim: int | None = 64, **how) -> DataFrame:
     """(lead, id): the outermost clusters of the hierarchy whose links are cosines >= ``least`` to a nearest neighbour.
 
     With one neighbour the core similarity is 1, so an outermost cluster is a chain of neighbours of cosine >= ``least``; all
     such chains of at least ``min_size`` rows come out whole.  Every member but the smallest id, which is the lead.
-    Unusable vectors are in no group; repeated rows count once; an empty table gives an empty result.
+    Unusable vectors (also those not of ``dim`` elements) are in no group; repeated rows count once; an empty table gives an empty result.
+    ``dim=None`` reads the length from the data and raises an error where it differs.
     """
     member, clusters = hierarchy_rows(df, row_id, vector, least, min_size, 1, dim, **how)
     found = cut_lineage(member.join(clusters.select("rep", "root"), "rep").select("id", "root"))
@@ -320,7 +333,7 @@ def density_groups(df: DataFrame, row_id: str, vector: str, least: float = 0.8,
 
 
 def hierarchy(
-    df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, min_samples: int = 3, exemplars: int = 3, dim: int = 64, **how
+    df: DataFrame, row_id: str, vector: str, least: float = 0.8, min_size: int = 5, min_samples: int = 3, exemplars: int = 3, dim: int | None = 64, **how
 ) -> tuple[DataFrame, DataFrame]:
     """Stable clusters (cluster_id, n_members, stability, exemplars) and membership (id, cluster_id or NULL).
 
