@@ -74,36 +74,45 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-        self.cache: dict[str, str | None] = {}
 
     def search(self, word: str, most: int) -> str | None:
         """The nearest term within ``most`` edits; '*' in the word stands for any letter.  Ties go by the term."""
         best: tuple[int, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        n, far = len(word), most + 1
+        # state of the automaton: edits so far for the word's prefixes; prefixes off the diagonal by more than ``most`` are out of reach
+        stack = [(self.root, 0, [i if i <= most else far for i in range(n + 1)])]
         while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= most and (best is None or (row[-1], node[""]) < best):
-                best = (row[-1], node[""])
+            node, depth, row = stack.pop()
+            if "" in node and row[n] <= most and (best is None or (row[n], node[""]) < best):
+                best = (row[n], node[""])
+            depth += 1
+            lo, hi = max(1, depth - most), min(n, depth + most)
             for c, child in node.items():
                 if c == "":
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c and w != "*")))
-                if min(new) <= most:
-                    stack.append((child, new))
+                new = [far] * (n + 1)
+                if depth <= most:
+                    new[0] = depth
+                least = new[0]
+                left, corner = new[lo - 1], row[lo - 1]
+                for i in range(lo, hi + 1):
+                    w = word[i - 1]
+                    up = row[i]
+                    v = corner if w == c or w == "*" else corner + 1
+                    if up < v:
+                        v = up + 1 if up + 1 < v else v
+                    if left + 1 < v:
+                        v = left + 1
+                    new[i] = left = v
+                    corner = up
+                    if v < least:
+                        least = v
+                if least <= most:
+                    stack.append((child, depth, new))
         return best[1] if best else None
 
     def resolve(self, token: str, known) -> str | None:
         """The lexicon term that a token is a form of, or None."""
-        if token in self.cache:
-            return self.cache[token]
-        out = self._resolve(token, known)
-        if len(self.cache) < 500_000:
-            self.cache[token] = out
-        return out
-
-    def _resolve(self, token: str, known) -> str | None:
         masked = "*" in token or "#" in token
         signed = any(c in SIGNS for c in token) and any(c.isalpha() for c in token)
         base = token.replace("#", "*") if masked else token
@@ -180,6 +189,7 @@ class Model:
     def __init__(self, terms, known, weights, bias: float):
         self.terms, self.known, self.weights, self.bias = frozenset(terms), known, weights, bias
         self.trie = Trie(sorted(self.terms))
+        self.seen: dict[str, str | None] = {}
 
     def __getstate__(self):
         return self.terms, self.known, self.weights, self.bias
@@ -190,11 +200,18 @@ class Model:
     def canonical(self, row: list[str]) -> tuple[list[str], list[int]]:
         """Tokens with lexicon forms resolved, and the positions of lexicon terms."""
         out, hits = [], []
+        seen = self.seen
         for i, w in enumerate(row):
-            t = w if w in self.terms else None if w.isalpha() and w in self.known else self.trie.resolve(w, self.known)
-            out.append(t or w)
+            t = seen.get(w, "")
+            if t == "":
+                t = w if w in self.terms else None if w.isalpha() and w in self.known else self.trie.resolve(w, self.known)
+                if len(seen) < 300_000 and len(w) < 64:
+                    seen[w] = t
             if t:
+                out.append(t)
                 hits.append(i)
+            else:
+                out.append(w)
         return out, hits
 
     def windows(self, text: str):
