@@ -151,4 +151,8 @@ g AS (SELECT x, min(y) AS lead, count(*) AS n FROM r GROUP BY x)
 SELECT lead AS lead_node_id, x AS node_id FROM g WHERE n >= 5 AND x <> lead
 """
 
-ORACLE = {"p1_found": _P1, "p5_found": _P5, "p2_found": _P2}
+_P5_RUNS = _P5.replace("min(native_timestamp) AS nt,", "min(native_timestamp) AS nt, min(target_timestamp) AS tt,").replace(
+    "max(slot) AS last_slot FROM g GROUP BY video_id, run HAVING count(*) >= 3", "max(slot) AS last_slot, count(*) AS n_slots, max(tt) - min(tt) AS duration FROM g GROUP BY video_id, run"
+)
+
+ORACLE = {"p1_found": _P1, "p5_found": _P5, "p5_runs": _P5_RUNS, "p2_found": _P2}
