@@ -14,13 +14,22 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+# what a decoder yields of each frame for the whole engine
+FRAMES = """video_id bigint, frame_id bigint, frame_idx bigint, ts double, clip_emb array<double>, dino_emb array<double>, blur_variance double,
+optical_flow_mag double, entities array<struct<bbox:array<double>,confidence:double,class_id:int,class_name:string>>"""
+
+
 def clean_frames(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
-    """One row per (video_id, frame_idx) of native_frames whose time and readings are usable.
+    """:func:`usable_frames` of the table native_frames."""
+    return usable_frames(table(spark, sf_dir, "native_frames"), vectors)
+
+
+def usable_frames(f: DataFrame, vectors: bool = True) -> DataFrame:
+    """One row per (video_id, frame_idx) of a frame table whose time and readings are usable.
 
     Repeated rows agree but for lost entities: the longest list stands.  The time must be a number >= 0, both
     readings finite and >= 0, and the clip vector not NULL; other frames cannot be scored.
     """
-    f = table(spark, sf_dir, "native_frames")
     ok = F.col("video_id").isNotNull() & F.col("frame_idx").isNotNull()
     for c in ("ts", "blur_variance", "optical_flow_mag"):
         ok &= F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf"))

@@ -100,7 +100,7 @@ def smooth_sequence(x, threshold=0.85):
 
 def test_smoothing_like_the_sequence(spark):
     r = np.random.default_rng(3)
-    x = np.cumsum(r.normal(0, 0.5, (400, 8)), 0) + 1
+    x = 1 + r.normal(0, 1, (400, 8)) * np.repeat(r.choice([0.2, 0.45, 0.8], 40), 10)[:, None]
     rows = [(1, 3 * k, v.tolist()) for k, v in enumerate(x)] + [(2, k, v.tolist()) for k, v in enumerate(x[:4])]
     got = emit.smoothed(spark.createDataFrame(rows, "video_id bigint, slot bigint, clip_emb array<double>"), chunk=70, halo=30).collect()
     want, changed = smooth_sequence(x)
@@ -390,3 +390,29 @@ def test_bank_in_blocks():
             bank.add(q[k])
             plain.add(q[k])
     assert plain.n == 30 and bank.n == 60
+
+
+def decoded(path, content):
+    for k in range(30):
+        x = [float(np.cos(k / 9 + j)) for j in range(64)]
+        yield {"video_id": 5, "frame_id": k, "frame_idx": k, "ts": k / 25, "clip_emb": x, "dino_emb": x[:16], "blur_variance": 10.0 + k % 7, "optical_flow_mag": 1.0 + k % 3, "entities": None}
+
+
+def sound(path):
+    return 1.25 if path.endswith("a.raw") else None
+
+
+def test_command_line(spark, tmp_path):
+    from reelspark.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.raw").write_bytes(b"x")
+    (tmp_path / "c.yaml").write_text("dimensions: {clip: 64, dino: 16}")
+    here = "tests.test_engine"
+    paths = main(["--video_path", str(tmp_path / "in"), "--decoder", f"{here}:decoded", "--probe", f"{here}:sound", "--output_dir", str(tmp_path / "out"), "--config", str(tmp_path / "c.yaml")])
+    clips = spark.read.json(paths["clips"])
+    assert spark.read.json(paths["scores"]).count() == clips.count() > 20
+    assert set(clips.select("score_profile.*").columns) == {"semantic_avg", "motion_max", "entity_avg", "consistency_avg", "total_avg"} and clips.first().path.endswith(".mp4")
+    assert spark.read.json(paths["audio"]).first().duration == 1.25
+    with pytest.raises(SystemExit):
+        main(["--video_path", "x"])
