@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.vectors import score, similarity_grouping
-from reelspark.operators.ordering import carried, group_bounds, neighbourhoods, stream_groups, with_positions
+from reelspark.operators.ordering import carried, group_bounds, neighbourhoods, spread, stream_groups, with_positions
 from reelspark.session import cut_lineage
 
 
@@ -349,7 +349,7 @@ def group_frames(nodes: DataFrame, cfg: Grouping = DEFAULT, embedding: str | Non
                 one = pdf.iloc[at]
                 yield pd.DataFrame({"video_id": one["video_id"].to_numpy(), "seg": one["seg"].to_numpy(), "k": [m[1] for m in merges], "node_id": None, "pos": 0, "n": 0, "low": [m[2] for m in merges]})
 
-    parts = rows.select(*cols).repartition("video_id", "seg").sortWithinPartitions("video_id", "seg", "pos")
+    parts = spread(rows.select(*cols), "video_id", "seg").sortWithinPartitions("video_id", "seg", "pos")
     done = cut_lineage(parts.mapInPandas(run, "video_id bigint, seg bigint, k bigint, node_id bigint, pos bigint, n bigint, low double"))
     merges = done.where("node_id IS NULL").select("video_id", "seg", "k", (-F.col("low")).alias("high"))
     ranked = with_positions(merges, "video_id", ["high", "seg", "k"], F.floor(F.col("high") * 4096).cast("bigint"), "rank")

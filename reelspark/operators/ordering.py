@@ -79,9 +79,22 @@ def carried(chunks: DataFrame, values: dict[str, Column], key: str = "video_id")
     )
 
 
+def tasks(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Partition by ``keys`` into as many tasks as the session's shuffles have, for Python to work on.
+
+    The number is given so that small partitions are not put together: Python's time goes by rows, not by bytes.  The hash keeps
+    the planner from taking an earlier partitioning by the same keys, of a small table that few tasks hold, for as good.
+    """
+    return df.repartition(tasks(df.sparkSession), F.xxhash64(*keys))
+
+
 def by_chunk(df: DataFrame, keys: list[str], order: list[str], rows_hint: int | None = None) -> DataFrame:
     """Co-locate and sort the chunks so that a partition can be streamed chunk by chunk."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order)
 
 
 def stream_groups(batches, keys: list[str], rows: int = 65536):

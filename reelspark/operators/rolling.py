@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.vectors import clip_norm, ewma
-from reelspark.operators.ordering import by_chunk, group_bounds, stream_groups, with_halo, with_positions
+from reelspark.operators.ordering import by_chunk, group_bounds, stream_groups, tasks, with_halo, with_positions
 
 PERCENTILE_WINDOW = 120
 CHUNK = 4096
@@ -100,7 +100,7 @@ def ewma_vector(frames: DataFrame, vector: str, alpha: float = 0.3, order: str =
         keep = pdf["core"].to_numpy(dtype=bool)
         return pd.DataFrame({"video_id": pdf["video_id"][keep], order: pdf[order][keep], "ewma": out[keep].tolist()})
 
-    return rows.groupBy("video_id", "chunk").applyInPandas(run, f"video_id bigint, {order} bigint, ewma array<double>")
+    return rows.repartition(tasks(rows.sparkSession), "video_id", "chunk").groupBy("video_id", "chunk").applyInPandas(run, f"video_id bigint, {order} bigint, ewma array<double>")
 
 
 def topk_novelty(frames: DataFrame, vector: str, k: int = 5, order: str = "frame_idx", block: int = 16_384) -> DataFrame:
@@ -139,7 +139,8 @@ def topk_novelty(frames: DataFrame, vector: str, k: int = 5, order: str = "frame
         b = pd.DataFrame({"video_id": vid, order: idx[q][first], "sim": np.nan})
         return pd.concat([a, b], ignore_index=True) if first.any() else a
 
-    short = asks.unionByName(banks).groupBy("video_id", "ask", "bank").applyInPandas(run, f"video_id bigint, {order} bigint, sim double")
+    both = asks.unionByName(banks)
+    short = both.repartition(tasks(both.sparkSession), "video_id", "ask", "bank").groupBy("video_id", "ask", "bank").applyInPandas(run, f"video_id bigint, {order} bigint, sim double")
     best = F.slice(F.sort_array(F.collect_list(F.when(~F.isnan("sim"), F.col("sim"))), False), 1, k)
     merged = short.groupBy("video_id", order).agg(best.alias("top"))
     mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")

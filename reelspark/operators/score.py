@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.vectors import TINY, sigmoid_gate
-from reelspark.operators.ordering import group_bounds, stream_groups
+from reelspark.operators.ordering import group_bounds, spread, stream_groups
 
 # fixed values: default weights of the score terms
 WEIGHTS = {"semantic": 1.0, "blur": 0.5, "motion": 0.8, "entity": 0.4, "consistency": 0.3, "diversity": 0.2}
@@ -36,7 +36,7 @@ def _slot_products(candidates: DataFrame, vector: str, work, schema: str) -> Dat
     bounded size where a slot is large: then rows holds one slot and sims some of its rows, from ``first`` on.
     """
     slim = candidates.select("video_id", "slot", "frame_idx", F.col(vector).cast("array<double>").alias("v"))
-    parts = slim.repartition("video_id", F.floor(F.col("slot") / 64)).sortWithinPartitions("video_id", "slot", "frame_idx")
+    parts = spread(slim, "video_id", F.floor(F.col("slot") / 64)).sortWithinPartitions("video_id", "slot", "frame_idx")
 
     def run(batches):
         import numpy as np

@@ -12,7 +12,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.operators.ordering import group_bounds, stream_groups
+from reelspark.operators.ordering import group_bounds, spread, stream_groups
 from reelspark.operators.score import normalise_weights
 
 EPS = 1e-5
@@ -60,6 +60,15 @@ def entity_delta(a, b) -> float:
     return 1.0 - (len(b) - len(free)) / (max(len(a), len(b)) + EPS)
 
 
+def _lags():
+    import numpy as np
+
+    return np.array([0.6, 0.3, 0.1])  # weights of the structural vectors 1, 5 and 10 slots back
+
+
+LAGS = _lags()
+
+
 class Bank:
     """Unit vectors of the winners so far, in a buffer that doubles; with ``cap`` no more are added once so many are held."""
 
@@ -89,8 +98,12 @@ class Bank:
         unit = q / (np.sqrt((q * q).sum(1)) + 1e-8)[:, None]
         best = np.full((len(q), k), -np.inf)
         for s in range(0, self.n, 8192):
-            both = np.concatenate([best, unit @ self.x[s : min(s + 8192, self.n)].T], axis=1)
-            best = -np.partition(-both, k - 1, axis=1)[:, :k]
+            near = unit @ self.x[s : min(s + 8192, self.n)].T
+            if near.shape[1] > k:
+                near.partition(near.shape[1] - k, axis=1)
+            best = np.concatenate([best, near[:, -k:]], axis=1)
+            best.partition(best.shape[1] - k, axis=1)
+            best = best[:, -k:]
         self.ahead = unit, best, self.n
 
     def novelty(self, q, k: int = 5, at: slice | None = None):
@@ -106,11 +119,11 @@ class Bank:
             s = (q / (np.sqrt((q * q).sum(1)) + 1e-8)[:, None]) @ self.x[: self.n].T
         else:
             unit, best, n = self.ahead
-            s = np.concatenate([best[at], unit[at] @ self.x[n : self.n].T], axis=1)
-        if s.shape[1] > k:
-            s = -np.partition(-s, k - 1, axis=1)[:, :k]
-        s = s[:, : min(k, self.n)] if at is None else np.where(np.isfinite(s), s, 0.0)
-        return np.maximum(0.0, 1.0 - s.sum(1) / min(k, self.n))
+            s = np.concatenate([best[at], unit[at] @ self.x[n : self.n].T], axis=1) if self.n > n else best[at].copy()
+        m = min(k, self.n)
+        if s.shape[1] > m:
+            s.partition(s.shape[1] - m, axis=1)
+        return np.maximum(0.0, 1.0 - s[:, -m:].sum(1) / m)
 
 
 class Selector:
@@ -124,6 +137,7 @@ class Selector:
         self.bank = Bank(clip_dim, cap)
         self.novelties: deque = deque(maxlen=window)
         self.history: deque = deque(maxlen=10)
+        self.lengths: deque = deque(maxlen=10)  # norms of the history's vectors
         self.previous: list = []
         self.last_real, self.gap = None, 0
 
@@ -131,29 +145,32 @@ class Selector:
         import numpy as np
 
         self.history.append(np.zeros(self.dino_dim))
+        self.lengths.append(0.0)
         self.gap += 1
 
-    def back(self, steps: int):
-        return self.history[max(0, len(self.history) - steps)]
-
     def select(self, clip, dino, q_hat, m_hat, d_val, entities, at: slice | None = None):
-        """(winner, scores) among the candidates (rows in push order); commits the winner.  ``at``: their rows in ``bank.look_ahead``."""
+        """(winner, scores by ``NAMES``) among the candidates (rows in push order); commits the winner.  ``at``: their rows in ``bank.look_ahead``."""
         import numpy as np
 
-        p25, p75 = floor_pct(self.novelties, 0.25), floor_pct(self.novelties, 0.75)
+        seen = sorted(self.novelties)
+        p25, p75 = (seen[int(p * (len(seen) - 1))] for p in (0.25, 0.75)) if seen else (0.0, 0.0)
         temperature = max(p75 - p25, self.eps)
-        far = self.bank.novelty(clip, at=at)
-        near = np.ones(len(clip)) if self.context is None else distances(clip, self.context)
-        away = np.zeros(len(clip))
+        novel = 0.5 * self.bank.novelty(clip, at=at) + 0.5 * (1.0 if self.context is None else distances(clip, self.context))
+        novel = novel.tolist()
+        away = [0.0] * len(clip)
         if self.history:
-            for k, s in ((0.6, 1), (0.3, 5), (0.1, 10)):
-                away += k * distances(dino, self.back(s))
-        novel = 0.5 * near + 0.5 * far
+            back = [max(0, len(self.history) - k) for k in (1, 5, 10)]
+            size = np.sqrt((dino * dino).sum(1))[:, None] * np.array([self.lengths[j] for j in back])
+            dots = dino @ np.stack([self.history[j] for j in back], 1)
+            ok = size >= 1e-16
+            if ok.any():
+                ok &= (np.array([self.lengths[j] for j in back]) >= 1e-8) & (np.sqrt((dino * dino).sum(1)) >= 1e-8)[:, None]
+                away = (np.where(ok, 1.0 - dots / np.where(ok, size, 1.0), 0.0) @ LAGS).tolist()
         best = None
         for i in range(len(clip)):
             raw = entity_delta(self.previous, entities[i])
             e = raw if self.entity is None else self.alpha * raw + (1 - self.alpha) * self.entity
-            novelty, c = float(novel[i]), float(away[i])
+            novelty, c = novel[i], away[i]
             n = clip_norm(novelty, p25, p75, self.eps)
             gate = 1 / (1 + math.exp(-min(30.0, max(-30.0, (n - p75) / (temperature + EPS)))))
             shared = self.w["motion"] * m_hat[i] + self.w["entity"] * e
@@ -168,8 +185,9 @@ class Selector:
         self.context = clip[i].copy() if self.context is None else self.alpha * clip[i] + (1 - self.alpha) * self.context
         self.bank.add(clip[i])
         self.history.append(dino[i])
+        self.lengths.append(float(np.sqrt(dino[i] @ dino[i])))
         self._close_gap(dino[i])
-        return i, dict(zip(NAMES, map(float, scores)))
+        return i, scores
 
     def _close_gap(self, now) -> None:
         # a gap of one or two slots after a real one is filled in the history as it will be in the output
@@ -184,6 +202,7 @@ class Selector:
                 at = n - 1 - (self.gap + 1 - j)
                 if at >= 0:
                     self.history[at] = v / size if size > 1e-8 else v
+                    self.lengths[at] = 1.0 if size > 1e-8 else float(size)
         self.last_real, self.gap = now, 0
 
 
@@ -194,18 +213,19 @@ def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_
     choices depend on all earlier ones, so a video is one group; its rows stream in slot order and only the bank, history and
     trackers are held.  A NULL structural vector counts as zero.  ``cap`` bounds the bank; by default it grows, as novelty means all of it.
     """
-    boxes = F.transform(F.coalesce("entities", F.array()), lambda e: F.struct(e["class_id"].alias("c"), e["bbox"].alias("b")))
+    kind, box = detections(F.col("entities"))
     rows = slots.select("video_id", "slot").join(
-        scored.select("video_id", "slot", "ts", "frame_idx", "q_hat", "m_hat", "d_val", "clip_emb", "dino_emb", boxes.alias("boxes")), ["video_id", "slot"], "left"
+        scored.select("video_id", "slot", "ts", "frame_idx", "q_hat", "m_hat", "d_val", "clip_emb", "dino_emb", kind.alias("kind"), box.alias("box")), ["video_id", "slot"], "left"
     )
-    sorted_rows = rows.repartition("video_id").sortWithinPartitions("video_id", "slot", "ts", "frame_idx")
-    schema = "video_id bigint, slot bigint, frame_idx bigint, native_timestamp double, is_synthetic boolean, scores map<string,double>"
+    sorted_rows = spread(rows, "video_id").sortWithinPartitions("video_id", "slot", "ts", "frame_idx")
+    schema = "video_id bigint, slot bigint, frame_idx bigint, native_timestamp double, is_synthetic boolean" + "".join(f", s_{n} double" for n in NAMES)
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        names = ["video_id", "slot", "frame_idx", "native_timestamp", "is_synthetic", "scores"]
+        names = ["video_id", "slot", "frame_idx", "native_timestamp", "is_synthetic", *[f"s_{n}" for n in NAMES]]
+        nothing = (None,) * len(NAMES)
         video, state = None, None
         for pdf in stream_groups(batches, ["video_id", "slot"], 4096):
             bounds = group_bounds(pdf, ["video_id", "slot"])
@@ -219,7 +239,7 @@ def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_
             if has.any():
                 dino[has] = np.stack(pdf["dino_emb"].to_numpy()[has])
             hats = [pdf[c].to_numpy(dtype=float) for c in ("q_hat", "m_hat", "d_val")]
-            boxes = pdf["boxes"].to_numpy()
+            kinds, boxes = pdf["kind"].to_numpy(), pdf["box"].to_numpy()
             done = []
             # of a video's rows so many are looked up in the bank at once
             begins = bounds[:-1]
@@ -235,13 +255,28 @@ def select_frames(scored: DataFrame, slots: DataFrame, clip_dim: int = 64, dino_
                         a, b = bounds[s], bounds[s + 1]
                         if not real[a]:
                             state.empty()
-                            done.append((video, slot[a], None, None, True, {}))
+                            done.append((video, slot[a], None, None, True, *nothing))
                             continue
-                        ents = [[(e["c"], e["b"]) for e in boxes[i] if e["b"] is not None and len(e["b"]) == 4] for i in range(a, b)]
+                        ents = [pairs(kinds[i], boxes[i]) for i in range(a, b)]
                         i, scores = state.select(clip[a:b], dino[a:b], *(h[a:b] for h in hats), ents, slice(a - base, b - base))
-                        done.append((video, slot[a], int(idx[a + i]), ts[a + i], False, scores))
+                        done.append((video, slot[a], int(idx[a + i]), ts[a + i], False, *scores))
             frame = pd.DataFrame(done, columns=names)
             frame["frame_idx"] = frame["frame_idx"].astype("Int64")
             yield frame
 
-    return sorted_rows.mapInPandas(run, schema)
+    got = sorted_rows.mapInPandas(run, schema)
+    scores = F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*[f"s_{n}" for n in NAMES]))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return got.select("video_id", "slot", "frame_idx", "native_timestamp", "is_synthetic", F.when(F.col("is_synthetic"), none).otherwise(scores).alias("scores"))
+
+
+def detections(entities):
+    """(class ids, corners in a row) of the detections that have a box of four corners, as flat lists."""
+    whole = F.filter(F.coalesce(entities, F.array()), lambda e: e["bbox"].isNotNull() & (F.size(e["bbox"]) == 4))
+    return F.transform(whole, lambda e: F.coalesce(e["class_id"], F.lit(-(2**31)))), F.flatten(F.transform(whole, lambda e: e["bbox"]))
+
+
+def pairs(kind, box) -> list[tuple[int, list[float]]]:
+    """Detections as the selector takes them, from flat lists."""
+    flat = box.tolist()
+    return [(k, flat[4 * j : 4 * j + 4]) for j, k in enumerate(kind.tolist())]

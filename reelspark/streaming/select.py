@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators.regrid import STRIDE, WINDOW
-from reelspark.operators.select import Selector, clip_norm, distances, floor_pct
+from reelspark.operators.select import Selector, clip_norm, detections, distances, floor_pct, pairs
 
 OUT = "video_id bigint, slot bigint, frame_idx bigint, native_timestamp double, is_synthetic boolean, total double, late bigint"
 STATE = "blob binary"
@@ -74,7 +74,7 @@ class Engine:
             np.fill_diagonal(near, -np.inf)
             alike = near.max(1).tolist()
         i, scores = self.selector.select(x, np.stack(dino), *hats, alike, entities)
-        return idx[i], ts[i], False, scores["total"]
+        return idx[i], ts[i], False, float(scores[-1])
 
 
 def select_stream(frames: DataFrame, clip_dim: int = 64, dino_dim: int = 16) -> DataFrame:
@@ -82,8 +82,8 @@ def select_stream(frames: DataFrame, clip_dim: int = 64, dino_dim: int = 16) ->
 
     Works on streaming frames with ``outputMode('append')`` and on batch frames alike.
     """
-    boxes = F.transform(F.coalesce("entities", F.array()), lambda e: F.struct(e["class_id"].alias("c"), e["bbox"].alias("b")))
-    rows = frames.select("video_id", "frame_idx", "ts", "blur", "flow", "clip_emb", "dino_emb", boxes.alias("boxes"))
+    kind, box = detections(F.col("entities"))
+    rows = frames.select("video_id", "frame_idx", "ts", "blur", "flow", "clip_emb", "dino_emb", kind.alias("kind"), box.alias("box"))
 
     def step(key, batches, state):
         import numpy as np
@@ -94,7 +94,7 @@ def select_stream(frames: DataFrame, clip_dim: int = 64, dino_dim: int = 16) ->
         out = []
         for r in pdf.itertuples(index=False):
             dino = np.zeros(dino_dim) if r.dino_emb is None else np.asarray(r.dino_emb, float)
-            ents = [(e["c"], e["b"]) for e in r.boxes if e["b"] is not None and len(e["b"]) == 4]
+            ents = pairs(r.kind, r.box)
             out += engine.push((r.frame_idx, r.ts, np.asarray(r.clip_emb, float), dino, r.blur, r.flow, ents))
         state.update((pickle.dumps(engine),))
         frame = pd.DataFrame(out, columns=["slot", "frame_idx", "native_timestamp", "is_synthetic", "total", "late"])

@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from reelspark.operators.select import Selector
+from reelspark.operators.score import WEIGHTS
+from reelspark.operators.select import NAMES, Selector
 
-W = {"semantic": 1.0, "blur": 0.5, "motion": 0.8, "entity": 0.4, "consistency": 0.3, "diversity": 0.2}
+W = WEIGHTS
 
 
 def dist(a, b):
@@ -79,4 +80,4 @@ def test_selector_like_the_model(seed):
             s.empty()
             continue
         i, scores = s.select(np.stack([c[0] for c in cands]), np.stack([c[1] for c in cands]), *([c[k] for c in cands] for k in (2, 3, 4)), [box if c[5] else [] for c in cands])
-        assert i == want[0] and abs(scores["total"] - want[1]) < 1e-9
+        assert i == want[0] and abs(scores[NAMES.index("total")] - want[1]) < 1e-9
