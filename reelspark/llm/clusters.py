@@ -17,6 +17,7 @@ from reelspark.llm.cells import bounded_sample, make_cells, vector_length
 from reelspark.llm.condense import LOCAL_NODES, condensed
 from reelspark.llm.forest import FINISH_EDGES, block_forest, boruvka, exact_cosines
 from reelspark.llm.knn import _bytes, planes, to_int16, unplanes
+from reelspark.operators.ordering import spread
 from reelspark.session import cut_lineage
 
 RADII = (0.0, 0.07, 0.14, 0.21, 0.28, 0.4)  # classes of balls by angle, so that most pairs are tested against one number
@@ -128,7 +129,7 @@ def graph(
                         [pa.array(ids[at[s + i]]), pa.array(ids[at[j]]), pa.array(np.minimum(sim[i, j], 1.0)), pa.array(many[at[j]])], ["id", "other", "sim", "copies"]
                     )
 
-    cell_key = placed.repartition("cell").sortWithinPartitions("cell", "id")
+    cell_key = spread(placed, "cell").sortWithinPartitions("cell", "id")
     if min_samples > 1:
         near = cell_key.mapInArrow(cores, "id bigint, other bigint, sim double, copies bigint").groupBy("id", "other").agg(
             F.max("sim").alias("sim"), F.max("copies").alias("copies")
@@ -136,7 +137,7 @@ def graph(
         by = Window.partitionBy("id").orderBy(F.desc("sim"), "other").rowsBetween(Window.unboundedPreceding, 0)
         core = near.withColumn("k", F.sum("copies").over(by)).where(F.col("k") >= min_samples).groupBy("id").agg(F.max("sim").alias("core"))
         core = cut_lineage(core.where(F.col("core") >= least))
-        cell_key = placed.join(core, "id").select("cell", "id", "copies", "load", "core").repartition("cell").sortWithinPartitions("cell", "id")
+        cell_key = spread(placed.join(core, "id").select("cell", "id", "copies", "load", "core"), "cell").sortWithinPartitions("cell", "id")
         vectors = distinct.select("rep", "load").join(core.withColumnRenamed("id", "rep"), "rep")
 
     def forests(batches):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.arrow_vectors import doubles, ints
 from reelspark.llm.forest import boruvka
+from reelspark.operators.ordering import spread
 from reelspark.session import cut_lineage
 
 LOCAL_NODES = 1_000_000  # components of so many vectors are condensed in one task (about 600 MB); larger ones in pieces
@@ -167,7 +168,7 @@ def _local(edges: DataFrame, nodes: DataFrame, least: float, min_size: int, piec
     rows = rows.unionByName(
         nodes.select("comp", F.lit(1).alias("kind"), F.col("node").alias("u"), null("bigint").alias("v"), "size", null("double").alias("w"), "held", "inside")
     )
-    rows = rows.repartition("comp").sortWithinPartitions("comp")
+    rows = spread(rows, "comp").sortWithinPartitions("comp")
 
     def run(batches):
         import numpy as np

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from reelspark.functions.arrow_vectors import binary, ints, matrix
 from reelspark.llm.cells import bounded_sample, make_cells, vector_length
 from reelspark.llm.quantise import pack, train_codebook, unpack
+from reelspark.operators.ordering import spread
 
 MAX_HOT = 256  # shared vectors that are handled apart; bounds what is broadcast of them
 MOST_IN_CELL = 4096  # items of a cell above which it is searched through cells of its own
@@ -268,7 +269,7 @@ def nearest(
                     )
 
         placed = placed.unionByName(asks.mapInArrow(ask, place_schema))
-    sorted_cells = placed.repartition("cell").sortWithinPartitions("cell", "role")
+    sorted_cells = spread(placed, "cell").sortWithinPartitions("cell", "role")
 
     def scan(batches):
         import pyarrow as pa

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.arrow_vectors import doubles, ints, matrix
+from reelspark.operators.ordering import spread
 
 NONE = -(2**62)
 
@@ -53,8 +54,8 @@ def collapse_runs(
         raise ValueError("most_slots")
     own = F.floor(F.col("slot") / block).cast("bigint") if anchor == "previous" else F.lit(0).cast("bigint")
     border = F.pmod(F.col("slot"), F.lit(block)) >= block - most_slots if anchor == "previous" else F.lit(False)
-    spread = slim.withColumn("block", F.explode(F.when(border, F.array(own, own + 1)).otherwise(F.array(own))))
-    cut = spread.repartition("ent", "block").sortWithinPartitions("ent", "block", "slot", "tt")
+    wide = slim.withColumn("block", F.explode(F.when(border, F.array(own, own + 1)).otherwise(F.array(own))))
+    cut = spread(wide, "ent", "block").sortWithinPartitions("ent", "block", "slot", "tt")
     cut = cut.select("ent", "block", "slot", "stamp", "tt", "vec")
 
     def machine(batches):

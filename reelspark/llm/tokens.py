@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.ordering import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -170,7 +172,7 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, path: str = f"{TOKENIZE
     short = rows.where(size <= long_text).mapInArrow(whole, out)
     long = rows.where(size > long_text).select(F.monotonically_increasing_id().alias("line"), "doc", "txt")
     parts = long.mapInArrow(to_parts, f"line bigint, doc {kind}, part bigint, kind int, bytes binary")
-    encoded = parts.repartition("line", "part").mapInArrow(encode_parts, f"line bigint, doc {kind}, part bigint, kind int, ids array<int>")
+    encoded = spread(parts, "line", "part").mapInArrow(encode_parts, f"line bigint, doc {kind}, part bigint, kind int, ids array<int>")
     # one text's parts meet again here; the list is no larger than the text's own result row
     texts = encoded.groupBy("line").agg(F.first("doc").alias("doc"), F.sort_array(F.collect_list(F.struct("part", "kind", "ids"))).alias("parts"))
     return short.unionByName(texts.select("doc", "parts").mapInArrow(join_parts, out)).withColumnRenamed("doc", doc_id)
