@@ -416,3 +416,21 @@ def test_command_line(spark, tmp_path):
     assert spark.read.json(paths["audio"]).first().duration == 1.25
     with pytest.raises(SystemExit):
         main(["--video_path", "x"])
+
+
+def test_clips_to_an_encoder(spark):
+    # a clip sees only its own slots, squeezed-out ones too, and every picture reaches the encoder in order
+    from reelspark.sources.sinks import encode_clips
+
+    one = lambda v: (1, 1, 3, bytes([v] * 3))
+    data = [(1, k, one(10 * k) if k in (1, 3, 6) else None) for k in range(8)]
+    df = spark.createDataFrame(data, "video_id bigint, slot bigint, frame_data struct<height:int,width:int,n_channels:int,pixels:binary>")
+    clips = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 2, 5), (1, 2, 7, 7)], "video_id bigint, clip_index int, start_frame_index int, end_frame_index int")
+    slots = grouping.clip_slices(df, clips).withColumn("clip_id", F.col("clip_index").cast("bigint"))
+    pictures = recon.fill_pixels(slots.select("clip_id", "slot", "frame_data"), emit.blend_plan(slots.select("clip_id", "slot", "frame_data"), "clip_id"), "clip_id")
+
+    def encoder(clip, rows):
+        return {"clip_id": int(clip), "n": len(rows), "stream": b"".join(bytes(p) for p in rows["pixels"])}
+
+    got = {r.clip_id: (r.n, bytes(r.stream)) for r in encode_clips(pictures, encoder, "clip_id bigint, n int, stream binary").collect()}
+    assert got == {0: (3, bytes([10] * 9)), 1: (4, bytes([30] * 12)), 2: (1, b"")}
