@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.arrow_vectors import binary, doubles, ints, matrix
-from reelspark.llm.cells import bounded_sample, make_cells, vector_length
+from reelspark.llm.cells import Cells, bounded_sample, make_cells, vector_length
 from reelspark.llm.condense import LOCAL_NODES, condensed
 from reelspark.llm.forest import FINISH_EDGES, block_forest, boruvka, exact_cosines
 from reelspark.llm.knn import _bytes, planes, to_int16, unplanes
-from reelspark.operators.ordering import spread
-from reelspark.session import cut_lineage
+from reelspark.operators.ordering import spread, tasks
+from reelspark.session import cut_lineage, drop_table, free_shuffles
 
-RADII = (0.0, 0.07, 0.14, 0.21, 0.28, 0.4)  # classes of balls by angle, so that most pairs are tested against one number
 WIDE = 0.85  # components whose rows are on average less alike than this are bounded in pieces
 MOST_IN_CELL = 8192  # rows of a cell above which it is searched through cells of its own
 
@@ -74,21 +73,27 @@ def subcells(x, per_cell: int, copies: float, most: int):
     return np.split(r[order], np.flatnonzero(np.diff(c[order])) + 1)
 
 
+def cells_of(rows: DataFrame, dim: int, per_cell: int, copies: float, most_cells: int) -> Cells:
+    """Cells from a bounded sample of rows (id, load)."""
+    import numpy as np
+
+    n = rows.count()
+    whole = rows.mapInArrow(_vectors(dim), "id bigint, v array<double>")
+    sample = bounded_sample(whole, "id", "v", n, dim)
+    norm = sample / np.maximum(np.sqrt((sample**2).sum(1)), 1e-300)[:, None] if len(sample) else np.ones((1, dim)) / np.sqrt(dim)
+    return make_cells(norm, n, per_cell, copies, most_cells)
+
+
 def graph(
-    rows: DataFrame, distinct: DataFrame, least: float, min_samples: int, dim: int, per_cell: int, copies: float, most_cells: int
+    distinct: DataFrame, cells: Cells, least: float, min_samples: int, dim: int, per_cell: int, copies: float, most_cells: int
 ) -> tuple[DataFrame, DataFrame]:
     """Forest edges (u, v, w) of all cells, and (rep, load, core): the vectors whose density allows a link.
 
-    rows: (id, load); distinct: (rep, copies, load).  With one neighbour the core similarity of every vector is 1.
+    distinct: (rep, copies, load).  With one neighbour the core similarity of every vector is 1.
     """
     import numpy as np
 
-    spark = rows.sparkSession
-    n = rows.count()
-    whole = rows.mapInArrow(_vectors(dim), "id bigint, v array<double>")
-    sample = bounded_sample(whole, "id", "v", n, dim)
-    norm = sample / np.maximum(np.sqrt((sample**2).sum(1)), 1e-300)[:, None] if len(sample) else np.ones((1, dim)) / np.sqrt(dim)
-    cells = make_cells(norm, n, per_cell, copies, most_cells)
+    spark = distinct.sparkSession
     model = spark.sparkContext.broadcast(cells)
 
     def place(batches):
@@ -96,7 +101,7 @@ def graph(
 
         cells = model.value
         for batch in batches:
-            ids, many = ints(batch.column(0)), ints(batch.column(1))
+            ids, many, core = ints(batch.column(0)), ints(batch.column(1)), doubles(batch.column(3))
             load = _bytes(batch.column(2), 2 * dim)
             x = unplanes(load, dim).astype(np.float32)
             if not len(x):
@@ -106,12 +111,15 @@ def graph(
                 r, c = cells.place(x[s : s + 4096])
                 r = r + s
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.int32)), pa.array(ids[r]), pa.array(many[r]), binary(load[r])], ["cell", "id", "copies", "load"]
+                    [pa.array(c.astype(np.int32)), pa.array(ids[r]), pa.array(many[r]), binary(load[r]), pa.array(core[r])], ["cell", "id", "copies", "load", "core"]
                 )
 
     load = (3, lambda c: unplanes(_bytes(c, 2 * dim), dim))
-    placed = distinct.select("rep", "copies", "load").mapInArrow(place, "cell int, id bigint, copies bigint, load binary")
-    vectors = distinct.select("rep", "load", F.lit(1.0).alias("core"))
+    vectors = distinct.select("rep", "copies", "load", F.lit(1.0).alias("core"))
+
+    def by_cell(vectors, *columns):
+        placed = vectors.mapInArrow(place, "cell int, id bigint, copies bigint, load binary, core double")
+        return spread(placed.select("cell", "id", "copies", "load", *columns), "cell").sortWithinPartitions("cell", "id")
 
     def cores(batches):
         import pyarrow as pa
@@ -129,16 +137,18 @@ def graph(
                         [pa.array(ids[at[s + i]]), pa.array(ids[at[j]]), pa.array(np.minimum(sim[i, j], 1.0)), pa.array(many[at[j]])], ["id", "other", "sim", "copies"]
                     )
 
-    cell_key = spread(placed, "cell").sortWithinPartitions("cell", "id")
+    cell_key = by_cell(vectors)
     if min_samples > 1:
-        near = cell_key.mapInArrow(cores, "id bigint, other bigint, sim double, copies bigint").groupBy("id", "other").agg(
-            F.max("sim").alias("sim"), F.max("copies").alias("copies")
-        )
+        # by id: what follows needs no other partitioning
+        near = cell_key.mapInArrow(cores, "id bigint, other bigint, sim double, copies bigint")
+        near = near.repartition(tasks(spark), "id").groupBy("id", "other").agg(F.max("sim").alias("sim"), F.max("copies").alias("copies"))
         by = Window.partitionBy("id").orderBy(F.desc("sim"), "other").rowsBetween(Window.unboundedPreceding, 0)
         core = near.withColumn("k", F.sum("copies").over(by)).where(F.col("k") >= min_samples).groupBy("id").agg(F.max("sim").alias("core"))
-        core = cut_lineage(core.where(F.col("core") >= least))
-        cell_key = spread(placed.join(core, "id").select("cell", "id", "copies", "load", "core"), "cell").sortWithinPartitions("cell", "id")
-        vectors = distinct.select("rep", "load").join(core.withColumnRenamed("id", "rep"), "rep")
+        core = cut_lineage(core.where(F.col("core") >= least).withColumnRenamed("id", "rep"))
+        free_shuffles(spark)
+        # before vectors are placed: after it there are several rows of each
+        vectors = distinct.join(core, "rep").select("rep", "copies", "load", "core")
+        cell_key = by_cell(vectors, "core")
 
     def forests(batches):
         import pyarrow as pa
@@ -149,7 +159,7 @@ def graph(
                 u, v, w = block_forest(x[at], ids[at], core[0][at] if core else None, least)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(w)], ["u", "v", "w"])
 
-    return cell_key.mapInArrow(forests, "u bigint, v bigint, w double"), vectors
+    return cell_key.mapInArrow(forests, "u bigint, v bigint, w double"), vectors.drop("copies")
 
 
 def _vectors(dim: int):
@@ -167,6 +177,11 @@ def _vectors(dim: int):
 
 def balls(unit, comp, most: int = 256):
     """(order, starts, centres, cosine of the radius) of tight sets of rows: each component, large ones cut around leaders."""
+    order, starts = _ball_rows(unit, comp, most)
+    return order, starts, *_ball_bounds(unit[order], starts)
+
+
+def _ball_rows(unit, comp, most: int = 256):
     import numpy as np
 
     order = np.argsort(comp, kind="stable")
@@ -184,39 +199,70 @@ def balls(unit, comp, most: int = 256):
         inner = np.argsort(near, kind="stable")
         order[a:b] = order[a:b][inner]
         cuts.append(a + np.flatnonzero(np.diff(near[inner])) + 1)
-    starts = np.sort(np.concatenate(cuts))
-    sizes = np.diff(np.r_[starts, len(order)])
-    x = unit[order]
+    return order, np.r_[np.sort(np.concatenate(cuts)), len(order)]
+
+
+def _ball_bounds(x, starts):
+    """Centres and cosines of the radius of balls; x: their rows, one ball after the other."""
+    import numpy as np
+
+    starts, sizes = starts[:-1], np.diff(starts)
     centre = np.add.reduceat(x, starts, axis=0) if len(starts) else x[:0]
     centre = centre / np.maximum(np.sqrt((centre * centre).sum(1)), 1e-12)[:, None]
     reach = np.einsum("ij,ij->i", x, np.repeat(centre, sizes, axis=0))
     least = np.minimum.reduceat(reach, starts) if len(starts) else reach
-    return order, np.r_[starts, len(order)], centre.astype(np.float32), np.where(sizes == 1, 1.0, least)
+    return centre.astype(np.float32), np.where(sizes == 1, 1.0, least)
+
+
+class Bounded:
+    """Rows in the order of their balls, and the balls: starts, centres, angles of the radius, components."""
+
+    def __init__(self, x, comp, ids, core, starts=None):
+        import numpy as np
+
+        self.x, self.comp, self.ids, self.core = x, comp, ids, core
+        self.norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+        self.unit = (x / self.norm[:, None]).astype(np.float32)
+        if starts is None:
+            order, starts = _ball_rows(self.unit, comp)
+            for name in ("x", "comp", "ids", "core", "norm", "unit"):
+                setattr(self, name, getattr(self, name)[order])
+        self.starts = starts
+        self.centre, reach = _ball_bounds(self.unit, starts)
+        self.angle = np.where(reach >= 1.0, 0.0, np.arccos(np.clip(reach - 1e-6, -1, 1)))
+        self.of = self.comp[starts[:-1]]
+
+    def edges(self, theta: float, left: bool):
+        """float32 rows of a product that gives the cosine of two centres less that of both radii and ``theta`` together.
+
+        cos(a + b) is a sum of two products, so the product tests each pair against its own bound.  Balls so wide that the angles
+        may add up to more than pi can hold a link with any other.
+        """
+        import numpy as np
+
+        far = np.where(2 * self.angle + theta >= np.pi, 10.0, 0.0)
+        a, each = self.angle + theta * left, np.ones(len(far))
+        own = [-np.cos(a), np.sin(a), far, each] if left else [np.cos(a), np.sin(a), each, far]
+        return np.ascontiguousarray(np.column_stack([self.centre, *own]), np.float32)
 
 
 def far_links(x, comp, ids, core, cut: int, least: float):
-    """(u, v, w) of the best link between every two components with one end in rows [0, cut) and one in the rest (cut = 0: all with all).
+    """(u, v, w) of the best link between every two components with one end in rows [0, cut) and one in the rest (cut = 0: all with all)."""
+    cut = cut or len(x)
+    first = Bounded(x[:cut], comp[:cut], ids[:cut], core[:cut])
+    return ball_links(first, first if cut == len(x) else Bounded(x[cut:], comp[cut:], ids[cut:], core[cut:]), least)
+
+
+def ball_links(first: Bounded, second: Bounded, least: float):
+    """(u, v, w) of the best link between every two components with one end in ``first`` and one in ``second``, which may be the same.
 
     Rows are bounded by balls.  Two balls can only hold a link if the angle of their centres is at most both radii and the angle of
     ``least`` together; their rows are compared one by one only then.
     """
     import numpy as np
 
-    norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-    unit = (x / norm[:, None]).astype(np.float32)
-    one = cut == 0
-
-    def bounded(rows):
-        order, starts, centre, reach = balls(unit[rows], comp[rows])
-        angle = np.where(reach >= 1.0, 0.0, np.arccos(np.clip(reach - 1e-6, -1, 1)))
-        return rows[order], starts, centre, angle, np.searchsorted(RADII, angle), comp[rows][order[starts[:-1]]]
-
-    first = bounded(np.arange(len(x)) if one else np.arange(cut))
-    second = first if one else bounded(np.arange(cut, len(x)))
-    row1, start1, centre1, angle1, class1, of1 = first
-    row2, start2, centre2, angle2, class2, of2 = second
+    one = first is second
     theta = np.arccos(least)
-    bar = lambda a: np.where(a >= np.pi, -2.0, np.cos(np.minimum(a, np.pi)) - 1e-4)
     found = [[], [], []]
 
     def compare(i, j):
@@ -224,76 +270,113 @@ def far_links(x, comp, ids, core, cut: int, least: float):
         i, j = i[by], j[by]
         edges = np.r_[0, np.flatnonzero(np.diff(j)) + 1, len(j)]
         for a, b in zip(edges[:-1], edges[1:]):
-            rows = np.concatenate([row1[start1[k] : start1[k + 1]] for k in i[a:b].tolist()])
-            inside = row2[start2[j[a]] : start2[j[a] + 1]]
+            start, size = first.starts[i[a:b]], first.starts[i[a:b] + 1] - first.starts[i[a:b]]
+            rows = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+            inside = slice(second.starts[j[a]], second.starts[j[a] + 1])
+            facing = second.unit[inside].T
             for t in range(0, len(rows), 8192):
-                flat = np.flatnonzero(unit[rows[t : t + 8192]] @ unit[inside].T >= least - 1e-5)
+                flat = np.flatnonzero(first.unit[rows[t : t + 8192]] @ facing >= least - 1e-5)
                 if len(flat):
-                    k, m = rows[t + flat // len(inside)], inside[flat % len(inside)]
-                    w = np.minimum(np.minimum(exact_cosines(x, norm, x, norm, k, m), core[k]), core[m])
+                    k, m = rows[t + flat // facing.shape[1]], inside.start + flat % facing.shape[1]
+                    w = exact_cosines(first.x, first.norm, second.x, second.norm, k, m)
+                    w = np.minimum(np.minimum(w, first.core[k]), second.core[m])
                     good = w >= least
                     for c, v in zip(found, (k[good], m[good], w[good])):
                         c.append(v)
 
-    for c1 in np.unique(class1):
-        mine = np.flatnonzero(class1 == c1)
-        for c2 in np.unique(class2):
-            other = np.flatnonzero(class2 == c2)
-            wide = float(angle1[mine].max() + angle2[other].max() + theta)
-            facing = centre2[other].T
-            step = max(256, 4_000_000 // len(other))
-            for a in range(0, len(mine), step):
-                near = centre1[mine[a : a + step]] @ facing
-                flat = np.flatnonzero(near >= np.float32(bar(np.float64(wide))))
-                if not len(flat):
-                    continue
-                i, j = mine[a + flat // len(other)], other[flat % len(other)]
-                can = (near.ravel()[flat] >= bar(angle1[i] + angle2[j] + theta)) & (of1[i] != of2[j])
-                if one:
-                    can &= i < j
-                if can.any():
-                    compare(i[can], j[can])
+    left, right = first.edges(theta, True), second.edges(theta, False)
+    held, n = [], 0
+    for a in range(0, len(left), 512):
+        for b in range(a if one else 0, len(right), 2048):
+            room = left[a : a + 512] @ right[b : b + 2048].T
+            if room.max() < -1e-4:
+                continue
+            flat = np.flatnonzero(room >= -1e-4)
+            i, j = a + flat // room.shape[1], b + flat % room.shape[1]
+            can = first.of[i] != second.of[j]
+            if one:
+                can &= i < j
+            if can.any():
+                held.append((i[can], j[can]))
+                n += len(held[-1][0])
+        if n > 1_000_000 or a + 512 >= len(left) and n:
+            compare(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
     if not found[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     k, m, w = map(np.concatenate, found)
-    lo, hi = np.minimum(comp[k], comp[m]), np.maximum(comp[k], comp[m])
-    by = np.lexsort((np.minimum(ids[k], ids[m]), -w, hi, lo))
+    u, v = np.minimum(first.ids[k], second.ids[m]), np.maximum(first.ids[k], second.ids[m])
+    lo, hi = np.minimum(first.comp[k], second.comp[m]), np.maximum(first.comp[k], second.comp[m])
+    by = np.lexsort((u, -w, hi, lo))
     best = by[np.r_[True, (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])]] if len(by) else by
-    return np.minimum(ids[k], ids[m])[best], np.maximum(ids[k], ids[m])[best], w[best]
+    return u[best], v[best], w[best]
 
 
-def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int, per_group: int = 65_536) -> DataFrame:
-    """(u, v, w) with u < v: links >= ``least`` between components, of all pairs of vectors, cells or not.
+BLOCK = "block int, comp binary, ids binary, load binary, core binary, starts binary"
+
 
-    vectors: (rep, load, core); label: (node, comp).  Components fall into groups (large ones into several) and every two groups meet in
-    one task.  There the balls around the components are held against each other, and only pairs of balls that can hold a link are
-    compared row by row (``far_links``): for tight components a small part of all pairs.
+def blocks_of(vectors: DataFrame, label: DataFrame, dim: int, per_group: int) -> DataFrame:
+    """``BLOCK``: one row per group of components (a large component falls into several), its vectors in the order of their balls.
+
+    comp, ids (int64), load (planes), core (double) and starts (int64) are arrays as bytes.  A group holds about ``per_group`` vectors.
     """
-    n = vectors.count()
-    groups = max(4, -(-n // per_group))
+    groups = max(4, -(-vectors.count() // per_group))
     share = max(1, per_group // 4)
-    rows = vectors.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    # what is known of a component joins its slim rows first: vectors are shuffled by their row and by their group, no more
     large = label.groupBy("comp").count().where(F.col("count") > share).select("comp", F.ceil(F.col("count") / share).alias("parts"))
-    rows = rows.join(large, "comp", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(0)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("comp", "part"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    meeting = F.least("mine", "other") * F.lit(groups).cast("bigint") + F.greatest("mine", "other")
-    rows = rows.select(meeting.alias("meeting"), "mine", "comp", "rep", "load", "core")
-    rows = rows.repartition(min(4_000, groups * (groups + 1)), "meeting").sortWithinPartitions("meeting", "mine", "comp")
+    home = label.join(large, "comp", "left").select(F.col("node").alias("rep"), "comp", "parts")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(0))
+    rows = vectors.join(home, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).withColumn("part", part)
+    rows = rows.select(F.pmod(F.xxhash64("comp", "part"), F.lit(groups)).cast("int").alias("block"), "comp", "rep", "load", "core")
+    rows = rows.repartition(min(4_000, groups), "block").sortWithinPartitions("block", "comp")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        columns = [(1, ints), (2, ints), (3, ints), (4, lambda c: unplanes(_bytes(c, 2 * dim), dim)), (5, doubles)]
-        for key, (side, comp, ids, x, core) in sets_of(batches, columns):
-            one = key // groups == key % groups
-            cut = 0 if one else int(np.searchsorted(side, side[0], "right"))
-            if not one and cut == len(side):
-                continue  # the other group is empty
-            u, v, w = far_links(x, comp, ids, core, cut, least)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w)], ["u", "v", "w"])
+        columns = [(1, ints), (2, ints), (3, lambda c: unplanes(_bytes(c, 2 * dim), dim)), (4, doubles)]
+        names = ["block", "comp", "ids", "load", "core", "starts"]
+        for key, (comp, ids, x, core) in sets_of(batches, columns):
+            b = Bounded(x, comp, ids, core)
+            held = [b.comp.astype(np.int64), b.ids.astype(np.int64), planes(np.ascontiguousarray(b.x)), b.core.astype(np.float64), b.starts.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in held]], names)
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def links_between(vectors: DataFrame, label: DataFrame, least: float, dim: int, per_group: int = 32_768) -> DataFrame:
+    """(u, v, w) with u < v: links >= ``least`` between components, of all pairs of vectors, cells or not.
+
+    vectors: (rep, load, core); label: (node, comp).  Groups of components are written once as blocks (``blocks_of``), and every two
+    blocks meet in a task that reads both from the shared folder: disk and shuffle grow as the vectors, not as their pairs.  In a
+    meeting the balls around the components are held against each other, and only pairs of balls that can hold a link are
+    compared row by row (``ball_links``): for tight components a small part of all pairs.
+    """
+    blocks = cut_lineage(blocks_of(vectors, label, dim, per_group))
+    free_shuffles(blocks.sparkSession)
+    # a task holds the blocks of two partitions: at most a dozen each, and up to 64 partitions on either side
+    n = blocks.count()
+    blocks = blocks.coalesce(max(1, min(n, 64), -(-n // 12)))
+    side = lambda k: blocks.select(*[F.col(c).alias(f"{c}{k}") for c in blocks.columns])
+    pairs = side(1).join(side(2).hint("shuffle_replicate_nl"), F.col("block1") <= F.col("block2"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def opened(batch, r: int, at: int):
+            comp, ids, load, core, starts = (np.frombuffer(batch.column(at + c)[r].as_buffer(), t) for c, t in enumerate(("i8", "i8", "u1", "f8", "i8"), 1))
+            return Bounded(unplanes(load.reshape(-1, 2 * dim), dim), comp, ids, core, starts)
+
+        key, first = None, None
+        for batch in batches:
+            for r, (a, b) in enumerate(zip(ints(batch.column(0)).tolist(), ints(batch.column(6)).tolist())):
+                if a != key:
+                    key, first = a, opened(batch, r, 0)
+                u, v, w = ball_links(first, first if a == b else opened(batch, r, 6), least)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w)], ["u", "v", "w"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint, w double")
+    return pairs.mapInArrow(run, "u bigint, v bigint, w double")
 
 
 def hierarchy_rows(
@@ -307,9 +390,13 @@ def hierarchy_rows(
     # copies are folded on the map side already; only one row of each vector is placed
     distinct = cut_lineage(rows.groupBy("load").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")))
     keys = [F.xxhash64("load").alias("h1"), F.xxhash64("load", F.lit(1)).alias("h2")]
-    member = rows.select("id", *keys).distinct().join(distinct.select("rep", *keys), ["h1", "h2"]).select("id", "rep")
-    edges, vectors = graph(rows, distinct, least, min_samples, dim, per_cell, copies, most_cells)
+    member = cut_lineage(rows.select("id", *keys).distinct().join(distinct.select("rep", *keys), ["h1", "h2"]).select("id", "rep"))
+    cells = cells_of(rows, dim, per_cell, copies, most_cells)
+    drop_table(rows)
+    free_shuffles(df.sparkSession)
+    edges, vectors = graph(distinct, cells, least, min_samples, dim, per_cell, copies, most_cells)
     tree, label = boruvka(edges, finish_edges)
+    free_shuffles(df.sparkSession)
     # cells may part neighbours: what they leave apart is compared once more
     missed = cut_lineage(links_between(vectors, label, least, dim))
     if not missed.isEmpty():

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from reelspark.llm.cells import make_cells
-from reelspark.llm.clusters import balls, density_groups, far_links, hierarchy, subcells
+from reelspark.llm.clusters import balls, compact, density_groups, far_links, hierarchy, links_between, subcells
 from reelspark.llm.condense import Condensed, density
 from reelspark.llm.forest import block_forest, boruvka, reduce_edges
 from reelspark.llm.knn import Searcher, fold_copies, nearest, search_cell
@@ -142,6 +142,39 @@ def test_far_links_like_all_pairs():
     assert sorted(order) == list(range(len(x))) and max(np.diff(starts)) < 700
 
 
+def test_links_between_ships_a_vector_but_twice(spark):
+    """Disk grows as the vectors, however many groups meet; every link between components is found."""
+    r = np.random.default_rng(5)
+    x = np.rint(1000 * np.vstack([np.repeat(r.normal(size=(300, DIM)), 6, axis=0) + r.normal(0, 0.4, (1800, DIM)), r.normal(size=(1200, DIM))])) / 1000
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    ids = r.permutation(len(x)) + 10
+    comp = ids.reshape(-1, 3).min(1).repeat(3)  # half of a group each
+    comp[1800:] = ids[1800:]
+    vectors = compact(frame(spark, x, ids), "id", "v", DIM).selectExpr("id rep", "load", "1.0D core").localCheckpoint()
+    label = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids[:1800], comp)], "node bigint, comp bigint").localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    found = links_between(vectors, label, 0.8, DIM, per_group=100).collect()
+    assert written() - before < 4 * len(x) * 2 * DIM
+    best = {}
+    for i, j in zip(*np.nonzero(np.triu(sim >= 0.8, 1))):
+        if comp[i] != comp[j]:
+            k = tuple(sorted((int(comp[i]), int(comp[j]))))
+            best[k] = max(best.get(k, 0), round(float(sim[i, j]), 9))
+    at = {int(i): int(c) for i, c in zip(ids, comp)}
+    got = {}
+    for u, v, w in found:
+        k = tuple(sorted((at[u], at[v])))
+        got[k] = max(got.get(k, 0), round(w, 9))
+    assert len(best) > 100 and got == best
+
+
 def plain_hierarchy(sim, size, least, m):
     """Stable clusters as sets of rows, from the components at every similarity."""
     n = len(sim)
